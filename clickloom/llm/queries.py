@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html, multiset, pii, quality, simhash
+from . import bpe, chat, decontaminate, html, multiset, passages, pii, quality, simhash
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -32,6 +32,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_repeated(table(spark, sf_dir, "documents"), digests=True)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -61,7 +65,7 @@ def op10_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_chat_formatting, op4_pii, op6_quality, op7_decontamination, op8_html, op9_bpe, op10_multiset_fingerprint)}
+    return {f.__name__: f for f in (op1_simhash, op2_chat_formatting, op4_pii, op5_passages, op6_quality, op7_decontamination, op8_html, op9_bpe, op10_multiset_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
