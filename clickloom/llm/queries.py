@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html, multiset, passages, pii, quality, simhash
+from . import bpe, chat, decontaminate, html, multiset, passages, pii, quality, simhash, suffixes
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -28,6 +28,10 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_formatted(chat.format_conversations(rows))
 
 
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeated(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -65,7 +69,7 @@ def op10_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_chat_formatting, op4_pii, op5_passages, op6_quality, op7_decontamination, op8_html, op9_bpe, op10_multiset_fingerprint)}
+    return {f.__name__: f for f in (op1_simhash, op2_chat_formatting, op3_suffixes, op4_pii, op5_passages, op6_quality, op7_decontamination, op8_html, op9_bpe, op10_multiset_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
