@@ -30,9 +30,15 @@ KEY, PLACE = (1 << 33) - 1, (1 << 30) - 1
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
+def starts_of(change: np.ndarray) -> np.ndarray:
+    """For each place of a sorted list, the place where its run of equals begins."""
+    return np.maximum.accumulate(np.where(change, np.arange(len(change)), 0))
+
+
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
-    """Starts of all suffixes of a shard in order, by prefix doubling. Symbols are 0 at the end of
-    each string (of which the earlier is less), else 1 to 256; strings have under 112 symbols."""
+    """Starts of all suffixes of a shard in order, by prefix doubling of what is not settled yet.
+    Symbols are 0 at the end of each string (of which the earlier is less), else 1 to 256; strings
+    have under 112 symbols."""
     n = len(symbols)
     padded = np.concatenate([symbols.astype(np.int64), np.zeros(7, np.int64)])
     key, alive = np.zeros(n, np.int64), np.ones(n, bool)
@@ -42,86 +48,108 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
         alive &= s > 0
     # What follows a string's end does not count.
     ends = np.flatnonzero(symbols == 0)
-    end_of = ends[np.searchsorted(ends, np.arange(n))]
-    _, rank = np.unique(key, return_inverse=True)
+    end_of = np.repeat(ends, np.diff(np.concatenate([[-1], ends])))
+    order = np.argsort(key, kind="stable")
+    change = np.ones(n, bool)
+    np.not_equal(key[order[1:]], key[order[:-1]], out=change[1:])
+    rank = np.empty(n, np.int64)
+    rank[order] = starts_of(change)
     width = 7
-    while width < 112 and len(rank) and rank.max() < n - 1:
-        then = np.arange(n) + width
-        later = np.where(then <= end_of, rank[np.minimum(then, n - 1)] + 1, 0)
-        _, rank = np.unique(rank * np.int64(n + 2) + later, return_inverse=True)
+    while width < 112:
+        alone = change & np.concatenate([change[1:], [True]])
+        order = order[~alone]
+        if not len(order):
+            break
+        then = order + width
+        key = rank[order] * (n + 2) + np.where(then <= end_of[order], rank[np.minimum(then, n - 1)] + 1, 0)
+        by = np.argsort(key, kind="stable")
+        order, key = order[by], key[by]
+        change = np.ones(len(order), bool)
+        np.not_equal(key[1:], key[:-1], out=change[1:])
+        old = rank[order]
+        group = np.ones(len(order), bool)
+        np.not_equal(old[1:], old[:-1], out=group[1:])
+        rank[order] = old + starts_of(change) - starts_of(group)
         width *= 2
     return np.argsort(rank, kind="stable")
 
 
-def transform(symbols: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """The Burrows-Wheeler transform: the symbol before each suffix, 0 before a string's first."""
-    return np.concatenate([[0], symbols])[order].astype(np.uint16)
+def transform(symbols: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The Burrows-Wheeler transform (the symbol before each suffix, 0 before a string's first), and
+    for each of its places the place of the suffix that is longer by that symbol."""
+    before = np.concatenate([[0], symbols])[order].astype(np.uint16)
+    longer = np.empty(len(order), np.int64)
+    longer[np.argsort(before, kind="stable")] = np.arange(len(order))
+    return before, longer
+
+
+def small(x: np.ndarray) -> np.ndarray:
+    """The same order of values in as few bytes as they need, which sorts faster; 0 stays 0."""
+    values = np.flatnonzero(np.bincount(np.concatenate([[0], x])))
+    if len(values) > 256:
+        return x
+    codes = np.zeros(int(values[-1]) + 1, np.uint8)
+    codes[values] = np.arange(len(values))
+    return codes[x]
 
 
-def interleave(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shard of each merged suffix, common prefix with the one before it, `depth` if that or more).
+def interleave(transforms: list[tuple[np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes, intervals): places in the shards' joined orders, interleaved, and the number of the
+    interval each belongs to, of all suffixes that share their first `depth` symbols with another.
 
     Each round deals the suffixes out by the symbol before them, in the order so far: afterwards they
-    are in the order of one more symbol. Where a round first tells two neighbours apart, their common
-    prefix is known.
+    are interleaved by one more symbol. Suffixes that a round tells apart from both neighbours have a
+    shorter common prefix with all others, and so has all that extends them: they are dropped.
     """
-    sizes = [len(t) for t in transforms]
-    z = np.repeat(np.arange(len(transforms), dtype=np.uint16), sizes)
-    ends = np.repeat(np.arange(len(transforms), dtype=np.uint16), [int((t == 0).sum()) for t in transforms])
-    whole = np.concatenate(transforms)
-    n, k = len(z), len(ends)
-    common = np.full(n, depth, np.int16)
-    common[:1] = 0
-    apart = np.zeros(n, bool)
-    symbol = np.empty(n, np.uint16)
-    for h in range(1, depth + 1):
-        block = np.cumsum(apart, dtype=np.int32)
-        symbol[np.argsort(z, kind="stable")] = whole
-        dealt = np.argsort(symbol, kind="stable")[k:]
-        z = np.concatenate([ends, z[dealt]])
-        s, b = symbol[dealt], block[dealt]
-        new = np.zeros(n, bool)
-        if k < n:
-            new[k] = True
-            new[k + 1 :] = (s[1:] != s[:-1]) | (b[1:] != b[:-1])
-        new[0] = True
-        common[new & (common == depth) & ~apart] = h - 1
-        if h > 1 and np.array_equal(new, apart) and not (common == depth).any():
+    sizes = [len(before) for before, _ in transforms]
+    base = np.repeat(np.cumsum([0, *sizes[:-1]]), sizes)
+    before = small(np.concatenate([t[0] for t in transforms]))
+    longer = np.concatenate([t[1] for t in transforms]) + base
+    at, interval = np.arange(len(before)), np.zeros(len(before), np.int32)
+    for _ in range(depth):
+        symbol = before[at]
+        inside = symbol > 0  # a string's first suffix has none longer
+        at, interval, symbol = at[inside], interval[inside], symbol[inside]
+        if not len(at):
             break
-        apart = new
-    return z, common
+        dealt = np.argsort(symbol, kind="stable")
+        symbol, interval = symbol[dealt], interval[dealt]
+        apart = np.ones(len(at) + 1, bool)
+        np.not_equal(interval[1:], interval[:-1], out=apart[1:-1])
+        apart[1:-1] |= symbol[1:] != symbol[:-1]
+        keep = ~(apart[:-1] & apart[1:])
+        at = longer[at[dealt[keep]]]
+        interval = np.cumsum(apart[:-1], dtype=np.int32)[keep]
+    return at, interval
 
 
 def least_documents(strings: list[bytes], documents: np.ndarray) -> list[np.ndarray]:
     """For each string, the least document among all strings with the same 50 bytes, by start."""
-    shards, orders, owners, starts, transforms = range(0, len(strings), SHARD), [], [], [], []
-    for a in shards:
-        part = strings[a : a + SHARD]
-        lengths = np.array([len(s) for s in part])
-        symbols = np.zeros(int(lengths.sum()) + len(part), np.uint16)
-        first = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
+    lengths = np.array([len(s) for s in strings])
+    windows = np.maximum(0, lengths - WINDOW + 1)
+    bounds = np.concatenate([[0], np.cumsum(windows)])
+    values = np.repeat(documents, windows)
+    owners, starts, transforms = [], [], []
+    for a in range(0, len(strings), SHARD):
+        size = lengths[a : a + SHARD]
+        symbols = np.zeros(int(size.sum()) + len(size), np.uint16)
+        first = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
         inside = np.ones(len(symbols), bool)
-        inside[first + lengths] = False
-        symbols[inside] = np.frombuffer(b"".join(part), np.uint8).astype(np.uint16) + 1
+        inside[first + size] = False
+        symbols[inside] = np.frombuffer(b"".join(strings[a : a + SHARD]), np.uint8).astype(np.uint16) + 1
         order = suffix_order(symbols)
-        owner = np.repeat(np.arange(len(part)), lengths + 1)
-        orders.append(order)
-        owners.append(owner[order] + a)
-        starts.append(order - first[owner[order]])
+        owner = np.repeat(np.arange(len(size)), size + 1)[order]
+        owners.append(owner + a)
+        starts.append(order - first[owner])
         transforms.append(transform(symbols, order))
-    z, common = interleave(transforms, WINDOW)
-    place = np.argsort(z, kind="stable")
-    owner, start = np.empty(len(z), np.int64), np.empty(len(z), np.int64)
-    owner[place], start[place] = np.concatenate(owners), np.concatenate(starts)
-    interval = np.flatnonzero(common < WINDOW)
-    least = np.minimum.reduceat(documents[owner], interval)[np.cumsum(common < WINDOW) - 1]
-    lengths = np.array([len(s) for s in strings])
-    out = [np.empty(max(0, n - WINDOW + 1), np.int64) for n in lengths.tolist()]
-    flat = np.concatenate([[0], np.cumsum(np.maximum(0, lengths - WINDOW + 1))])
-    values = np.empty(flat[-1], np.int64)
-    full = start <= lengths[owner] - WINDOW
-    values[flat[owner[full]] + start[full]] = least[full]
-    return [values[a:b] for a, b in zip(flat[:-1].tolist(), flat[1:].tolist(), strict=True)] if out else []
+    if transforms:
+        at, interval = interleave(transforms, WINDOW)
+        if len(at):
+            owner, start = np.concatenate(owners)[at], np.concatenate(starts)[at]
+            new = np.concatenate([[True], interval[1:] != interval[:-1]])
+            least = np.minimum.reduceat(documents[owner], np.flatnonzero(new))[np.cumsum(new) - 1]
+            values[bounds[owner] + start] = least
+    return [values[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 def _source(documents: DataFrame, text: str) -> DataFrame:
@@ -208,6 +236,24 @@ def _strings(source: DataFrame, survivors: DataFrame) -> DataFrame:
     return map_batches(rows, "short long, _id long, row long, bytes binary", make)
 
 
+def comparable(strings: list[bytes], places: np.ndarray, documents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(indexes, numbers of all strings): the strings that can share a window with another: a window holds its anchor and,
+    of the REACH bytes around it, half on one side at least, so that these have to be shared too."""
+    lengths = np.array([len(s) for s in strings])
+    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    runs = Runs(_BYTES[np.frombuffer(b"".join(strings), np.uint8)])
+    anchor, half = first + np.minimum(places, REACH), REACH // 2
+    whole = runs.at(first, first + lengths)
+    one = firsts(mixed(whole) ^ documents.view(np.uint64))
+    good = np.zeros(len(strings), bool)
+    for start, end in ((anchor - half, anchor + SHORT), (anchor, anchor + SHORT + half)):
+        fits = np.flatnonzero((start >= first) & (end <= first + lengths))
+        number = runs.at(start[fits], end[fits])
+        good[fits] |= counted(number, firsts(mixed(number) ^ whole[fits]).astype(float)) > 1
+    # Of equal strings of one document one is compared.
+    return np.flatnonzero(good & one), whole
+
+
 def _repeated(strings: DataFrame, parts: int) -> DataFrame:
     """_id, _key, start of the windows around asking anchors that an earlier document has."""
 
@@ -220,12 +266,17 @@ def _repeated(strings: DataFrame, parts: int) -> DataFrame:
         out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
         if strings:
             documents, rows = np.concatenate(ids), np.concatenate(rows)
-            for i, least in enumerate(least_documents(strings, documents)):
-                later = np.flatnonzero(least < documents[i])
-                if len(later):
-                    place = int(rows[i]) & PLACE
-                    for c, x in zip(out, (np.full(len(later), documents[i]), np.full(len(later), int(rows[i]) >> 30), max(0, place - REACH) + later), strict=True):
-                        c.append(x)
+            places = rows & PLACE
+            at, whole = comparable(strings, places, documents)
+            least = least_documents([strings[i] for i in at.tolist()], documents[at]) if len(at) else []
+            own = whole ^ mixed(documents.view(np.uint64))
+            found = {n: x for n, x in zip(own[at].tolist(), least, strict=True)}
+            for i, n in enumerate(own.tolist()):
+                if n in found:
+                    later = np.flatnonzero(found[n] < documents[i])
+                    if len(later):
+                        for c, x in zip(out, (np.full(len(later), documents[i]), np.full(len(later), int(rows[i]) >> 30), max(0, int(places[i]) - REACH) + later), strict=True):
+                            c.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["_id", "_key", "start"])
 
     return strings.repartition(parts, "short").select("_id", "row", "bytes").mapInArrow(run, "_id long, _key long, start long")
