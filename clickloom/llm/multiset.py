@@ -107,7 +107,7 @@ def with_next(documents: DataFrame, columns: list[str]) -> DataFrame:
     n = ids.count()
     parts = max(64, -(-n // RANGE_ROWS))
     bounds = ids.dropna().approxQuantile("_id", [i / parts for i in range(1, parts)], 0.2 / parts) if n else []
-    splits = [float("-inf"), *sorted(set(bounds)), float("inf")]
+    splits = [float("-inf"), *(sorted(set(bounds)) or [0.0]), float("inf")]
     cut = Bucketizer(splits=splits, inputCol="_id", outputCol="_range", handleInvalid="keep")
 
     def ranged(df: DataFrame) -> DataFrame:
