@@ -15,7 +15,6 @@ INVERSE = pow(BASE, -1, 1 << 64)
 #: Symbols whose anchors are looked for at a time; bounds a task's memory for very long texts.
 STRETCH = 1 << 20
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33))
-_POWERS: list[np.ndarray] = []
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -25,18 +24,28 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> s)
 
 
+def powers(n: int, kept: dict[str, np.ndarray] = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
+    """The first n powers of BASE and of its inverse modulo 2^64; a task keeps those of one stretch."""
+    if n > len(kept.get("base", ())):
+        out = []
+        for x in (BASE, INVERSE):
+            ones = np.full(max(n, 1 << 14), x, np.uint64)
+            ones[0] = 1
+            out.append(np.multiply.accumulate(ones))
+        if n > 4 * STRETCH:
+            return out[0], out[1]
+        kept["base"], kept["inverse"] = out
+    return kept["base"][:n], kept["inverse"][:n]
+
+
 class Runs:
     """Numbers (uint64) of runs of symbols; equal runs have equal numbers wherever they stand."""
 
     def __init__(self, symbols: np.ndarray):
         n = len(symbols)
-        ones = np.full(n + 1, BASE, np.uint64)
-        ones[:1] = 1
-        powers = np.multiply.accumulate(ones)
-        ones[1:] = INVERSE
-        self.back = np.multiply.accumulate(ones)
+        base, self.back = powers(n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(symbols * powers[:n], out=self.sums[1:])
+        np.cumsum(symbols * base[:n], out=self.sums[1:])
 
     def all(self, size: int) -> np.ndarray:
         n = len(self.sums) - size

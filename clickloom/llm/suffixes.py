@@ -93,25 +93,25 @@ def small(x: np.ndarray) -> np.ndarray:
     return codes[x]
 
 
-def interleave(transforms: list[tuple[np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray]:
+def interleave(transforms: list[tuple[np.ndarray, np.ndarray]], starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(suffixes, intervals): places in the shards' joined orders, interleaved, and the number of the
     interval each belongs to, of all suffixes that share their first `depth` symbols with another.
 
     Each round deals the suffixes out by the symbol before them, in the order so far: afterwards they
     are interleaved by one more symbol. Suffixes that a round tells apart from both neighbours have a
-    shorter common prefix with all others, and so has all that extends them: they are dropped.
+    shorter common prefix with all others, and so has all that extends them: they are dropped. So are
+    those that start too near their string's first symbol to be extended `depth` times.
     """
     sizes = [len(before) for before, _ in transforms]
     base = np.repeat(np.cumsum([0, *sizes[:-1]]), sizes)
     before = small(np.concatenate([t[0] for t in transforms]))
     longer = np.concatenate([t[1] for t in transforms]) + base
-    at, interval = np.arange(len(before)), np.zeros(len(before), np.int32)
+    at = np.flatnonzero(starts >= depth)
+    interval = np.zeros(len(at), np.int32)
     for _ in range(depth):
-        symbol = before[at]
-        inside = symbol > 0  # a string's first suffix has none longer
-        at, interval, symbol = at[inside], interval[inside], symbol[inside]
         if not len(at):
             break
+        symbol = before[at]
         dealt = np.argsort(symbol, kind="stable")
         symbol, interval = symbol[dealt], interval[dealt]
         apart = np.ones(len(at) + 1, bool)
@@ -143,9 +143,10 @@ def least_documents(strings: list[bytes], documents: np.ndarray) -> list[np.ndar
         starts.append(order - first[owner])
         transforms.append(transform(symbols, order))
     if transforms:
-        at, interval = interleave(transforms, WINDOW)
+        where = np.concatenate(starts)
+        at, interval = interleave(transforms, where, WINDOW)
         if len(at):
-            owner, start = np.concatenate(owners)[at], np.concatenate(starts)[at]
+            owner, start = np.concatenate(owners)[at], where[at]
             new = np.concatenate([[True], interval[1:] != interval[:-1]])
             least = np.minimum.reduceat(documents[owner], np.flatnonzero(new))[np.cumsum(new) - 1]
             values[bounds[owner] + start] = least
