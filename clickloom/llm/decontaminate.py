@@ -60,6 +60,14 @@ class Windows:
         self.shingles = {s: np.unique(np.concatenate([rolled(w, s) for w in self.runs if min(SHINGLE, len(w)) == s])) for s in self.sizes}
         self.prefix: dict[int, tuple[np.ndarray, list[list[tuple[int, int]]]]] = {}
 
+    @classmethod
+    def restored(cls, state: dict) -> Windows:
+        """From vars() of another. Broadcasts carry that, plain data: they pickle classes by name,
+        and executors need no copy of this package."""
+        w = cls.__new__(cls)
+        vars(w).update(state)
+        return w
+
     def order(self, held: dict[tuple[int, int], int]) -> None:
         """held: by shingle size and number, how many documents hold it (none: not at all)."""
         found: dict[int, dict[int, list[tuple[int, int]]]] = {s: defaultdict(list) for s in self.sizes}
@@ -122,10 +130,10 @@ def blocks(benchmark: DataFrame, size: int) -> Iterator[Windows]:
 def _held(source: DataFrame, windows: Windows) -> dict[tuple[int, int], int]:
     """Documents that hold each of the block's shingles, over all documents. As many sums as the
     block has shingles at most."""
-    shared = source.sparkSession.sparkContext.broadcast(windows)
+    shared = source.sparkSession.sparkContext.broadcast(vars(windows))
 
     def make():
-        w = shared.value
+        w = Windows.restored(shared.value)
 
         def run(batch: pa.RecordBatch) -> dict:
             sums = {s: np.zeros(len(w.shingles[s]), np.int64) for s in w.sizes}
@@ -151,11 +159,11 @@ def _held(source: DataFrame, windows: Windows) -> dict[tuple[int, int], int]:
 
 
 def _pass(source: DataFrame, windows: Windows) -> DataFrame:
-    shared = source.sparkSession.sparkContext.broadcast(windows)
+    shared = source.sparkSession.sparkContext.broadcast(vars(windows))
     kind = dict(source.dtypes)["doc_id"]
 
     def make():
-        w = shared.value
+        w = Windows.restored(shared.value)
 
         def run(batch: pa.RecordBatch) -> dict:
             n, hits, items = [], [], []

@@ -3,6 +3,7 @@ repeated rows and columns whose names clash with the operators' own."""
 
 import hashlib
 import os
+import pickle
 import random
 import re
 from collections import Counter
@@ -276,6 +277,14 @@ def test_decontamination(spark, docs, rows, monkeypatch, block):
     assert decontaminate.find_contamination(docs, bench.limit(0)).where(F.size("hits") > 0).count() == 0
 
 
+def test_windows_travel_as_plain_data():
+    windows = decontaminate.Windows([(1, decontaminate.words_of("a b c d e f g h i j k l"))], 10)
+    state = pickle.dumps(vars(windows))
+    assert b"clickloom" not in state
+    back = decontaminate.Windows.restored(pickle.loads(state))
+    assert back.items == windows.items and back.vocab == windows.vocab
+
+
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header>Top</header><nav><a href=x>m</a></nav><div class="cookie-notice">we use</div>
 <article class="post"><h1>Head&amp;line</h1><p>One <b>two<br>three<p>four &#233; </p><script>var a="</p>";</script><div class=ad>buy</div><aside>side</aside><form>f</form><ul><li>x<li>y</ul>
 <section id="comments"><article class="comment">bad</article></section></article><footer>f</footer>"""
