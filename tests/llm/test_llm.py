@@ -228,6 +228,12 @@ def test_pii_disguised(spark):
     assert {r.text for r in pii.mask_personal_data(df).collect()} == {"[email] x [ip]", None, ""}
 
 
+def test_pii_disguised_without_other_words():
+    for text in ("alice@example[.]com", "bob ( at ) example.com", "bob {@} example.com", "bob < at > example.com", "10[.]0[.]0[.]1", "10 dot 0 dot 0 dot 1", "10 (dot) 0 (dot) 0 (dot) 1"):
+        spans = pii.disguised_spans(text, pii.base_spans(text))
+        assert [text[s:e] for s, e, _ in spans] == [text], text
+
+
 def test_quality_on_held_out_labels(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
