@@ -21,6 +21,12 @@ from pyspark.sql import functions as F
 from .common import components, cut, map_batches
 
 BITS, RADIUS, SHINGLE = 64, 4, 4
+#: Of near copies that keep_similar looks for: words in a shingle, least Jaccard similarity of the shingles.
+NEAR_SHINGLE, SIMILARITY = 5, 0.8
+#: Rows that the order of shingles is estimated from, and shingles it puts last. Any order gives the same links.
+ORDER_ROWS, ORDER_SHINGLES = 5_000, 100_000
+#: Nodes that share a shingle and are paired at once; of more, first neighbours only, then what these left apart.
+SMALL = 32
 #: Reference fingerprints in a table. Each column halves the pairs, roughly.
 PIVOTS = 16
 #: Fingerprints that share their agreed bits by chance: more than this, and more runs are cut.
@@ -30,21 +36,29 @@ GROUP = 50_000
 _EDGES = np.array([xxhash.xxh64_intdigest(f"pivot {i}", 42) for i in range(PIVOTS)], np.uint64)
 
 
-def fingerprint(text: str | None) -> int:
-    """The SimHash of a text's shingles, signed; 0 without words."""
+def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """The hash of each run of `size` words, or of all words if there are fewer; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
-    joined, n = b" ".join(words), max(1, len(words) - SHINGLE + 1)
+        return np.zeros(0, "<u8")
+    joined, n = b" ".join(words), max(1, len(words) - size + 1)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate([[0], ends[:-1]])[:n].tolist()
-    ends = (ends - 1)[min(SHINGLE, len(words)) - 1 :].tolist()
-    ones = np.zeros(BITS, np.int64)
+    ends = (ends - 1)[min(size, len(words)) - 1 :].tolist()
     h = xxhash.xxh64_intdigest
-    for i in range(0, n, 1 << 16):
-        part = np.array([h(joined[a:b], 42) for a, b in zip(starts[i : i + (1 << 16)], ends[i : i + (1 << 16)], strict=True)], "<u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+    return np.concatenate([np.array([h(joined[a:b], 42) for a, b in zip(starts[i : i + (1 << 16)], ends[i : i + (1 << 16)], strict=True)], "<u8") for i in range(0, n, 1 << 16)])
+
+
+def simhash(hashes: np.ndarray) -> int:
+    ones = np.zeros(BITS, np.int64)
+    for i in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def fingerprint(text: str | None) -> int:
+    """The SimHash of a text's shingles, signed; 0 without words."""
+    return simhash(shingles(text))
 
 
 def fingerprint_documents(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -154,3 +168,163 @@ def keep_one(documents: DataFrame) -> DataFrame:
     found = near_duplicates(documents).where("doc_id = component_id").select("doc_id").distinct()
     rows = documents.where("doc_id is not null").join(found, "doc_id").dropDuplicates(["doc_id"]).select(*documents.columns)
     return rows.unionByName(documents.where("doc_id is null"))
+
+
+def least_shared(n: int) -> int:
+    """Shingles that a text of n shingles shares at least with one of n or more that is SIMILARITY alike."""
+    return int(np.ceil(SIMILARITY * n - 1e-9))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of shingles, each sorted, have SIMILARITY; two without any have."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= SIMILARITY * (len(a) + len(b) - both) - 1e-9
+
+
+def _order(source: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are found more than once in some of the rows, sorted, and how often."""
+    share = ORDER_ROWS / max(source.count(), 1)
+    some = source.where(F.pmod(F.xxhash64("_row"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("_text")
+
+    def make():
+        def run(batch: pa.RecordBatch) -> dict:
+            return {"h": np.concatenate([np.unique(shingles(t.as_py(), NEAR_SHINGLE)) for t in batch.column("_text")]).view(np.int64)}
+
+        return run
+
+    rows = map_batches(some, "h long", make).groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(ORDER_SHINGLES).collect()
+    h, n = np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["count"] for r in rows], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _sets(source: DataFrame) -> DataFrame:
+    """_row, doc_id, node (a hash of the set of shingles), fp, n (shingles) and prefix per row: the
+    rarest shingles, so many that texts with SIMILARITY share one."""
+    shared = source.sparkSession.sparkContext.broadcast(_order(source))
+
+    def make():
+        known, often = shared.value
+
+        def run(batch: pa.RecordBatch) -> dict:
+            out: dict[str, list] = {"node": [], "fp": [], "n": [], "prefix": []}
+            for t in batch.column("_text"):
+                h = shingles(t.as_py(), NEAR_SHINGLE)
+                own = np.unique(h)
+                rank = np.zeros(len(own), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    rank = np.where(known[at] == own, often[at], 0)
+                out["node"].append(int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), 42)).view(np.int64)))
+                out["fp"].append(simhash(h))
+                out["n"].append(len(own))
+                out["prefix"].append(own[np.argsort(rank, kind="stable")][: len(own) - least_shared(len(own)) + 1].view(np.int64))
+            return {"_row": batch.column("_row"), "doc_id": batch.column("doc_id"), **out, "prefix": pa.array(out["prefix"], pa.list_(pa.int64()))}
+
+        return run
+
+    return map_batches(source, f"_row long, doc_id {dict(source.dtypes)['doc_id']}, node long, fp long, n long, prefix array<long>", make)
+
+
+def _pairs(rows: DataFrame, parts: int, all_pairs: bool) -> DataFrame:
+    """a, b, key of rows (key, node, n, at, root): nodes that share a shingle, have different roots and
+    may be SIMILARITY alike by their numbers of shingles and the places of the shared one. Unless
+    all_pairs, more than SMALL nodes are paired with neighbours only, and the key is given."""
+
+    def run(batches):
+        whole = [[c.to_numpy() for c in b.columns] for b in batches]
+        key, node, n, at, root = (np.concatenate([b[i] for b in whole]) if whole else np.zeros(0, np.int64) for i in range(5))
+        order = np.lexsort((node, n, key))
+        key, node, n, at, root = key[order], node[order], n[order], at[order], root[order]
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1]) if len(key) else np.zeros(0, np.int64)
+        sizes = np.diff(np.concatenate([starts, [len(key)]]))
+        large = np.zeros(len(key), bool) if all_pairs else np.repeat(sizes > SMALL, sizes)
+        named = np.zeros(0, np.int64) if all_pairs else key[starts[sizes > SMALL]]
+        empty = pa.nulls(len(named), pa.int64())
+        yield pa.RecordBatch.from_arrays([empty, empty, pa.array(named, pa.int64())], ["a", "b", "key"])
+        left = np.arange(len(key))
+        for d in range(1, len(key)):
+            left = left[left < len(key) - d]
+            left = left[key[left] == key[left + d]]
+            if d == 3:
+                left = left[~large[left]]
+            if not len(left):
+                break
+            # In order of n, those further on are longer still.
+            left = left[n[left] >= SIMILARITY * n[left + d] - 1e-9]
+            i, j = left, left + d
+            # The first shared shingle of a pair leaves room for all that it must share.
+            room = np.minimum(n[i] - at[i], n[j] - at[j])
+            found = (root[i] != root[j]) & (room >= SIMILARITY / (1 + SIMILARITY) * (n[i] + n[j]) - 1e-6)
+            i, j = i[found], j[found]
+            if len(i):
+                pairs = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.nulls(pairs.shape[1], pa.int64())], ["a", "b", "key"])
+
+    return rows.select("key", "node", "n", "at", "root").repartition(parts, "key").mapInArrow(run, "a long, b long, key long")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) that have SIMILARITY, by the shingles of their texts."""
+    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    texts = source.join(nodes.join(ids, "node", "left_semi").select("_row", "node"), "_row").dropDuplicates(["node"])
+    texts = cut(texts.select("node", "_text"), "texts")
+    both = pairs.join(texts.toDF("a", "_a"), "a").join(texts.toDF("b", "_b"), "b").select("a", "b", "_a", "_b")
+
+    def make():
+        def run(batch: pa.RecordBatch) -> dict:
+            kept: dict[int, np.ndarray] = {}
+
+            def own(node: int, text: pa.StringScalar) -> np.ndarray:
+                if node not in kept:
+                    if len(kept) > 256:
+                        kept.clear()
+                    kept[node] = np.unique(shingles(text.as_py(), NEAR_SHINGLE))
+                return kept[node]
+
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            yes = [similar(own(i, s), own(j, t)) for i, j, s, t in zip(a, b, batch.column("_a"), batch.column("_b"), strict=True)]
+            return {"src": [i for i, y in zip(a, yes, strict=True) if y], "dst": [j for j, y in zip(b, yes, strict=True) if y]}
+
+        return run
+
+    return cut(map_batches(both, "src long, dst long", make), "links")
+
+
+def keep_similar(documents: DataFrame) -> DataFrame:
+    """documents with one row of each group of near copies: the one with the smallest doc_id.
+
+    Two texts are linked if their sets of NEAR_SHINGLE-word shingles have a Jaccard similarity of
+    SIMILARITY at least; links are transitive. No link is missed: pairs within RADIUS bits of SimHash
+    and all pairs that share one of their rarest shingles are candidates, and each is verified on the
+    shingles. Sets and rows are known by 64-bit hashes. Texts without words are copies of each
+    other; null texts count as empty. Rows without a doc_id stay and decide nothing. Of different
+    texts with one doc_id each counts for itself.
+    """
+    row = F.xxhash64("doc_id", "text")
+    source = documents.where("doc_id is not null").select(row.alias("_row"), "doc_id", F.coalesce("text", F.lit("")).alias("_text"))
+    sets = cut(_sets(source), "sets")
+    nodes = cut(sets.dropDuplicates(["node"]), "nodes")
+    size = nodes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+    parts = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // 500_000)
+    rows = nodes.select("node", "n", F.posexplode("prefix").alias("at", "key")).withColumn("at", F.col("at").cast("long"))
+
+    first = cut(_pairs(rows.withColumn("root", F.col("node")), parts, False), "pairs")
+    by_fp = nodes.groupBy("fp").agg(F.min("node").alias("least"))
+    # Links of equal and of near fingerprints.
+    close = link_fingerprints(by_fp.select(F.col("least").alias("node"), "fp")).unionByName(nodes.join(by_fp, "fp").where("node <> least").select(F.col("node").alias("src"), F.col("least").alias("dst")))
+    close = close.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    links = _verified(cut(first.where("a is not null").select("a", "b").union(close).distinct(), "pairs"), nodes, source)
+    roots = cut(components(links), "roots")
+
+    large = first.where("key is not null").select("key").distinct()
+    if not large.isEmpty():
+        rest = rows.join(large, "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        more = cut(_pairs(rest, parts, True).where("a is not null").select("a", "b").distinct(), "pairs")
+        if not more.isEmpty():
+            roots = cut(components(links.union(_verified(more, nodes, source))), "roots")
+
+    kept = sets.select("_row", "doc_id", "node").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("doc_id", "_row")).alias("_kept"))
+    kept = cut(kept.select(F.col("_kept._row").alias("_row")), "kept")
+    found = documents.where("doc_id is not null").withColumn("_row", row).join(kept, "_row", "left_semi").dropDuplicates(["_row"])
+    return found.select(*documents.columns).unionByName(documents.where("doc_id is null"))

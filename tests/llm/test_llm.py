@@ -76,6 +76,49 @@ def test_simhash(docs, rows):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(roots.values()))
 
 
+def brute_similar(rows):
+    """The smallest id of each group of texts whose 5-word shingles have a Jaccard similarity of 0.8."""
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    parent = {i: i for i in sets}
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for i in sets:
+        for j in sets:
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return sorted({find(i) for i in sets})
+
+
+@pytest.mark.parametrize("small", [32, 3])
+def test_near_copies_by_similarity(spark, rows, monkeypatch, small):
+    monkeypatch.setattr(simhash, "SMALL", small)
+    rnd = random.Random(11)
+    near = []
+    for g in range(12):  # copies with some words changed, around the similarity asked for
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(rnd.choice([3, 20, 90, 400]))]
+        for c in range(6):
+            w = list(base)
+            for _ in range(rnd.randint(0, max(1, len(base) // 25))):
+                w[rnd.randrange(len(w))] = f"new{rnd.randrange(10**6)}"
+            near.append((1000 + g * 10 + c, " ".join(w) + (" and one line that all of the texts have" if g % 2 else "")))
+    table = rows + near
+    df = spark.createDataFrame([(i, t, "k") for i, t in table], "doc_id long, text string, _row string").repartition(3)
+    want = brute_similar(table)
+    assert sorted(r.doc_id for r in simhash.keep_similar(df.unionByName(df)).collect()) == want
+    assert len(want) < len({i for i, _ in table}) - 20
+    odd = spark.createDataFrame([(1, "a b c d e f"), (1, "other words than these"), (None, "a b c d e f"), (2, "A b c d e f")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in simhash.keep_similar(odd).collect()) == [(0, "a b c d e f"), (1, "a b c d e f"), (1, "other words than these")]
+    assert simhash.keep_similar(odd.limit(0)).count() == 0
+
+
 def test_simhash_chains_and_hot_groups(spark, monkeypatch):
     monkeypatch.setattr(simhash, "GROUP", 40)
     rnd = random.Random(1)
