@@ -78,14 +78,15 @@ def votes(text: str) -> tuple[list[int], list[int]]:
 
 
 def _insulted(raw: bytes, n: int) -> list[int]:
-    """Both groups of insults and their density; words are compared whole, without case or signs."""
+    """Both groups of insults and their density; words are compared whole, without case or signs.
+    The density needs two words at least: of one its group has said all there is."""
     low = raw.lower()
     hits = [0, 0]
     for g, group in enumerate(INSULTS):
         if any(w.encode() in low for w in group):
             hits[g] = sum(w.translate(None, _DROP).decode("utf-8", "ignore") in group for w in low.split())
     total = sum(hits)
-    return [-1 if hits[0] else 1, -1 if hits[1] else 1, -1 if total > max(0, n // 1000) else 0 if total else 1]
+    return [-1 if hits[0] else 1, -1 if hits[1] else 1, -1 if total > max(1, n // 1000) else 0 if total else 1]
 
 
 def fit_label_model(patterns: np.ndarray, counts: np.ndarray, prior: float = 0.1, rounds: int = 200, trust: float = 0.3) -> np.ndarray:
@@ -156,9 +157,9 @@ def unit(counts: np.ndarray) -> Vector:
     return at, values / max(np.sqrt((values**2).sum()), 1e-9)
 
 
-def fit_scorer(rows: list[Vector], labels: np.ndarray, buckets: int, steps: int = 300) -> np.ndarray:
+def fit_scorer(rows: list[Vector], labels: np.ndarray, buckets: int, steps: int = 300, balanced: bool = True) -> np.ndarray:
     """Logistic weights (the last is the intercept) for the share of the second class in each label;
-    both classes weigh the same in total."""
+    both classes weigh the same in total, or, if not balanced, all rows."""
     w = np.zeros(buckets + 1)
     if not len(rows):
         return w
@@ -168,6 +169,8 @@ def fit_scorer(rows: list[Vector], labels: np.ndarray, buckets: int, steps: int
     values = np.concatenate([np.asarray(v, float) for _, v in rows])
     second = max(labels.sum(), 1e-3)
     weight = np.where(labels > 0.5, 0.5 / second, 0.5 / max(len(labels) - second, 1e-3))
+    if not balanced:
+        weight = np.full(len(labels), 1 / len(labels))
     m = np.zeros(buckets + 1)
     for _ in range(steps):
         x = np.bincount(row, w[at] * values, len(rows)) + w[-1]
@@ -187,6 +190,12 @@ def _written(v: list[int]) -> str:
     return "".join("0+-"[i] for i in v)
 
 
+def _posterior(model: dict[str, float], text: str) -> float:
+    """The label model's share of toxic texts among those with this one's votes."""
+    raw = text.encode("utf-8", "surrogatepass")
+    return model.get(_written(_insulted(raw, len(raw.split()))), 0.0)
+
+
 def _sampled(rows: DataFrame, n: int, size: int, by: list[str]) -> DataFrame:
     """At most `size` of n rows, those with the smallest hashes, without sorting all rows."""
     width = 1 << 40
@@ -194,7 +203,27 @@ def _sampled(rows: DataFrame, n: int, size: int, by: list[str]) -> DataFrame:
     return rows.withColumn("_h", h).where(F.col("_h") < min(width, 2 * size * width // max(n, 1) + 1)).orderBy("_h", *by).limit(size).drop("_h")
 
 
-def _toxic_weights(source: DataFrame, labels: DataFrame, sample: int) -> np.ndarray:
+def _both(scored: float, p: float) -> Vector:
+    """The fitted scorer's log-odds and the label model's share, of like size, as features."""
+    odds = np.log(np.clip(scored, 0.002, 0.998) / np.clip(1 - scored, 0.002, 0.998))
+    return np.array([0, 1]), np.array([odds / 4, p])
+
+
+def fit_toxic(rows: list[Vector], model: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Weights of the scorer, and of it and the label model's shares together: these are fitted on
+    rows that the scorer of the other half has not seen. None with under two rows of a class."""
+    order = np.argsort(labels, kind="stable")
+    half = np.zeros(len(labels), int)
+    half[order] = np.arange(len(labels)) % 2
+    if min((labels > 0.5).sum(), (labels < 0.5).sum()) < 2:
+        return None
+    pick = lambda h: [rows[i] for i in np.flatnonzero(half == h)]
+    others = [fit_scorer(pick(1 - h), labels[half == 1 - h], STEM_BUCKETS) for h in (0, 1)]
+    joint = [_both(score(others[h], x), p) for x, p, h in zip(rows, model, half, strict=True)]
+    return fit_scorer(rows, labels, STEM_BUCKETS), fit_scorer(joint, labels, 2, 2000, balanced=False)
+
+
+def _toxic_weights(source: DataFrame, labels: DataFrame, sample: int, model: dict[str, float]) -> tuple[np.ndarray, np.ndarray] | None:
     """Weights of the toxicity scorer, from at most `sample` labelled documents."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("double").alias("_y"))
     known = _sampled(known, known.count(), sample, ["doc_id"])
@@ -204,20 +233,22 @@ def _toxic_weights(source: DataFrame, labels: DataFrame, sample: int) -> np.ndar
         features = Features()
 
         def run(batch: pa.RecordBatch) -> dict:
-            got = [features(t.as_py())[1] for t in batch.column("_text")]
-            return {"y": batch.column("_y"), "at": pa.array([g[0].astype(np.int32) for g in got], pa.list_(pa.int32())), "values": pa.array([g[1] for g in got], pa.list_(pa.float64()))}
+            texts = [t.as_py() for t in batch.column("_text")]
+            got = [features(t)[1] for t in texts]
+            return {"y": batch.column("_y"), "p": [_posterior(model, t) for t in texts], "at": pa.array([g[0].astype(np.int32) for g in got], pa.list_(pa.int32())), "values": pa.array([g[1] for g in got], pa.list_(pa.float64()))}
 
         return run
 
-    got = map_batches(rows, "y double, at array<int>, values array<double>", featuring).limit(2 * sample).collect()
-    return fit_scorer([(r["at"], r["values"]) for r in got], np.array([r["y"] for r in got]), STEM_BUCKETS)
+    got = map_batches(rows, "y double, p double, at array<int>, values array<double>", featuring).limit(2 * sample).collect()
+    return fit_toxic([(np.array(r["at"], np.int64), np.array(r["values"])) for r in got], np.array([r["p"] for r in got]), np.array([r["y"] for r in got]))
 
 
 def classify(documents: DataFrame, labels: DataFrame | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), sample: int = SAMPLE) -> DataFrame:
     """The columns `keep` of every row, with junk_score, toxic_score (0 to 1), toxic and accepted.
 
-    A document is accepted if it has words and neither score reaches one half. The toxic score is the
-    greater of the label model's and, if labels (doc_id, toxic) are given, the fitted scorer's. Vote
+    A document is accepted if it has words and neither score reaches one half. The toxic score is
+    the label model's or, if labels (doc_id, toxic) with two rows of each class are given, that of
+    a logistic model over it and a scorer fitted on them, in which either can overrule the other. Vote
     patterns are counted over all rows; each scorer is fitted on at most `sample` rows, those with
     the smallest hashes. Null and empty texts are not accepted. Repeated rows each give a row, and
     weigh as many; other columns are ignored. An empty table gives no rows.
@@ -260,9 +291,7 @@ def classify(documents: DataFrame, labels: DataFrame | None = None, text: str =
     some = _sampled(source.select("_text").where(F.length("_text") > 0), sum(r["n"] for r in table), sample, ["_text"])
     rows = map_batches(some, "p double, at array<int>, values array<double>", sampling).collect()
     junk = fit_scorer([(r["at"], r["values"]) for r in rows], np.array([r["p"] for r in rows]), SHAPE_BUCKETS)
-    bad = _toxic_weights(source, labels, sample) if labels is not None else None
-    if bad is not None and not bad.any():
-        bad = None
+    bad = _toxic_weights(source, labels, sample, toxic) if labels is not None else None
     shared = documents.sparkSession.sparkContext.broadcast((junk, bad))
     kept = ", ".join(f"`{c}` {dict(source.dtypes)[c]}" for c in keep)
 
@@ -274,10 +303,9 @@ def classify(documents: DataFrame, labels: DataFrame | None = None, text: str =
             for t in batch.column("_text"):
                 t = t.as_py()
                 shapes, stems = features(t)
-                raw = t.encode("utf-8", "surrogatepass")
-                j, x = score(junk, shapes), toxic.get(_written(_insulted(raw, len(raw.split()))), 0.0)
+                j, x = score(junk, shapes), _posterior(toxic, t)
                 if bad is not None and len(stems[0]):
-                    x = max(x, score(bad, stems))
+                    x = score(bad[1], _both(score(bad[0], stems), x))
                 out["junk_score"].append(j)
                 out["toxic_score"].append(x)
                 out["toxic"].append(x >= 0.5)

@@ -294,6 +294,23 @@ def test_quality_edges(spark):
     assert quality.classify(df.limit(0)).count() == 0
 
 
+def test_quality_scorer_overrules_one_listed_word(spark):
+    plain = "the people of the town went to the market and came home again"
+    assert quality.votes(f"{plain} with the garbage")[1] == [1, -1, 0] and quality.votes(f"{plain} garbage trash")[1] == [1, -1, -1]
+    rnd = random.Random(2)
+    kind, foul = [f"good{k}" for k in "abcdefghijklmnop"], [f"xbad{k}" for k in "abcdefghijklmnop"]
+    kind, foul = [w[4:] * 3 + "day" for w in kind], [w[4:] * 3 + "hate" for w in foul]
+    rows = []
+    for i in range(400):
+        toxic = i % 4 == 0
+        said = rnd.choices(kind, k=20) + (rnd.choices(foul, k=12) + rnd.choices(["idiot", "trash", "scum", "loser"], k=3) * (i % 8 == 0) if toxic else ["garbage"] * (i % 20 == 1))
+        rows.append((i, " ".join(rnd.sample(said, len(said))), int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {r.doc_id: r.toxic for r in quality.classify(df.select("doc_id", "text"), df.where("doc_id % 3 > 0").select("doc_id", "toxic")).collect()}
+    for some in ([r for r in rows if "garbage" in r[1]], [r for r in rows if r[2]], [r for r in rows if not r[2]]):
+        assert len(some) > 15 and sum(got[i] == bool(y) for i, _, y in some) >= 0.95 * len(some)
+
+
 def brute_windows(docs, items, size=10):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     windows = {}
