@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_kept, quoted
 
 #: Words kept in a task's cache before it is emptied; bounds memory, not results.
 CACHE_WORDS = 250_000
@@ -123,7 +123,7 @@ def encode_documents(documents: DataFrame, vocabulary: str, text: str = "text",
     """The columns `keep` of every row, with ids (array<int>) and decoded (string) of its text.
 
     A null text counts as empty and gives no ids. Every row gives one row, repeated rows included;
-    other columns are ignored whatever their names. `vocabulary` is the path of the tokenizer file,
+    other columns are ignored, and a kept column named like an output gives way to it. `vocabulary` is the path of the tokenizer file,
     readable on every executor.
     """
     return _encoded(documents, vocabulary, text, keep, False)
@@ -136,15 +136,12 @@ def digest_documents(documents: DataFrame, vocabulary: str, text: str = "text",
 
 
 def _encoded(documents: DataFrame, vocabulary: str, text: str, keep: tuple[str, ...], digests: bool) -> DataFrame:
-    source = documents.select(*[F.col(c) for c in keep], F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    kept = ", ".join(f"`{c}` {dict(source.dtypes)[c]}" for c in keep)
     more = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
 
     def make():
         model = WordBpe(vocabulary)
 
         def run(batch: pa.RecordBatch) -> dict:
-            out = {c: batch.column(c) for c in keep}
             n, ids_out, decoded_out = [], [], []
             for t in batch.column("_text"):
                 ids = model.encode(t.as_py())
@@ -157,9 +154,9 @@ def _encoded(documents: DataFrame, vocabulary: str, text: str, keep: tuple[str,
                     ids_out.append(np.frombuffer(ids, "<i4"))
                     decoded_out.append(decoded)
             if digests:
-                return out | {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_out, pa.string()), "decoded_sha256": pa.array(decoded_out, pa.string())}
-            return out | {"ids": pa.array(ids_out, pa.list_(pa.int32())), "decoded": pa.array(decoded_out, pa.string())}
+                return {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_out, pa.string()), "decoded_sha256": pa.array(decoded_out, pa.string())}
+            return {"ids": pa.array(ids_out, pa.list_(pa.int32())), "decoded": pa.array(decoded_out, pa.string())}
 
         return run
 
-    return map_batches(source, f"{kept}, {more}", make)
+    return map_kept(documents, keep, {"_text": F.coalesce(quoted(text), F.lit(""))}, more, make)

@@ -8,7 +8,6 @@ longer prefix does not start with the shorter one's output, the template rewrite
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Callable
 
@@ -51,23 +50,46 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     return [(_unrole(m[1]), unescape(m[2])) for m in re.finditer(re.escape(START) + r"(.*?)\n(.*?)" + re.escape(END) + "\n", formatted, re.S)]
 
 
+def common_prefix(a: str, b: str) -> int:
+    """Length of what two strings both begin with, by halving."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while low + 1 < high:
+        middle = (low + high) // 2
+        low, high = (middle, high) if a[:middle] == b[:middle] else (low, middle)
+    return low
+
+
+def probe_for(messages: list[tuple[str, str]], output: str) -> str:
+    """A text that no role, text or output holds: rendered in a turn's place, it shows where the
+    turn's text goes."""
+    k = 0
+    while any(f"\ue000{k}\ue001" in s for s in (output, *(x for m in messages for x in m))):
+        k += 1
+    return f"\ue000{k}\ue001"
+
+
 def render_spans(messages: list[tuple[str, str]], template: Template) -> tuple[str, list[tuple[int, int] | None], list[tuple[int, int] | None], bool]:
     """(output, turn spans, text spans, rewrites): spans in the full output, None for turns whose
     output a later prefix changed; rewrites tells whether there are such turns."""
     out, turns, texts, rewrites = "", [], [], False
+    probe = probe_for(messages, template(messages)) if messages else ""
     for i, (role, _) in enumerate(messages):
         new = template(messages[: i + 1])
         if new.startswith(out):
             common = len(out)
         else:
-            rewrites, common = True, len(os.path.commonprefix([out, new]))
+            rewrites, common = True, common_prefix(out, new)
             turns = [s if s and s[1] <= common else None for s in turns]
             texts = [s if s and s[1] <= common else None for s in texts]
         turns.append((common, len(new)))
-        probe = template([*messages[:i], (role, PROBE)])
-        head = probe.find(PROBE, len(os.path.commonprefix([probe, new[:common]])))
-        tail = len(probe) - head - len(PROBE)
-        texts.append((head, len(new) - tail) if head >= 0 and head <= len(new) - tail else None)
+        shown = template([*messages[:i], (role, probe)])
+        head = shown.find(probe, common if shown.startswith(new[:common]) else common_prefix(shown, new[:common]))
+        tail = len(shown) - head - len(probe)
+        # Around the probe both outputs have to agree, or the template does not just insert the text.
+        fits = 0 <= head <= len(new) - tail and new.startswith(shown[:head]) and new.endswith(shown[head + len(probe) :])
+        texts.append((head, len(new) - tail) if fits else None)
         out = new
     return out, turns, texts, rewrites
 

@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+
+#: Words whose numbers a task keeps before it starts over.
+CACHE_WORDS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +39,34 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots and backticks included."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def apart(rows: DataFrame) -> DataFrame:
+    """rows with columns named by place (_k0, _k1, ...), which no operator's own column is called."""
+    return rows.toDF(*[f"_k{i}" for i in range(len(rows.columns))])
+
+
+def place_of(rows: DataFrame, name: str) -> Column:
+    """The column of apart(rows) that is called `name` in rows."""
+    names = [c.lower() for c in rows.columns]
+    return F.col(f"_k{names.index(name.lower())}")
+
+
+def together(rows: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of `like`, by place, from rows that apart() renamed and others added columns to."""
+    return rows.select(*[f"_k{i}" for i in range(len(like.columns))]).toDF(*like.columns)
+
+
+def row_key(doc_id: Column, text: Column) -> list[Column]:
+    """_a and _b: 128 bits that tell a row apart from all that differ in doc_id or text, nulls included."""
+    shown = F.coalesce(doc_id.cast("string"), F.lit("null"))
+    return [F.xxhash64(shown, text).alias("_a"), F.xxhash64(F.lit("b"), text, F.lit("b"), shown).alias("_b")]
+
+
+def map_batches(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
     """Map every Arrow batch through make()(batch), which returns columns by name.
 
     make runs once per task, so that caches live in the task. No batch sees another's rows.
@@ -49,6 +83,46 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
     return df.mapInArrow(run, schema)
 
 
+def map_kept(rows: DataFrame, keep: Iterable[str], inputs: dict[str, Column], schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
+    """The columns `keep` of every row behind those (schema) that make()(batch of inputs) returns.
+
+    Kept columns pass through under names of their own, whatever they are called. One that is called
+    like an output, in any case, gives way to it.
+    """
+    made = rows.sparkSession.createDataFrame([], schema).schema
+    names = [c for c in dict.fromkeys(keep) if c.lower() not in {f.name.lower() for f in made}]
+    source = rows.select(*[quoted(c).alias(f"_k{i}") for i, c in enumerate(names)], *[x.alias(n) for n, x in inputs.items()])
+    kept = source.schema.fields[: len(names)]
+
+    def making():
+        f = make()
+        return lambda batch: f(batch) | {k.name: batch.column(k.name) for k in kept}
+
+    return map_batches(source, StructType([*kept, *made.fields]), making).toDF(*names, *[f.name for f in made])
+
+
+class Words:
+    """64-bit numbers of words; a task-long cache that is emptied when full."""
+
+    def __init__(self):
+        self.cache: dict[bytes, int] = {}
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        cache, h = self.cache, xxhash.xxh64_intdigest
+        if len(cache) > CACHE_WORDS:
+            cache.clear()
+        out = np.empty(len(words), np.uint64)
+        for i in range(0, len(words), CACHE_WORDS):
+            part = words[i : i + CACHE_WORDS]
+            got = list(map(cache.get, part))
+            if None in got:
+                for k, x in enumerate(got):
+                    if x is None:
+                        got[k] = cache[part[k]] = h(part[k])
+            out[i : i + len(part)] = got
+        return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the graph with the given (src, dst) long edges.
 

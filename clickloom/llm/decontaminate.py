@@ -1,28 +1,30 @@
 """Benchmark decontamination by a prefix-filtered set join.
 
 Every window of a benchmark item is a set of word shingles, ordered by how few documents hold them.
-A document that holds the whole window holds its rarest shingle (at full containment the necessary
-prefix is one token), so only occurrences of those prefix shingles are looked at: the shingle's
-place in the window tells where the window would start, bounds drop starts outside the document,
-and what remains is compared word by word.
+A document that holds the whole window holds its rarest shingle: at full containment the necessary
+prefix is one token. So documents are joined to windows on that shingle alone. Its place in the
+window tells where the window would start, bounds drop starts outside the document, and what is left
+is compared word by word.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches
+from .common import Words, apart, cut, map_batches, map_kept, place_of, row_key, together
 
 SHINGLE = 5
-#: Benchmark words that one pass over the documents looks for. A larger benchmark takes more passes.
-BLOCK_WORDS = 2_000_000
+#: Shingles of the benchmark that one pass over the documents looks for: 8 bytes each in a broadcast,
+#: and FILTER bytes. More are looked for in more passes.
+BLOCK_SHINGLES = 2_000_000
+FILTER = 1 << 24
+#: Windows of a join that are broadcast at most, about 200 bytes each; more are joined by a shuffle.
+BROADCAST_WINDOWS = 100_000
 MULTIPLIER = 0x9E3779B97F4A7C15
 
 # Words are runs of digits, ASCII letters (lower-cased) and everything beyond ASCII.
@@ -37,147 +39,104 @@ def words_of(text: str | None) -> list[bytes]:
 def rolled(ids: np.ndarray, size: int) -> np.ndarray:
     """A 64-bit number for each run of `size` ids; equal runs have equal numbers."""
     n = max(0, len(ids) - size + 1)
-    out = np.zeros(n, np.uint64)
+    out = np.full(n, size, np.uint64)
     for j in range(size):
         out *= np.uint64(MULTIPLIER)
         out += ids[j : j + n]
-    return out
-
-
-class Windows:
-    """The windows of a block of items, and after order() the documents' lookup table."""
-
-    def __init__(self, items: list[tuple[int, list[bytes]]], size: int):
-        self.vocab: dict[bytes, int] = {}
-        of: dict[tuple[int, ...], list[int]] = defaultdict(list)
-        for item, words in items:
-            ids = tuple(self.vocab.setdefault(w, len(self.vocab) + 1) for w in words)
-            for i in range(max(1, len(ids) - size + 1)) if ids else ():
-                of[ids[i : i + size]].append(item)
-        self.runs = [np.array(w, np.uint64) for w in of]
-        self.items = [sorted(set(x)) for x in of.values()]
-        self.sizes = sorted({min(SHINGLE, len(w)) for w in self.runs})
-        self.shingles = {s: np.unique(np.concatenate([rolled(w, s) for w in self.runs if min(SHINGLE, len(w)) == s])) for s in self.sizes}
-        self.prefix: dict[int, tuple[np.ndarray, list[list[tuple[int, int]]]]] = {}
-
-    @classmethod
-    def restored(cls, state: dict) -> Windows:
-        """From vars() of another. Broadcasts carry that, plain data: they pickle classes by name,
-        and executors need no copy of this package."""
-        w = cls.__new__(cls)
-        vars(w).update(state)
-        return w
-
-    def order(self, held: dict[tuple[int, int], int]) -> None:
-        """held: by shingle size and number, how many documents hold it (none: not at all)."""
-        found: dict[int, dict[int, list[tuple[int, int]]]] = {s: defaultdict(list) for s in self.sizes}
-        for k, run in enumerate(self.runs):
-            s = min(SHINGLE, len(run))
-            keys = rolled(run, s).tolist()
-            at = min(range(len(keys)), key=lambda i: (held.get((s, keys[i]), 0), keys[i], i))
-            if held.get((s, keys[at]), 0):
-                found[s][keys[at]].append((k, at))
-        self.prefix = {s: (np.array(sorted(x), np.uint64), [x[i] for i in sorted(x)]) for s, x in found.items() if x}
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.vocab.get, words, repeat(0)), np.uint64, len(words))
-
-    @staticmethod
-    def places(ids: np.ndarray, size: int) -> np.ndarray:
-        """Where `size` words in a row are all known."""
-        known = np.flatnonzero(ids)
-        if len(known) < size:
-            return known[:0]
-        return known[: len(known) - size + 1][known[size - 1 :] - known[: len(known) - size + 1] == size - 1]
-
-    def occurrences(self, words: list[bytes]) -> tuple[np.ndarray, list[int]]:
-        """The word positions inside any occurrence of a window, and the items of such windows."""
-        ids = self.ids(words)
-        hit, items = np.zeros(len(words), bool), set()
-        for s, (keys, windows) in self.prefix.items():
-            at = self.places(ids, s)
-            if not len(at):
-                continue
-            key = np.zeros(len(at), np.uint64)
-            for j in range(s):
-                key *= np.uint64(MULTIPLIER)
-                key += ids[at + j]
-            where = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            for i in np.flatnonzero(keys[where] == key).tolist():
-                for k, offset in windows[where[i]]:
-                    start = int(at[i]) - offset
-                    run = self.runs[k]
-                    if start >= 0 and start + len(run) <= len(ids) and np.array_equal(ids[start : start + len(run)], run):
-                        hit[start : start + len(run)] = True
-                        items.update(self.items[k])
-        return np.flatnonzero(hit), sorted(items)
-
-
-def blocks(benchmark: DataFrame, size: int) -> Iterator[Windows]:
-    """The items in order, in blocks of about BLOCK_WORDS words; a block is what a task holds."""
-    items, n = [], 0
-    for row in benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null").orderBy("item_id", "text").toLocalIterator():
-        words = words_of(row.text)
-        items.append((row.item_id, words))
-        n += len(words)
-        if n >= BLOCK_WORDS:
-            yield Windows(items, size)
-            items, n = [], 0
-    if items:
-        yield Windows(items, size)
-
-
-def _held(source: DataFrame, windows: Windows) -> dict[tuple[int, int], int]:
-    """Documents that hold each of the block's shingles, over all documents. As many sums as the
-    block has shingles at most."""
-    shared = source.sparkSession.sparkContext.broadcast(vars(windows))
+    return out ^ (out >> np.uint64(31))
+
+
+def _windows(benchmark: DataFrame, size: int) -> DataFrame:
+    """item_id, win (words, joined by a space), shingles (numbers, in order) of every window."""
+    items = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
+    kind = dict(items.dtypes)["item_id"]
 
     def make():
-        w = Windows.restored(shared.value)
+        number = Words()
 
         def run(batch: pa.RecordBatch) -> dict:
-            sums = {s: np.zeros(len(w.shingles[s]), np.int64) for s in w.sizes}
-            for t in batch.column("_text"):
-                ids = w.ids(words_of(t.as_py()))
-                for s in w.sizes:
-                    at = w.places(ids, s)
-                    if len(at):
-                        key = np.zeros(len(at), np.uint64)
-                        for j in range(s):
-                            key *= np.uint64(MULTIPLIER)
-                            key += ids[at + j]
-                        key = np.unique(key)
-                        where = np.minimum(np.searchsorted(w.shingles[s], key), len(w.shingles[s]) - 1)
-                        sums[s][where[w.shingles[s][where] == key]] += 1
-            out = [(s, w.shingles[s][i], sums[s][i]) for s in w.sizes for i in np.flatnonzero(sums[s])]
-            return {"size": pa.array([x[0] for x in out], pa.int32()), "shingle": pa.array([int(x[1].astype(np.int64)) for x in out], pa.int64()), "n": pa.array([int(x[2]) for x in out], pa.int64())}
+            at, wins, shingles = [], [], []
+            for i, t in enumerate(batch.column("text")):
+                words = words_of(t.as_py())
+                n = min(size, len(words))
+                numbers = rolled(number(words), min(SHINGLE, n)) if n else ()
+                for k in range(len(words) - n + 1 if n else 0):
+                    at.append(i)
+                    wins.append(b" ".join(words[k : k + n]).decode("utf-8", "replace"))
+                    shingles.append(numbers[k : k + n - min(SHINGLE, n) + 1].view(np.int64))
+            return {"item_id": batch.column("item_id").take(pa.array(at, pa.int64())), "win": pa.array(wins, pa.string()), "shingles": pa.array(shingles, pa.list_(pa.int64()))}
 
         return run
 
-    sums = map_batches(source.select("_text"), "size int, shingle long, n long", make).groupBy("size", "shingle").agg(F.sum("n").alias("n"))
-    return {(r["size"], r["shingle"] % 2**64): r["n"] for r in sums.collect()}
+    return map_batches(items, f"item_id {kind}, win string, shingles array<long>", make)
 
 
-def _pass(source: DataFrame, windows: Windows) -> DataFrame:
-    shared = source.sparkSession.sparkContext.broadcast(vars(windows))
-    kind = dict(source.dtypes)["doc_id"]
+_PLACES = "array<struct<shingle: bigint, place: int, before: int, context: string>>"
+
+
+def _occurrences(source: DataFrame, shingles: DataFrame, sizes: list[int], size: int) -> DataFrame:
+    """_a, _b, doc_id, n_words, found (_PLACES) per row of source: where the text has one of the given
+    shingles, with the words around it that a window can reach. `shingles` fits in a broadcast."""
+    numbers = np.sort(shingles.toArrow().column(0).combine_chunks().to_numpy().view(np.uint64))
+    shared = source.sparkSession.sparkContext.broadcast(numbers)
 
     def make():
-        w = Windows.restored(shared.value)
+        numbers, number = shared.value, Words()
+        # Most numbers are told apart by their upper bits alone.
+        maybe = np.zeros(FILTER, bool)
+        maybe[numbers >> np.uint64(40)] = True
 
         def run(batch: pa.RecordBatch) -> dict:
-            n, hits, items = [], [], []
+            n, found = [], []
             for t in batch.column("_text"):
                 words = words_of(t.as_py())
-                where, which = w.occurrences(words)
                 n.append(len(words))
-                hits.append(where.astype(np.int32))
-                items.append(which)
-            return {"doc_id": batch.column("doc_id"), "_key": batch.column("_key"), "n_words": pa.array(n, pa.int64()), "hits": pa.array(hits, pa.list_(pa.int32())), "items": pa.array(items, pa.list_(pa.int64()))}
+                ids, here = number(words) if len(numbers) else np.zeros(0, np.uint64), []
+                for s in sizes:
+                    keys = rolled(ids, s)
+                    at = np.flatnonzero(maybe[keys >> np.uint64(40)])
+                    if len(at):
+                        where = np.minimum(np.searchsorted(numbers, keys[at]), len(numbers) - 1)
+                        for p in at[numbers[where] == keys[at]].tolist():
+                            first = max(0, p + s - size)
+                            here.append({"shingle": int(keys[p].view(np.int64)), "place": p, "before": p - first, "context": b" ".join(words[first : p + size]).decode("utf-8", "replace")})
+                found.append(here)
+            return {"n_words": pa.array(n, pa.int64()), "found": pa.array(found, pa.list_(pa.struct([("shingle", pa.int64()), ("place", pa.int32()), ("before", pa.int32()), ("context", pa.string())])))}
 
         return run
 
-    return map_batches(source, f"doc_id {kind}, _key long, n_words long, hits array<int>, items array<long>", make)
+    return map_kept(source, ["_a", "_b", "doc_id"], {"_text": F.col("_text")}, f"n_words long, found {_PLACES}", make)
+
+
+def _hits(found: DataFrame, windows: DataFrame) -> DataFrame:
+    """_a, _b, win, start, n of all occurrences of windows, each once per row of `found`."""
+    places = found.select("_a", "_b", F.explode("found").alias("f")).select("_a", "_b", "f.*")
+    # How many documents hold a shingle; none is written for shingles that no document holds.
+    held = places.groupBy("shingle", "_a", "_b").count().groupBy("shingle").agg(F.count("*").alias("held"))
+    tokens = windows.select("win", F.posexplode("shingles").alias("offset", "shingle")).join(held, "shingle", "left")
+    rank = F.struct(F.coalesce("held", F.lit(0)).alias("held"), "shingle", "offset")
+    prefix = tokens.groupBy("win").agg(F.min(rank).alias("r")).where("r.held > 0")
+    prefix = cut(prefix.select("win", F.size(F.split("win", " ")).alias("n"), "r.shingle", "r.offset"), "prefix")
+    side = F.broadcast(prefix) if prefix.count() <= BROADCAST_WINDOWS else prefix
+    both = places.join(side, "shingle").where("before >= offset")  # else it would start before the text
+    words = F.array_join(F.slice(F.split("context", " "), F.col("before") - F.col("offset") + 1, F.col("n")), " ")
+    return both.where(words == F.col("win")).select("_a", "_b", "win", (F.col("place") - F.col("offset")).alias("start"), "n").distinct()
+
+
+def _found(source: DataFrame, benchmark: DataFrame, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(per row _a, _b, doc_id, n_words; occurrences of windows; item_id and win of all windows)."""
+    all_windows = cut(_windows(benchmark, size), "windows")
+    windows = all_windows.dropDuplicates(["win"]).select("win", "shingles")
+    shingles = windows.select(F.explode("shingles").alias("shingle"), F.least(F.size(F.split("win", " ")), F.lit(SHINGLE)).alias("s"))
+    sizes = sorted(r["s"] for r in shingles.select("s").distinct().collect())  # SHINGLE numbers at most
+    shingles = cut(shingles.select("shingle").distinct(), "shingles")
+    blocks = max(1, -(-shingles.count() // BLOCK_SHINGLES))
+    block: Callable[[int], Column] = lambda k: F.pmod(F.xxhash64("shingle"), F.lit(blocks)) == k
+    found = [cut(_occurrences(source, shingles.where(block(k)), sizes, size), "found") for k in range(blocks)]
+    places = found[0]
+    for more in found[1:]:
+        places = places.unionByName(more)
+    return found[0].drop("found"), cut(_hits(places, windows), "hits"), all_windows.select("item_id", "win").distinct()
 
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, size: int = 10, text: str = "text") -> DataFrame:
@@ -185,27 +144,24 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, size: int = 1
 
     Windows are `size` words of an item, or the whole item if it has fewer. Null texts have no words;
     items without words, id or text have no windows; repeated items count once, repeated documents
-    give a row each. Other columns are ignored. Without any window nothing is hit.
+    give a row each. Ids may be of any type. Other columns are ignored. Without any window nothing is
+    hit.
     """
-    source = documents.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("_text"), F.xxhash64("doc_id", text).alias("_key"))
-    found = []
-    for windows in blocks(benchmark, size):
-        windows.order(_held(source, windows))
-        found.append(_pass(source, windows))
-    if not found:
-        found = [_pass(source, Windows([], size))]
-    if len(found) == 1:
-        return found[0].drop("_key")
-    rows = cut(found[0], "hits")
-    for more in found[1:]:
-        rows = rows.unionByName(cut(more, "hits"))
-    whole = rows.groupBy("doc_id", "_key").agg(
-        F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / len(found)).cast("int").alias("_copies")
-    )
-    return whole.select("doc_id", "n_words", "hits", "items", F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).drop("_copy")
+    body = F.coalesce(F.col(text), F.lit(""))
+    source = documents.select(*row_key(F.col("doc_id"), body), "doc_id", body.alias("_text"))
+    rows, hits, items = _found(source, benchmark, size)
+    key = ["_a", "_b"]
+    positions = hits.groupBy(*key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", F.col("start") + F.col("n") - 1))))).alias("hits"))
+    named = hits.select(*key, "win").distinct().join(items, "win").groupBy(*key).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    kind = dict(items.dtypes)["item_id"]
+    found = rows.join(positions, key, "left").join(named, key, "left")
+    return found.select("doc_id", "n_words", F.coalesce("hits", F.array().cast("array<int>")).alias("hits"), F.coalesce("items", F.array().cast(f"array<{kind}>")).alias("items"))
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """documents without those that hold a window of a benchmark item."""
-    bad = cut(find_contamination(documents, benchmark, size).where(F.size("hits") > 0).select("doc_id").distinct(), "contaminated")
-    return documents.join(bad, "doc_id", "left_anti").select(*documents.columns)
+    """documents without the rows that hold a window of a benchmark item. Rows are judged by their own
+    text, whatever their doc_id, null or not, and whatever other rows have the same."""
+    ids, body = place_of(documents, "doc_id"), F.coalesce(place_of(documents, "text"), F.lit(""))
+    rows = apart(documents).select("*", *row_key(ids, body))
+    _, hits, _ = _found(rows.select("_a", "_b", ids.alias("doc_id"), body.alias("_text")), benchmark, size)
+    return together(rows.join(hits.select("_a", "_b").distinct(), ["_a", "_b"], "left_anti"), documents)

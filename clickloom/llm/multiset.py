@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 #: Two hashes of 64 bits; coordinates i and i + 32 of a hash are counted in one long.
 HASHES = 2
 LANE = 32
-#: Documents in one range of ids, at most about.
-RANGE_ROWS = 20_000
+#: Documents in one range of ids, about, and most ranges: beyond them ranges grow, and their sort spills.
+RANGE_ROWS, RANGES = 20_000, 20_000
 
 
 def paragraphs(text: Column) -> Column:
-    """Lines, cut again after ". ", "! " and "? ", trimmed; empty ones are left out."""
+    """Lines, cut again into sentences after ". ", "! " and "? "; empty ones are left out."""
     return F.filter(F.split(text, r"\n+|(?<=[.!?]) +"), lambda p: F.length(p) > 0)
 
 
@@ -73,8 +73,15 @@ def merged(a: Column, b: Column, sign: int = 1) -> Column:
 
 
 def written(v: Column) -> Column:
-    """A fingerprint as a string: its digest, which differs when any coordinate does."""
-    return F.sha2(F.array_join(F.transform(v, lambda x: F.hex(x)), ","), 256)
+    """A fingerprint as a string, from which read_back() gives the vector: 8 hex digits a coordinate,
+    so that strings can be added, subtracted and compared like the vectors."""
+    return F.lower(F.array_join(F.transform(v, lambda x: F.lpad(F.hex(x), 8, "0")), ""))
+
+
+def read_back(fingerprint: Column) -> Column:
+    """The vector of a fingerprint string."""
+    n = F.floor(F.length(fingerprint) / 8).cast("int")
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(F.substring(fingerprint, i * 8 + 1, F.lit(8)), 16, 10).cast("long"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -95,51 +102,54 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - apart / total))
 
 
-def with_next(documents: DataFrame, columns: list[str]) -> DataFrame:
-    """Each row with struct _next of the given columns of the row after it in descending doc_id (the
-    first row's for the last).
+def with_next(documents: DataFrame, columns: list[str], derived: dict[str, Column] | None = None) -> DataFrame:
+    """Each row with its `derived` columns and struct _next: the given columns, derived ones too, of the
+    row after it in descending doc_id (the first row's for the last).
 
-    Rows are dealt into ranges of ids of about RANGE_ROWS rows at most, each ordered by itself; the
-    first row of every range is also put behind the range before. Ties in doc_id go by the other columns.
+    Rows are dealt into ranges of doc_id (a number), each ordered by itself; the first row of every
+    range is also put behind the range before. Ties in doc_id go by the other columns. Derived columns
+    are made once for each row, not again for the rows that are put behind a range.
     """
-    spark = documents.sparkSession
+    derived = derived or {}
     ids = documents.select(F.col("doc_id").cast("double").alias("_id"))
     n = ids.count()
-    parts = max(64, -(-n // RANGE_ROWS))
+    parts = min(max(64, -(-n // RANGE_ROWS)), RANGES)
     bounds = ids.dropna().approxQuantile("_id", [i / parts for i in range(1, parts)], 0.2 / parts) if n else []
     splits = [float("-inf"), *(sorted(set(bounds)) or [0.0]), float("inf")]
     cut = Bucketizer(splits=splits, inputCol="_id", outputCol="_range", handleInvalid="keep")
+    # Ascending range numbers in descending ids; rows without an id come last.
+    rows = cut.transform(documents.withColumn("_id", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("nan")))))
+    rows = rows.withColumn("_range", F.when(F.col("doc_id").isNull(), F.lit(len(splits))).otherwise(len(splits) - 2 - F.col("_range")).cast("int")).drop("_id")
 
-    def ranged(df: DataFrame) -> DataFrame:
-        # Ascending range numbers in descending ids; rows without an id come last.
-        got = cut.transform(df.withColumn("_id", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("nan")))))
-        return got.withColumn("_range", F.when(F.col("doc_id").isNull(), F.lit(len(splits))).otherwise(len(splits) - 2 - F.col("_range")).cast("int")).drop("_id")
-
-    order = [F.col("doc_id").desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in columns if c != "doc_id"]]
-    rows = ranged(documents).withColumn("_extra", F.lit(False))
-    # At most one row for each range: small enough for one task and for every executor.
-    firsts = rows.groupBy("_range").agg(F.max("doc_id").alias("_first"))
+    plain = [c for c in columns if c not in derived]
+    order = [F.col("doc_id").desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in plain if c != "doc_id"]]
+    # At most one row for each range, so RANGES + 2 rows: few enough for one task and every executor.
     turn = Window.orderBy("_range")
+    firsts = rows.groupBy("_range").agg(F.max("doc_id").alias("_first"))
     firsts = firsts.select("_range", "_first", F.coalesce(F.lag("_range").over(turn), F.max("_range").over(Window.partitionBy())).alias("_before"))
-    heads = rows.join(F.broadcast(firsts), (rows["_range"] == firsts["_range"]) & rows["doc_id"].eqNullSafe(firsts["_first"])).select(*[rows[c] for c in documents.columns], F.col("_before").alias("_range"), F.lit(True).alias("_extra"))
+    heads = rows.join(F.broadcast(firsts), (rows["_range"] == firsts["_range"]) & rows["doc_id"].eqNullSafe(firsts["_first"])).select(F.col("_before").alias("_range"), *[rows[c] for c in documents.columns], F.lit(True).alias("_extra"))
+    rows = rows.select("_range", *documents.columns, F.lit(False).alias("_extra"))
     # One of several rows with the first id: the one that the order puts first.
-    first = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    heads = heads.withColumn("_k", first).where("_k = 1").drop("_k")
+    heads = heads.withColumn("_k", F.row_number().over(Window.partitionBy("_range").orderBy(*order))).where("_k = 1").drop("_k")
+    both = rows.unionByName(heads).withColumns(derived)
     w = Window.partitionBy("_range").orderBy(F.col("_extra"), *order)
-    return rows.unionByName(heads).withColumn("_next", F.lead(F.struct(*columns)).over(w)).where(~F.col("_extra")).drop("_extra", "_range")
+    return both.withColumn("_next", F.lead(F.struct(*columns)).over(w)).where(~F.col("_extra")).drop("_extra", "_range")
 
 
 def fingerprint_documents(documents: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next per row.
 
+    Fingerprints are vectors as strings (see written); near_* compare these very vectors. Over texts
+    that share a share s of their paragraphs they are s give or take 0.09 (one standard deviation of
+    128 projections); tests hold the mean error to 0.06.
+
     The edited text keeps a text's first part and takes as many code points as its second half has
     (rounded down) from the start of the next document, or all it has. A null text counts as empty;
     rows without a doc_id come after all others; repeated rows each give a row. Other columns are
     ignored. A single document is its own next one. An empty table gives no rows.
     """
     docs = documents.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    docs = docs.withColumn("_v", vector(F.col("_text")))
-    rows = with_next(docs, ["doc_id", "_text", "_v"])
+    rows = with_next(docs, ["doc_id", "_text", "_v"], {"_v": vector(F.col("_text"))})
     n = F.char_length("_text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("_text"), F.lit(1), n - half), F.substring(F.col("_next._text"), F.lit(1), half))

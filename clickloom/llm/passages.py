@@ -13,37 +13,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Runs, anchors
-from .common import cut, map_batches
+from .common import Words, cut, map_batches
 
 WINDOW, SHORT, MIDDLE = 35, 9, 18
-CACHE_WORDS = 200_000
-
-
-class Words:
-    """64-bit numbers of words; a task-long cache that is emptied when full."""
-
-    def __init__(self):
-        self.cache: dict[bytes, int] = {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        cache, h = self.cache, xxhash.xxh64_intdigest
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        out = np.empty(len(words), np.uint64)
-        for i in range(0, len(words), CACHE_WORDS):
-            part = words[i : i + CACHE_WORDS]
-            got = list(map(cache.get, part))
-            if None in got:
-                for k, x in enumerate(got):
-                    if x is None:
-                        got[k] = cache[part[k]] = h(part[k])
-            out[i : i + len(part)] = got
-        return out
 
 
 def gathered(batches, columns: int) -> list[np.ndarray]:

@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import apart, map_batches, map_kept, quoted, together
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -26,22 +27,52 @@ IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-# Letters that look like an ASCII letter or sign.
-HOMOGLYPHS = dict(
-    zip("аеорсухіјѕһԁԛԝАВЕКМНОРСТХІЈЅαορνικΑΒΕΖΗΙΚΜΝΟΡΤΥΧ․。．﹒＠﹫", "aeopcyxijshdqwABEKMHOPCTXIJSaopvikABEZHIKMNOPTYX....@@", strict=True)
-) | {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)}
-INVISIBLE = frozenset("­​‌‍⁠﻿")
-ODD = re.compile("[" + re.escape("".join([*HOMOGLYPHS, *INVISIBLE])) + "]")
+# Letters of other alphabets that look like an ASCII letter, and signs like a dot or at.
+LOOKALIKES = dict(
+    zip(
+        "аеорсухіјѕһԁԛԝүвгкмнтАВЕКМНОРСТХІЈЅԌԚԜҮαορνικυτωγΑΒΕΖΗΙΚΜΝΟΡΤΥΧοօսոցհԱＳıɡɑᴏ․。・·•∙⋅︒﹒＠﹫ⓐ‐‑‒–—−﹣",
+        "aeopcyxijshdqwybrkmhtABEKMHOPCTXIJSGQWYaopvikutwyABEZHIKMNOPTYXoouoghUSigao.........@@a-------",
+        strict=True,
+    )
+)
+INVISIBLE = frozenset("\u00ad\u180e\u200b\u200c\u200d\u200e\u200f\u2060\u2061\u2062\u2063\u2064\ufe0e\ufe0f\ufeff")
+
+
+def homoglyphs() -> dict[str, str]:
+    """What characters beyond ASCII stand for: those above, every decimal digit of any script, and all
+    whose compatibility form is one ASCII character (full width, mathematical, circled letters...)."""
+    out = {}
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xF900, 0x1FC00)]):
+        if c.isdecimal():
+            out[c] = str(unicodedata.decimal(c))
+        else:
+            n = unicodedata.normalize("NFKC", c)
+            if len(n) == 1 and " " <= n <= "~":
+                out[c] = n
+    return out | LOOKALIKES
+
 
-# Digits as words.
-DIGITS = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())}
+HOMOGLYPHS = homoglyphs()
+ODD = frozenset(HOMOGLYPHS) | INVISIBLE
+
+# Digits as words; zero also as "oh".
+DIGITS = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
+SPELLING = frozenset(w.encode() for w in [*DIGITS, "plus", "dot"])
 _DIGIT = "(?:" + "|".join(DIGITS) + ")"
-SPELLED = re.compile(rf"(?i)\b(?:plus[ -]+)?{_DIGIT}(?:[ ,-]+{_DIGIT}){{5,}}\b")
-WORDS = re.compile(rf"(?i){_DIGIT}|plus")
+_BETWEEN = r"(?:[ ,-]+|\s+dot\s+|\s*[(\[{<]\s*dot\s*[)\]}>]\s*)"
+# Runs of numerals and digits as words, one of these at least; "plus" may stand before.
+_TOKEN = rf"(?:{_DIGIT}|[0-9]{{1,4}})"
+SPELLED = re.compile(rf"(?i)\b(?:plus[ -]+|\+ ?)?{_TOKEN}(?:{_BETWEEN}{_TOKEN}(?![A-Za-z0-9])){{3,}}")
+WORDS = re.compile(rf"(?i){_DIGIT}|plus|\+|dot|[0-9]+")
 # "name (at) host [dot] tld", "name at host dot tld"
 SIGN = re.compile(
     r"(?i)(?<=[A-Za-z0-9._%+-])(?:\s*[(\[{<]\s*(at|dot|@|\.)\s*[)\]}>]\s*|\s+(at)\s+(?=[A-Za-z0-9-]+\s+dot\s+[A-Za-z0-9])|\s+(dot)\s+)(?=[A-Za-z0-9])"
 )
+# "name at host.tld". Endings of hosts, and words that stand before "at" in plain prose.
+PLAIN_AT = re.compile(r"(?i)(?<=[A-Za-z0-9._%+-])( +at +)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu)(?![A-Za-z0-9-])")
+PLAIN_WORDS = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(256)).lower()
+BRACKETS = re.compile(r"[(\[{<]")
+BEFORE_AT = frozenset("a an and are available be been but called can check contact email find found go he her him hosted i in is it join live look mail me meet more not now of on online open or out page reach read register report seen see send she shop sign site start starts stay stop store story that the them there they this try us version visit was we website were with write you".split())
 
 
 def luhn(digits: str) -> bool:
@@ -91,6 +122,8 @@ class Rewritten:
 
     def replace(self, edits: list[tuple[int, int, str]]) -> None:
         """Replace the given disjoint, ordered spans; each new character stands for its whole span."""
+        if not edits:
+            return
         parts, starts, ends, last = [], [], [], 0
         for a, b, new in [*edits, (len(self.text), len(self.text), "")]:
             parts += [self.text[last:a], new]
@@ -100,24 +133,39 @@ class Rewritten:
         self.text, self.starts, self.ends = "".join(parts), starts, ends
 
 
+def spelled_out(found: str) -> str:
+    """A run of digits as words and numerals, in digits."""
+    return "".join("+" if w in ("plus", "+") else "." if w == "dot" else DIGITS.get(w, w) for w in WORDS.findall(found.lower()))
+
+
+def _plain_at(text: str, m: re.Match) -> str:
+    start = m.start()
+    while start > 0 and text[start - 1] in LOCAL:
+        start -= 1
+    return m[1] if text[start : m.start()].lower() in BEFORE_AT else "@"
+
+
 def disguised_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Spans of identifiers that only the rewritten text shows; none overlaps a base span of its kind."""
-    odd = ODD.search(text)
-    if not odd and not SPELLED.search(text) and not SIGN.search(text):
-        return []
+    """Spans of identifiers that only the rewritten text shows. One that reaches beyond a base span of
+    its kind is given besides it; one inside a base span of its kind is not."""
     view = Rewritten(text)
+    odd = ODD.intersection(set(text)) if not text.isascii() else ()
     if odd:
-        view.replace([(m.start(), m.end(), HOMOGLYPHS.get(m[0], "")) for m in ODD.finditer(text)])
-    edits = [(m.start(), m.end(), "".join("+" if w.lower() == "plus" else DIGITS[w.lower()] for w in WORDS.findall(m[0]))) for m in SPELLED.finditer(view.text)]
-    if edits:
-        view.replace(edits)
-    signs = [(m.start(), m.end(), "@" if (m[1] or m[2] or m[3]).lower() in ("at", "@") else ".") for m in SIGN.finditer(view.text)]
-    if signs:
-        view.replace(signs)
+        view.replace([(m.start(), m.end(), HOMOGLYPHS.get(m[0], "")) for m in re.finditer("[" + re.escape("".join(odd)) + "]", text)])
+    # The words that the patterns below cannot do without tell which of them to try.
+    words = set(view.text.encode("ascii", "replace").translate(PLAIN_WORDS).split())
+    if not SPELLING.isdisjoint(words):
+        view.replace([(m.start(), m.end(), spelled_out(m[0])) for m in SPELLED.finditer(view.text)])
+    if b"at" in words or b"dot" in words or BRACKETS.search(view.text):
+        view.replace([(m.start(), m.end(), "@" if (m[1] or m[2] or m[3]).lower() in ("at", "@") else ".") for m in SIGN.finditer(view.text)])
+    if b"at" in words:
+        view.replace([(*m.span(1), _plain_at(view.text, m)) for m in PLAIN_AT.finditer(view.text)])
+    if view.text is text:
+        return []
     out = []
     for a, b, kind in base_spans(view.text):
         start, end = view.starts[a], view.ends[b - 1]
-        if text[start:end] != view.text[a:b] and not any(k == kind and s < end and start < e for s, e, k in base):
+        if text[start:end] != view.text[a:b] and not any(k == kind and s <= start and end <= e for s, e, k in base):
             out.append((start, end, kind))
     return out
 
@@ -131,12 +179,9 @@ def find_personal_data(documents: DataFrame, text: str = "text", keep: tuple[str
 
     spans joins "kind:start:end" of base and disguised spans by start, then kind; base_sha256 is the
     digest of the same string for base spans alone. A null or empty text has no spans (empty string).
-    Repeated rows each give a row; other columns are ignored whatever their names. Texts are read
-    whole, in time that is linear in their length.
+    Repeated rows each give a row; other columns are ignored whatever their names, and a kept column
+    named like an output gives way to it. Texts are read whole, in time that is linear in their length.
     """
-    source = documents.select(*[F.col(c) for c in keep], F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    kept = ", ".join(f"`{c}` {dict(source.dtypes)[c]}" for c in keep)
-
     def make():
         def run(batch: pa.RecordBatch) -> dict:
             counts = {k: [] for k in KINDS}
@@ -148,36 +193,36 @@ def find_personal_data(documents: DataFrame, text: str = "text", keep: tuple[str
                     counts[k].append(sum(s[2] == k for s in base))
                 digests.append(hashlib.sha256(written(base).encode()).hexdigest())
                 spans.append(written(base + disguised_spans(t, base)))
-            return {c: batch.column(c) for c in keep} | {f"n_{k}": pa.array(v, pa.int64()) for k, v in counts.items()} | {"base_sha256": pa.array(digests, pa.string()), "spans": pa.array(spans, pa.string())}
+            return {f"n_{k}": pa.array(v, pa.int64()) for k, v in counts.items()} | {"base_sha256": pa.array(digests, pa.string()), "spans": pa.array(spans, pa.string())}
 
         return run
 
-    return map_batches(source, f"{kept}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string", make)
+    schema = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    return map_kept(documents, keep, {"_text": F.coalesce(quoted(text), F.lit(""))}, schema, make)
+
+
+def masked(text: str) -> str:
+    """A text with its spans replaced by their kinds; overlapping ones together by the first one's."""
+    base = base_spans(text)
+    spans = sorted(base + disguised_spans(text, base), key=lambda s: (s[0], -s[1], KINDS.index(s[2])))
+    parts, last = [], 0
+    for s, e, k in spans:
+        if s >= last:
+            parts += [text[last:s], f"[{k}]"]
+        last = max(last, e)
+    return "".join([*parts, text[last:]]) if spans else text
 
 
 def mask_personal_data(documents: DataFrame, text: str = "text") -> DataFrame:
     """documents with every span replaced by its kind in brackets, as in "[email]"; overlapping spans
     are replaced together by the first one's kind. Null texts stay null, other columns as they are."""
+    rows, name = apart(documents), f"_k{[c.lower() for c in documents.columns].index(text.lower())}"
 
     def make():
         def run(batch: pa.RecordBatch) -> dict:
-            new = []
-            for t in batch.column(text):
-                t = t.as_py()
-                if t:
-                    base = base_spans(t)
-                    spans = sorted(base + disguised_spans(t, base), key=lambda s: (s[0], KINDS.index(s[2])))
-                    if spans:
-                        parts, last = [], 0
-                        for s, e, k in spans:
-                            if s >= last:
-                                parts += [t[last:s], f"[{k}]"]
-                            last = max(last, e)
-                        t = "".join([*parts, t[last:]])
-                new.append(t)
-            return {c: batch.column(c) for c in batch.schema.names} | {text: pa.array(new, pa.string())}
+            new = [t and masked(t) for t in batch.column(name).to_pylist()]
+            return {c: batch.column(c) for c in batch.schema.names} | {name: pa.array(new, pa.string())}
 
         return run
 
-    schema = ", ".join(f"`{c}` {kind}" for c, kind in documents.dtypes)
-    return map_batches(documents, schema, make)
+    return together(map_batches(rows, rows.schema, make), documents)

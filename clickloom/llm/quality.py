@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import apart, map_batches, map_kept, place_of, quoted, together
 
 #: Most documents that each scorer is fitted on.
 SAMPLE = 4000
@@ -253,7 +253,7 @@ def classify(documents: DataFrame, labels: DataFrame | None = None, text: str =
     the smallest hashes. Null and empty texts are not accepted. Repeated rows each give a row, and
     weigh as many; other columns are ignored. An empty table gives no rows.
     """
-    source = documents.select(*[F.col(c) for c in dict.fromkeys([*keep, "doc_id"])], F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    source = documents.select("doc_id", F.coalesce(quoted(text), F.lit("")).alias("_text"))
 
     def voting():
         def run(batch: pa.RecordBatch) -> dict:
@@ -293,7 +293,6 @@ def classify(documents: DataFrame, labels: DataFrame | None = None, text: str =
     junk = fit_scorer([(r["at"], r["values"]) for r in rows], np.array([r["p"] for r in rows]), SHAPE_BUCKETS)
     bad = _toxic_weights(source, labels, sample, toxic) if labels is not None else None
     shared = documents.sparkSession.sparkContext.broadcast((junk, bad))
-    kept = ", ".join(f"`{c}` {dict(source.dtypes)[c]}" for c in keep)
 
     def scoring():
         features, (junk, bad) = Features(), shared.value
@@ -310,8 +309,15 @@ def classify(documents: DataFrame, labels: DataFrame | None = None, text: str =
                 out["toxic_score"].append(x)
                 out["toxic"].append(x >= 0.5)
                 out["accepted"].append(j < 0.5 and x < 0.5 and len(shapes[0]) > 0)
-            return {c: batch.column(c) for c in keep} | out
+            return out
 
         return run
 
-    return map_batches(source, f"{kept}, junk_score double, toxic_score double, toxic boolean, accepted boolean", scoring)
+    return map_kept(documents, keep, {"_text": F.coalesce(quoted(text), F.lit(""))}, "junk_score double, toxic_score double, toxic boolean, accepted boolean", scoring)
+
+
+def keep_accepted(documents: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """The rows of documents that classify() accepts, with their columns, whatever these are called."""
+    rows = apart(documents)
+    named = rows.withColumns({"doc_id": place_of(documents, "doc_id"), "text": place_of(documents, "text")})
+    return together(classify(named, labels, keep=tuple(rows.columns)).where("accepted"), documents)

@@ -3,22 +3,23 @@
 Two fingerprints within RADIUS bits have distances to any reference fingerprint (pivot) that differ
 by RADIUS at most. Over 64-bit fingerprints of unrelated texts such distances all lie near 32, so
 pivots discard pairs well but do not tell which pairs to look at; that comes from agreement: cut
-into BANDS runs of bits, two linked fingerprints agree on all but RADIUS runs. Fingerprints meet
-where they agree, a table of their distances to PIVOTS references is made there once, pairs whose
-rows differ by more than RADIUS in any column are discarded, and survivors are compared bit by bit.
+into runs of bits, two linked fingerprints agree on all but RADIUS runs. Every fingerprint gets its row
+of distances to PIVOTS references once. Fingerprints meet where they agree, pairs whose rows differ by
+more than RADIUS in any column are discarded, and survivors are compared bit by bit.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, map_batches
+from .common import apart, components, cut, map_batches, place_of, row_key, together
 
 BITS, RADIUS, SHINGLE = 64, 4, 4
 #: Of near copies that keep_similar looks for: words in a shingle, least Jaccard similarity of the shingles.
@@ -83,24 +84,24 @@ def band_masks(n: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def pivot_table(fps: np.ndarray) -> np.ndarray:
-    """Row per pivot: its distance to each fingerprint."""
-    return np.stack([np.bitwise_count(fps ^ p) for p in _EDGES]).astype(np.int8)
+def pivot_table(fp: Column) -> list[Column]:
+    """A fingerprint's distances to all pivots, made once and carried along: a byte each, in two longs."""
+    signed = [int(p.astype(np.int64)) for p in _EDGES]
+    bytes_ = [F.shiftleft(F.bit_count(fp.bitwiseXOR(F.lit(p))).cast("long"), 8 * (i % 8)) for i, p in enumerate(signed)]
+    return [reduce(Column.bitwiseOR, bytes_[k : k + 8]).alias(f"t{k // 8}") for k in range(0, PIVOTS, 8)]
 
 
 def near(i: int, others: np.ndarray, fps: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Those of `others` within RADIUS bits of i. Columns of the table discard first."""
+    """Those of `others` within RADIUS bits of i: of the pairs, those whose distances to a pivot differ
+    by more than RADIUS are discarded, column by column; survivors are verified."""
     for column in table:
         others = others[np.abs(column[others] - column[i]) <= RADIUS]
-        if len(others) < 16:
-            break
     return others[np.bitwise_count(fps[others] ^ fps[i]) <= RADIUS]
 
 
-def link_group(fps: np.ndarray, nodes: np.ndarray) -> list[tuple[int, int]]:
+def link_group(fps: np.ndarray, nodes: np.ndarray, table: np.ndarray) -> list[tuple[int, int]]:
     """(node, least node) for all but the least node of each component of a group. Searches breadth
     first among what no component holds yet, so that dense groups are not compared pair by pair."""
-    table = pivot_table(fps)
     order = np.argsort(nodes, kind="stable")
     left, links = order, []
     while len(left) > 1:
@@ -120,30 +121,33 @@ def link_fingerprints(nodes: DataFrame) -> DataFrame:
     all pairs within RADIUS bits do."""
     n = nodes.count()
     masks = band_masks(n)
-    rows = nodes.select("node", "fp", F.posexplode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("band", "mask"))
-    rows = rows.select("node", "fp", F.xxhash64("band", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
+    table = ["t0", "t1"]
+    nodes = nodes.select("node", "fp", *pivot_table(F.col("fp")))
+    rows = nodes.select("node", "fp", *table, F.posexplode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("band", "mask"))
+    rows = rows.select("node", "fp", *table, F.xxhash64("band", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
     # Groups that would be too large for a task: each row goes to every pair of parts with its own.
     large = cut(rows.groupBy("key").count().where(F.col("count") > GROUP).select("key", F.ceil(F.col("count") / (GROUP // 2)).cast("int").alias("parts")), "large")
     if not large.isEmpty():
         rows = rows.join(large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
         own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
         rows = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        rows = rows.select("node", "fp", F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("key"))
+        rows = rows.select("node", "fp", *table, F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("key"))
     parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * len(masks) // 500_000)
 
     def run(batches):
         whole = [[c.to_numpy() for c in b.columns] for b in batches]
-        node, fp, key = (np.concatenate([b[i] for b in whole]) if whole else np.zeros(0, np.int64) for i in range(3))
+        node, fp, key, t0, t1 = (np.concatenate([b[i] for b in whole]) if whole else np.zeros(0, np.int64) for i in range(5))
         order = np.argsort(key, kind="stable")
         node, fp, key = node[order], fp[order].view(np.uint64), key[order]
+        pivots = np.ascontiguousarray(np.stack([t0[order], t1[order]], 1).view(np.int8).T)
         bounds = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]]) if len(key) else np.zeros(1, int)
         links: list[tuple[int, int]] = []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             if b - a > 1:
-                links += link_group(fp[a:b], node[a:b])
+                links += link_group(fp[a:b], node[a:b], pivots[:, a:b])
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["src", "dst"])
 
-    return rows.select("node", "fp", "key").repartition(parts, "key").mapInArrow(run, "src long, dst long").distinct()
+    return rows.select("node", "fp", "key", *table).repartition(parts, "key").mapInArrow(run, "src long, dst long").distinct()
 
 
 def near_duplicates(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -162,12 +166,28 @@ def near_duplicates(documents: DataFrame, text: str = "text") -> DataFrame:
     return docs.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_copies")
 
 
+def _least_rows(documents: DataFrame, groups: DataFrame) -> DataFrame:
+    """documents with one row of each group: the one with the smallest doc_id, then key. groups has
+    _a, _b (see row_key), doc_id and root of all rows with a doc_id. Rows without one stay."""
+    kept = groups.groupBy("root").agg(F.min(F.struct("doc_id", "_a", "_b")).alias("_kept"))
+    kept = cut(kept.select("_kept._a", "_kept._b"), "kept")
+    ids, text = place_of(documents, "doc_id"), place_of(documents, "text")
+    rows = apart(documents).select("*", *row_key(ids, text))
+    found = rows.where(ids.isNotNull()).join(kept, ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"])
+    return together(found.unionByName(rows.where(ids.isNull())), documents)
+
+
 def keep_one(documents: DataFrame) -> DataFrame:
-    """documents with the smallest doc_id of each component; repeated rows of it count once. Rows
-    without a doc_id stay."""
-    found = near_duplicates(documents).where("doc_id = component_id").select("doc_id").distinct()
-    rows = documents.where("doc_id is not null").join(found, "doc_id").dropDuplicates(["doc_id"]).select(*documents.columns)
-    return rows.unionByName(documents.where("doc_id is null"))
+    """documents with one row of each component of fingerprints: the one with the smallest doc_id.
+
+    Rows are judged, not ids: of different texts with one doc_id each counts for itself. Rows equal in
+    doc_id and text count once, whichever of them stays. Rows without a doc_id stay.
+    """
+    rows = documents.where("doc_id is not null").select("doc_id", F.struct("doc_id", *row_key(F.col("doc_id"), F.col("text"))).alias("_row"), "text")
+    docs = cut(fingerprint_documents(rows.select(F.col("_row").alias("doc_id"), "text")), "fingerprints")
+    nodes = cut(docs.groupBy("fp").agg(F.min(F.col("doc_id.doc_id").cast("long")).alias("node")), "nodes")
+    found = nodes.join(components(link_fingerprints(nodes)), "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
+    return _least_rows(documents, docs.join(found, "fp").select("doc_id.*", "root"))
 
 
 def least_shared(n: int) -> int:
@@ -184,7 +204,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 def _order(source: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that are found more than once in some of the rows, sorted, and how often."""
     share = ORDER_ROWS / max(source.count(), 1)
-    some = source.where(F.pmod(F.xxhash64("_row"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("_text")
+    some = source.where(F.pmod(F.xxhash64("_a"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("_text")
 
     def make():
         def run(batch: pa.RecordBatch) -> dict:
@@ -199,7 +219,7 @@ def _order(source: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(source: DataFrame) -> DataFrame:
-    """_row, doc_id, node (a hash of the set of shingles), fp, n (shingles) and prefix per row: the
+    """_a, _b, doc_id, node (a hash of the set of shingles), fp, n (shingles) and prefix per row: the
     rarest shingles, so many that texts with SIMILARITY share one."""
     shared = source.sparkSession.sparkContext.broadcast(_order(source))
 
@@ -219,11 +239,11 @@ def _sets(source: DataFrame) -> DataFrame:
                 out["fp"].append(simhash(h))
                 out["n"].append(len(own))
                 out["prefix"].append(own[np.argsort(rank, kind="stable")][: len(own) - least_shared(len(own)) + 1].view(np.int64))
-            return {"_row": batch.column("_row"), "doc_id": batch.column("doc_id"), **out, "prefix": pa.array(out["prefix"], pa.list_(pa.int64()))}
+            return {"_a": batch.column("_a"), "_b": batch.column("_b"), "doc_id": batch.column("doc_id"), **out, "prefix": pa.array(out["prefix"], pa.list_(pa.int64()))}
 
         return run
 
-    return map_batches(source, f"_row long, doc_id {dict(source.dtypes)['doc_id']}, node long, fp long, n long, prefix array<long>", make)
+    return map_batches(source, f"_a long, _b long, doc_id {dict(source.dtypes)['doc_id']}, node long, fp long, n long, prefix array<long>", make)
 
 
 def _pairs(rows: DataFrame, parts: int, all_pairs: bool) -> DataFrame:
@@ -267,7 +287,7 @@ def _pairs(rows: DataFrame, parts: int, all_pairs: bool) -> DataFrame:
 def _verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame:
     """Those of pairs (a, b) that have SIMILARITY, by the shingles of their texts."""
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = source.join(nodes.join(ids, "node", "left_semi").select("_row", "node"), "_row").dropDuplicates(["node"])
+    texts = source.join(nodes.join(ids, "node", "left_semi").select("_a", "_b", "node"), ["_a", "_b"]).dropDuplicates(["node"])
     texts = cut(texts.select("node", "_text"), "texts")
     both = pairs.join(texts.toDF("a", "_a"), "a").join(texts.toDF("b", "_b"), "b").select("a", "b", "_a", "_b")
 
@@ -297,12 +317,12 @@ def keep_similar(documents: DataFrame) -> DataFrame:
     Two texts are linked if their sets of NEAR_SHINGLE-word shingles have a Jaccard similarity of
     SIMILARITY at least; links are transitive. No link is missed: pairs within RADIUS bits of SimHash
     and all pairs that share one of their rarest shingles are candidates, and each is verified on the
-    shingles. Sets and rows are known by 64-bit hashes. Texts without words are copies of each
+    shingles. Rows are known by 128-bit hashes, sets by 64 bits: of n different sets about n * n / 2^65
+    pairs count as copies by mistake (1 in 10^9 at 200,000 documents, about 24 at 3 * 10^10). Texts without words are copies of each
     other; null texts count as empty. Rows without a doc_id stay and decide nothing. Of different
     texts with one doc_id each counts for itself.
     """
-    row = F.xxhash64("doc_id", "text")
-    source = documents.where("doc_id is not null").select(row.alias("_row"), "doc_id", F.coalesce("text", F.lit("")).alias("_text"))
+    source = documents.where("doc_id is not null").select(*row_key(F.col("doc_id"), F.col("text")), "doc_id", F.coalesce("text", F.lit("")).alias("_text"))
     sets = cut(_sets(source), "sets")
     nodes = cut(sets.dropDuplicates(["node"]), "nodes")
     size = nodes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
@@ -324,7 +344,4 @@ def keep_similar(documents: DataFrame) -> DataFrame:
         if not more.isEmpty():
             roots = cut(components(links.union(_verified(more, nodes, source))), "roots")
 
-    kept = sets.select("_row", "doc_id", "node").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("doc_id", "_row")).alias("_kept"))
-    kept = cut(kept.select(F.col("_kept._row").alias("_row")), "kept")
-    found = documents.where("doc_id is not null").withColumn("_row", row).join(kept, "_row", "left_semi").dropDuplicates(["_row"])
-    return found.select(*documents.columns).unionByName(documents.where("doc_id is null"))
+    return _least_rows(documents, sets.select("_a", "_b", "doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))

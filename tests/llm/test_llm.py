@@ -3,7 +3,6 @@ repeated rows and columns whose names clash with the operators' own."""
 
 import hashlib
 import os
-import pickle
 import random
 import re
 from collections import Counter
@@ -73,7 +72,7 @@ def test_simhash(docs, rows):
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect()}
     assert got == {i: (f"{fps[i]:016x}", roots[i]) for i in fps}
     kept = simhash.keep_one(docs.unionByName(docs))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(roots.values()))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(roots.values())) and kept.columns == docs.columns
 
 
 def brute_similar(rows):
@@ -164,6 +163,15 @@ def test_chat_rewriting_template():
     assert rewrites and out == "…|…|c" and turns[0] is None and out[slice(*texts[2])] == "c"
 
 
+def test_chat_with_private_use_roles():
+    messages = [("\ue0000\ue001", "hey"), ("assistant", "\ue0001\ue001")]
+    out, _, texts, rewrites = chat.render_spans(messages, chat.marked_turns)
+    assert [out[slice(*s)] for s in texts] == ["hey", "\ue0001\ue001"] and not rewrites
+    assert chat.common_prefix("abcd", "abxd") == 2 and chat.common_prefix("", "a") == 0 and chat.common_prefix("ab", "ab") == 2 and chat.common_prefix("x", "y") == 0
+    ordered = lambda m: "".join(sorted(r + t for r, t in m))
+    assert chat.render_spans([("b", "x"), ("a", "y")], ordered)[3]
+
+
 def test_suffix_merge(monkeypatch):
     monkeypatch.setattr(suffixes, "SHARD", 7)
     rnd = random.Random(3)
@@ -259,12 +267,24 @@ def test_pii_disguised(spark):
         "write joe (at) mail [dot] example (dot) com now": "joe (at) mail [dot] example (dot) com",
         "joe.b at example dot com": "joe.b at example dot com",
         "jоe＠example．com": "jоe＠example．com",
+        "joe ( at ) example.com": "joe ( at ) example.com",
+        "joe [ @ ] example.com": "joe [ @ ] example.com",
+        "192 dot 168 dot 1 dot 1": "192 dot 168 dot 1 dot 1",
+        "one nine two dot one six eight dot one dot one": "one nine two dot one six eight dot one dot one",
+        "write joe at example.com now": "joe at example.com",
+        "jоe@example.com": "jоe@example.com",
+        "plus 4 nine one 2 three four five six 7 eight": "plus 4 nine one 2 three four five six 7 eight",
+        "٤١١١ ١١١١ ١١١١ ١١١١": "٤١١١ ١١١١ ١١١١ ١١١١",
+        "𝐣𝐨𝐞@𝐞𝐱𝐚𝐦𝐩𝐥𝐞.𝐜𝐨𝐦": "𝐣𝐨𝐞@𝐞𝐱𝐚𝐦𝐩𝐥𝐞.𝐜𝐨𝐦",
+        "look at example.com, page one of two three four": None,
         "call plus four nine one two three four five six seven eight": "plus four nine one two three four five six seven eight",
         "at the dot of noon, one two": None,
     }
     for text, want in cases.items():
         spans = pii.disguised_spans(text, pii.base_spans(text))
         assert [text[s:e] for s, e, _ in spans] == ([want] if want else []), text
+        if want:  # nothing of it is left when it is masked
+            assert not set(re.findall(r"[a-z0-9]{3,}", want)) & set(re.findall(r"[a-z0-9]{3,}", pii.masked(text)))
     df = spark.createDataFrame([(1, "a@b.co x 1.2.3.4", "s"), (2, None, "s"), (3, "", "s")], "doc_id long, text string, spans string")
     got = {r.doc_id: (r.n_email, r.n_ip, r.spans) for r in pii.find_personal_data(df).collect()}
     assert got == {1: (1, 1, "email:0:6,ip:9:16"), 2: (0, 0, ""), 3: (0, 0, "")}
@@ -330,9 +350,10 @@ def brute_windows(docs, items, size=10):
     return out
 
 
-@pytest.mark.parametrize("block", [2_000_000, 25])
-def test_decontamination(spark, docs, rows, monkeypatch, block):
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+@pytest.mark.parametrize("block,few", [(2_000_000, 100_000), (25, 0)])
+def test_decontamination(spark, docs, rows, monkeypatch, block, few):
+    monkeypatch.setattr(decontaminate, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", few)
     texts = [t for _, t in rows if t]
     items = [(i, " ".join(texts[20 + i].split()[25:45])) for i in range(5)] + [(9, "one"), (10, ""), (11, None), (12, "One, "), (13, "never said in any of these")]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -343,12 +364,14 @@ def test_decontamination(spark, docs, rows, monkeypatch, block):
     assert decontaminate.find_contamination(docs, bench.limit(0)).where(F.size("hits") > 0).count() == 0
 
 
-def test_windows_travel_as_plain_data():
-    windows = decontaminate.Windows([(1, decontaminate.words_of("a b c d e f g h i j k l"))], 10)
-    state = pickle.dumps(vars(windows))
-    assert b"clickloom" not in state
-    back = decontaminate.Windows.restored(pickle.loads(state))
-    assert back.items == windows.items and back.vocab == windows.vocab
+def test_contaminated_rows_are_judged_apart(spark):
+    leak = " ".join(f"q{i}" for i in range(12))
+    bench = spark.createDataFrame([("x", f"{leak} end"), (None, "null id"), ("y", "one")], "item_id string, text string")
+    df = spark.createDataFrame([(None, f"a {leak}", 1), (5, f"b {leak}", 2), (5, "clean", 3), (None, "clean", 4), (5, "clean", 5), (6, None, 6), (7, "null id", 7), (8, "One", 8)], "doc_id long, text string, hits int")
+    assert sorted(r.hits for r in decontaminate.drop_contaminated(df, bench).collect()) == [3, 4, 5, 6, 7]
+    got = decontaminate.find_contamination(df, bench)
+    assert {(r.doc_id, tuple(r["items"]), len(r.hits)) for r in got.collect()} == {(None, ("x",), 12), (5, ("x",), 12), (5, (), 0), (None, (), 0), (6, (), 0), (7, (), 0), (8, ("y",), 1)}
+    assert got.count() == 8 and decontaminate.drop_contaminated(df.limit(0), bench).count() == 0
 
 
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header>Top</header><nav><a href=x>m</a></nav><div class="cookie-notice">we use</div>
@@ -405,6 +428,21 @@ def test_multiset_vectors(spark):
     v = {c: multiset.vector(F.col(c)) for c in "xyz"}
     r = df.select(multiset.merged(v["x"], v["y"], -1).alias("m"), v["z"].alias("z"), multiset.merged(v["z"], v["y"]).alias("s"), v["x"].alias("x")).first()
     assert r.m == r.z and r.s == r.x
+    w = multiset.written(v["x"])
+    assert df.select(multiset.read_back(w) == v["x"]).first()[0]
+
+
+def test_multiset_likeness_of_shared_paragraphs(spark):
+    rnd = random.Random(4)
+    line = lambda: "".join(rnd.choices("abcdefghij ", k=20)).strip() + "x"
+    pairs = []
+    for k in range(60):
+        own, other, both = ([line() for _ in range(30)] for _ in range(3))
+        shared = k % 31
+        pairs.append((shared / 30, "\n".join(both[:shared] + own[shared:]), "\n".join(both[:shared] + other[shared:])))
+    df = spark.createDataFrame(pairs, "share double, a string, b string")
+    off = [abs(r.share - r.near) for r in df.select("share", multiset.likeness(multiset.vector(F.col("a")), multiset.vector(F.col("b"))).alias("near")).collect()]
+    assert sum(off) / len(off) < 0.06 and max(off) < 0.3
 
 
 def test_multiset_documents(spark, docs, rows, monkeypatch):
@@ -415,8 +453,8 @@ def test_multiset_documents(spark, docs, rows, monkeypatch):
         half = len(t) // 2
         edited = t[: len(t) - half] + after[:half]
         assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        want = hashlib.sha256(",".join(f"{x:X}" for x in brute_vector(t)).encode()).hexdigest()
-        assert got[i].fingerprint == want and 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
+        assert got[i].fingerprint == "".join(f"{x:08x}" for x in brute_vector(t)) and got[i].edited_fingerprint == "".join(f"{x:08x}" for x in brute_vector(edited))
+        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
     one = spark.createDataFrame([(5, "ab"), (5, "ab"), (None, None)], "doc_id long, text string")
     assert multiset.fingerprint_documents(one).count() == 3 and multiset.fingerprint_documents(one.limit(0)).count() == 0
     assert "Python" not in multiset.fingerprint_documents(docs)._jdf.queryExecution().toString()
