@@ -1,12 +1,16 @@
 """Main text of web pages by equivalence classes of template tokens.
 
-Pages are cut into tokens: element paths, and blocks of text outside the article. Tokens of a host
-whose occurrence vectors over the host's pages are equal form a class. Classes that are found on
-enough pages are the template, nested by their paths; the text between template tokens fills slots.
-Slots under menus, forms and the like, and text that is itself part of the template, are left out.
-
-Occurrence vectors are never gathered: a class is known by the sum of hashes of (page, count) pairs,
-which rows add up in any order and any number of tasks.
+Pages are cut into tokens: element paths, and blocks of text. Tokens of a host whose occurrence
+vectors over the host's pages are equal form a class. Classes that are found on enough pages are the
+template, nested by their paths. Elements that the template opens once on a page, inside others of
+that kind, bound its slots; the deepest one that still holds most of the text which is neither
+template, link nor under a word for something else is the article's slot. Names of elements and words
+in their classes are votes: plain ones (nav, footer, ads, comments...) always count, others (menu,
+notice...) only where the template has the element or links fill it. Text that is itself template is
+left out.
+
+Occurrence vectors are never gathered: a class is known by the sums of two hashes of (page, count)
+pairs, which rows add up in any order and any number of tasks.
 """
 
 from __future__ import annotations
@@ -14,6 +18,8 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
+from collections.abc import Iterable
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -25,38 +31,53 @@ from .common import cut, map_batches
 #: Share of a host's pages that a template class is found on at least, and pages that text must be
 #: repeated on to count as template.
 SUPPORT, LEAST_PAGES = 0.5, 3
+#: Share of the text that the article's slot holds at least; share of a page's text that its host's slot
+#: has to hold, or the page gets a slot of its own; share of a slot's text that its template texts have
+#: to leave, or they count as the page's own (a host may hold copies of one article).
+DENSE, HELD, LEFT = 0.7, 0.5, 0.25
 
 # Element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math title select".split())
+RAW = frozenset("script style noscript template textarea iframe svg title select".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+CONTAINERS = frozenset("html body main article section div center td".split())
 CLOSED_BY_BLOCK = frozenset({"p"})
 LEFT_OUT = frozenset("nav footer aside form menu button dialog header head label fieldset".split()) | RAW
-# Words in class, id or role that mark what is not main text.
-MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent notice notices alert popup modal overlay newsletter subscribe signup share sharing social related recommended comment comments reply replies disqus login search widget toolbar pagination pager copyright legal hidden complementary contentinfo".split()
+# Words in class, id or role that mark what is not main text, plainly or perhaps.
+PLAIN_MARKS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promoted promotion sidebar nav navbar navigation breadcrumb breadcrumbs masthead topbar cookie cookies consent popup modal overlay newsletter subscribe signup share sharing social recommended comment comments reply replies disqus login toolbar pagination pager complementary contentinfo".split()
 )
+MARKS = frozenset("banner side aside menu footer header notice notices alert related search widget copyright legal hidden".split())
+OF_READERS = frozenset("comment comments reply replies hidden related".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
 ATTRIBUTE = re.compile(r"(?<![^\s\"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+NUMERALS, UNLIKE = re.compile(r"[0-9]+"), re.compile(r"[>=\s]")
 SPLIT_MARK = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
-def host_of(url: str | None) -> str:
-    m = re.match(r"(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]*)", url or "")
-    return m[1].lower() if m else ""
+class Block(NamedTuple):
+    """A block of text: the path of the element right around it, whether it is plainly not main text,
+    the path of the outermost element around it that perhaps is not, and its characters in links."""
+
+    path: str
+    text: str
+    out: bool
+    doubt: str
+    links: int
 
 
 class Page:
-    """Blocks of a page in order: (path, text, left_out, in_article), and how often each path opens."""
+    """Blocks of a page in order, and how often each path opens."""
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[str, str, bool, bool]] = []
+        self.blocks: list[Block] = []
         self.paths: Counter[str] = Counter()
-        self.stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+        self.stack: list[tuple[str, str, bool, str]] = [("", "", False, "")]
         self.parts: list[str] = []
+        self.links = 0
         at = 0
         while m := TOKEN.search(html, at):
             self.say(html[at : m.start()])
@@ -77,14 +98,16 @@ class Page:
     def say(self, text: str) -> None:
         if text:
             self.parts.append(text)
+            if any(e[0] == "a" for e in self.stack[-4:]):
+                self.links += len(text)
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join(entities.unescape("".join(self.parts)).split())
-            self.parts = []
             if text:
-                _, path, out, article = self.stack[-1]
-                self.blocks.append((path, text, out, article))
+                _, path, out, doubt = self.stack[-1]
+                self.blocks.append(Block(path, text, out, doubt, min(self.links, len(text))))
+            self.parts, self.links = [], 0
 
     def open(self, name: str, attributes: str) -> bool:
         """Whether the element is left open."""
@@ -105,31 +128,33 @@ class Page:
                 if self.stack[k][0] in ("ul", "ol", "dl", "table", "menu", "select"):
                     break
         marks: set[str] = set()
-        label = name
+        label, gone = name, False
         for a in ATTRIBUTE.finditer(attributes) if attributes else ():
             key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
-            if key == "class" and value:
-                label = f"{name}.{'.'.join(value.split())}"
+            if key in ("class", "id") and value:
+                label += ("." if key == "class" else "#") + UNLIKE.sub("_", NUMERALS.sub("0", " ".join(value.split())))
             if key == "hidden" or key == "aria-hidden" and value == "true":
-                marks.add("hidden")
+                gone = True
             elif key != "aria-hidden":
                 marks.update(w for v in value.split() for w in SPLIT_MARK.split(v.lower()))
-        _, path, out, article = self.stack[-1]
+        _, path, out, doubt = self.stack[-1]
         path = f"{path}>{label}"
         self.paths[path] += 1
         if name in VOID or attributes.endswith("/") and name not in BLOCK | RAW:
             return False
-        whole = name in ("article", "main", "body", "html")
-        out = out or name in LEFT_OUT or bool(marks & MARKS) and not (whole and not marks & {"comment", "comments", "reply", "replies", "hidden", "related"})
-        if name in RAW or out != self.stack[-1][2]:
+        if name in ("article", "main", "body", "html"):
+            marks &= OF_READERS
+        out = out or gone or name in LEFT_OUT or bool(marks & PLAIN_MARKS)
+        doubt = doubt or (path if marks & MARKS else "")
+        if name in RAW or (out, doubt) != self.stack[-1][2:]:
             self.flush()
-        self.stack.append((name, path, out, article or name == "article" and not out))
+        self.stack.append((name, path, out, doubt))
         return True
 
     def close(self, name: str) -> None:
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k][0] == name:
-                if name in BLOCK or self.stack[k][2] != self.stack[k - 1][2]:
+                if name in BLOCK or self.stack[k][2:] != self.stack[k - 1][2:]:
                     self.flush()
                 del self.stack[k:]
                 return
@@ -141,86 +166,195 @@ def text_token(path: str, text: str) -> str:
     return f"{path}={xxhash.xxh64_hexdigest(text.encode('utf-8', 'surrogatepass'))}"
 
 
+def above(path: str) -> str:
+    return path.rpartition(">")[0]
+
+
+def name_of(path: str) -> str:
+    return re.split(r"[.#]", path.rpartition(">")[2], maxsplit=1)[0]
+
+
+def densest(weights: dict[str, int], once: Iterable[str]) -> str:
+    """Of the elements opened `once`, the deepest that holds DENSE of all weight (by path, of the text
+    right in it), or the article or main around it; none if nothing weighs."""
+    total, held = sum(weights.values()), Counter()
+    for path, w in weights.items():
+        while path:
+            held[path] += w
+            path = above(path)
+    once = set(once)
+    fit = [p for p in once if total and name_of(p) in CONTAINERS and held[p] >= DENSE * total]
+    found = best = max(fit, key=lambda p: (p.count(">"), p), default="")
+    while found:
+        if name_of(found) in ("article", "main") and found in once:
+            return found
+        found = above(found)
+    return best
+
+
+def within(blocks: list[Block], slot: str) -> list[Block]:
+    return [b for b in blocks if b.path == slot or b.path.startswith(slot + ">")] if slot else blocks
+
+
+def size(blocks: list[Block]) -> int:
+    return sum(len(b.text) - b.links for b in blocks)
+
+
+def main_text(page: Page, slot: str, doubted: frozenset[str], texts: frozenset[str]) -> str:
+    """A page's main text by its host's template: the article's slot, elements in doubt that it has
+    (doubted) and texts that it has."""
+
+    def settled(blocks: list[Block], narrow: bool) -> list[Block]:
+        share = Counter(), Counter()
+        for b in blocks:
+            share[0][b.doubt] += b.links
+            share[1][b.doubt] += len(b.text)
+        return [b for b in blocks if not b.doubt or narrow and slot_holds(b.doubt) and b.doubt not in doubted and 2 * share[0][b.doubt] <= share[1][b.doubt]]
+
+    def slot_holds(path: str) -> bool:
+        return path.startswith(slot + ">")
+
+    blocks = [b for b in page.blocks if not b.out]
+    own = [b for b in blocks if text_token(b.path, b.text) not in texts]
+    sure = [b for b in own if not b.doubt]
+    if not slot or size(within(sure, slot)) < HELD * size(sure):
+        weights = Counter()
+        for b in sure:
+            weights[b.path] += len(b.text) - b.links
+        slot = densest(weights, (p for p, n in page.paths.items() if n == 1))
+    narrow = bool(slot) and name_of(slot) not in ("html", "body")
+    found, all_found = within(own, slot), within(blocks, slot)
+    if size(found) < LEFT * size(all_found):
+        found = all_found
+    return " ".join(b.text for b in settled(found, narrow))
+
+
 def _pages(pages: DataFrame) -> DataFrame:
     url = F.coalesce("url", F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/:?#]*)", 1))
     return pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("_html"), host.alias("_host"), F.xxhash64("page_id", "url", "html").alias("_page"))
 
 
+def page_tokens(html: str) -> dict[str, tuple[int, int, bool]]:
+    """Of each token of a page: how often it occurs, the characters of its text that weigh, and whether
+    it is an element in doubt."""
+    page = Page(html)
+    out = {path: [n, 0, False] for path, n in page.paths.items()}
+    for b in page.blocks:
+        if b.doubt:
+            out[b.doubt][2] = True
+        if not b.out:
+            t = out.setdefault(text_token(b.path, b.text), [0, 0, False])
+            t[0] += 1
+            if not b.doubt:
+                for x in (t, out[b.path]) if b.path else (t,):
+                    x[1] += len(b.text) - b.links
+    return {t: tuple(x) for t, x in out.items()}
+
+
 def template_classes(pages: DataFrame) -> DataFrame:
-    """_host, class_id, pages, support, chars, tokens (array<string>): the template of each host.
+    """_host, class_id, pages, n, support, tokens (array<struct<token, chars, doubt>>): the template of
+    each host.
 
     A class is valid if it is found on SUPPORT of the host's pages at least, and on LEAST_PAGES at
-    least or on all of them. chars counts the text right in its elements, over all pages.
+    least or on all of them. n counts each token's occurrences; chars its text that weighs.
     """
 
     def make():
         def run(batch: pa.RecordBatch) -> dict:
-            out: dict[str, list] = {"_host": [], "_page": [], "token": [], "n": [], "chars": []}
+            out: dict[str, list] = {"_host": [], "_page": [], "token": [], "n": [], "chars": [], "doubt": []}
             for host, page, html in zip(batch.column("_host").to_pylist(), batch.column("_page").to_pylist(), batch.column("_html").to_pylist(), strict=True):
-                p = Page(html)
-                tokens = Counter(p.paths)
-                tokens.update(text_token(path, text) for path, text, _, article in p.blocks if not article)
-                chars = Counter()
-                for path, text, left_out, _ in p.blocks:
-                    if not left_out:
-                        chars[path] += len(text)
+                tokens = page_tokens(html)
                 out["_host"] += [host] * len(tokens)
                 out["_page"] += [page] * len(tokens)
                 out["token"] += tokens
-                out["n"] += tokens.values()
-                out["chars"] += [chars.get(t, 0) for t in tokens]
-            return out
+                for c, values in zip(("n", "chars", "doubt"), zip(*tokens.values(), strict=True) if tokens else ((), (), ()), strict=True):
+                    out[c] += values
+            return out | {"doubt": pa.array(out["doubt"], pa.bool_())}
 
         return run
 
-    rows = map_batches(_pages(pages).select("_host", "_page", "_html"), "_host string, _page long, token string, n long, chars long", make)
-    h = F.xxhash64("_page", "n")
+    source = _pages(pages)
+    rows = map_batches(source.select("_host", "_page", "_html"), "_host string, _page long, token string, n long, chars long, doubt boolean", make)
     # Partial sums go over the network: one row for each token and task. Halves cannot overflow.
-    tokens = rows.groupBy("_host", "token").agg(
-        F.count("*").alias("pages"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("_lo"), F.sum(F.shiftrightunsigned(h, 32)).alias("_hi")
-    )
-    # Every page opens at most one html; pages are counted by host from the table itself.
-    total = _pages(pages).groupBy("_host").agg(F.count("*").alias("_total"))
+    sums = [F.sum(f(h)).alias(f"_{name}") for k in (0, 1) for h in [F.xxhash64(F.lit(k), "_page", "n")] for name, f in ((f"lo{k}", lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF))), (f"hi{k}", lambda h: F.shiftrightunsigned(h, 32)))]
+    tokens = rows.groupBy("_host", "token").agg(F.count("*").alias("pages"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.max("doubt").alias("doubt"), *sums)
+    total = source.groupBy("_host").agg(F.count("*").alias("_total"))
     tokens = tokens.join(total, "_host").where((F.col("pages") >= SUPPORT * F.col("_total")) & ((F.col("pages") >= LEAST_PAGES) | (F.col("pages") == F.col("_total"))))
-    classes = tokens.groupBy("_host", "pages", "n", "_lo", "_hi").agg(F.sort_array(F.collect_list("token")).alias("tokens"), F.max(F.col("pages") / F.col("_total")).alias("support"), F.sum("chars").alias("chars"))
-    return classes.select("_host", F.xxhash64("_lo", "_hi", "pages", "n").alias("class_id"), "pages", "support", "chars", "tokens")
+    vector = ["pages", "n", "_lo0", "_hi0", "_lo1", "_hi1"]
+    classes = tokens.groupBy("_host", *vector).agg(F.sort_array(F.collect_list(F.struct("token", "chars", "doubt"))).alias("tokens"), F.max(F.col("pages") / F.col("_total")).alias("support"))
+    return classes.select("_host", F.xxhash64(*vector).alias("class_id"), "pages", "n", "support", "tokens")
 
 
 def nested_classes(classes: DataFrame) -> DataFrame:
     """classes with parent_id: the class that holds the path right above a class's shortest path (an
     element is never without the one around it, so that path is in the template), null at the root."""
     path = lambda t: F.substring_index(t, "=", 1)
-    top = F.element_at(F.array_sort(F.transform("tokens", lambda t: F.struct(F.length(t).alias("n"), path(t).alias("path")))), 1)["path"]
+    top = F.element_at(F.array_sort(F.transform("tokens", lambda t: F.struct(F.length(t["token"]).alias("n"), path(t["token"]).alias("path")))), 1)["path"]
     inner = classes.withColumn("_above", F.regexp_replace(top, ">[^>]*$", ""))
-    paths = classes.select("_host", F.col("class_id").alias("parent_id"), F.explode("tokens").alias("_above")).where(~F.col("_above").contains("="))
+    paths = classes.select("_host", F.col("class_id").alias("parent_id"), F.explode("tokens.token").alias("_above")).where(~F.col("_above").contains("="))
     return inner.join(paths, ["_host", "_above"], "left").drop("_above")
 
 
+def host_template(classes: list[dict]) -> tuple[str, list[str], list[str]]:
+    """(slot, doubted, texts) of a host's nested classes. Elements opened once on a page bound slots if
+    the classes around theirs are opened once too."""
+    by_id = {c["class_id"]: c for c in classes}
+
+    def once(c: dict | None, depth: int = 0) -> bool:
+        return c is None or c["n"] == c["pages"] and depth < 64 and (c["parent_id"] == c["class_id"] or once(by_id.get(c["parent_id"]), depth + 1))
+
+    weights, opened, doubted, texts = Counter(), [], [], []
+    for c in classes:
+        single = once(c)
+        for t in c["tokens"]:
+            path, _, text = t["token"].partition("=")
+            if text:
+                if c["pages"] >= LEAST_PAGES:
+                    texts.append(t["token"])
+                    weights[path] -= t["chars"]
+                continue
+            weights[path] += t["chars"]
+            opened += [path] if single else []
+            doubted += [path] if t["doubt"] and c["pages"] >= LEAST_PAGES else []
+    return densest({p: max(w, 0) for p, w in weights.items()}, opened), doubted, texts
+
+
+def host_templates(pages: DataFrame) -> DataFrame:
+    """_host, slot, doubted, texts. A host's template has at most 1 / SUPPORT times an average page's
+    tokens, so that it fits in a row."""
+    nested = nested_classes(cut(template_classes(pages), "classes"))
+    hosts = nested.groupBy("_host").agg(F.collect_list(F.struct("class_id", "parent_id", "pages", "n", "tokens")).alias("classes"))
+
+    def make():
+        def run(batch: pa.RecordBatch) -> dict:
+            got = [host_template(c) for c in batch.column("classes").to_pylist()]
+            return {"_host": batch.column("_host"), "slot": [g[0] for g in got], "doubted": pa.array([g[1] for g in got], pa.list_(pa.string())), "texts": pa.array([g[2] for g in got], pa.list_(pa.string()))}
+
+        return run
+
+    return map_batches(hosts, "_host string, slot string, doubted array<string>, texts array<string>", make)
+
+
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text per row of pages.
-
-    Where a page has an article, its slots are the article's; elsewhere all of the body's. Left out
-    are slots under elements that are no main text (LEFT_OUT, MARKS) and, outside the article, text
-    that belongs to the host's template. White space in a block becomes one space, blocks are joined
-    by one. Null html counts as empty, null urls as one host; repeated rows each give a row; an
-    unclosed tag, comment or script reaches to where a browser would end it. Other columns are
-    ignored. A host's template has at most 1 / SUPPORT times an average page's tokens.
+    """page_id, url, text per row of pages: the text of the article's slot.
+
+    Left out are elements that are plainly no main text (LEFT_OUT, PLAIN_MARKS, hidden ones), those
+    that perhaps are none (MARKS) where the host's template has them, links fill them or no slot
+    narrower than the body was found, and text that belongs to the host's template. A page whose host
+    has no slot, or which has most of its text elsewhere, gets the slot of its own classes. White space
+    in a block becomes one space, blocks are joined by one. Null html counts as empty, null urls as one
+    host; repeated rows each give a row; an unclosed tag, comment or script reaches to where a browser
+    would end it. Other columns are ignored.
     """
-    boiler = template_classes(pages).where(f"pages >= {LEAST_PAGES}").select("_host", F.filter("tokens", lambda t: t.contains("=")).alias("_tokens"))
-    boiler = cut(boiler.where(F.size("_tokens") > 0).groupBy("_host").agg(F.flatten(F.collect_list("_tokens")).alias("_template")), "templates")
-    rows = _pages(pages).join(boiler, "_host", "left").select("page_id", "url", "_html", "_template")
+    templates = cut(host_templates(pages), "templates")
+    rows = _pages(pages).join(templates, "_host", "left").select("page_id", "url", "_html", "slot", "doubted", "texts")
     kinds = dict(rows.dtypes)
 
     def make():
         def run(batch: pa.RecordBatch) -> dict:
-            out = []
-            for html, template in zip(batch.column("_html").to_pylist(), batch.column("_template").to_pylist(), strict=True):
-                blocks = Page(html).blocks
-                article = any(b[3] for b in blocks)
-                template = frozenset(template or ())
-                slots = [text for path, text, left_out, inside in blocks if not left_out and (inside if article else text_token(path, text) not in template)]
-                out.append(" ".join(slots))
+            columns = [batch.column(c).to_pylist() for c in ("_html", "slot", "doubted", "texts")]
+            out = [main_text(Page(html), slot or "", frozenset(doubted or ()), frozenset(texts or ())) for html, slot, doubted, texts in zip(*columns, strict=True)]
             return {"page_id": batch.column("page_id"), "url": batch.column("url"), "text": pa.array(out, pa.string())}
 
         return run

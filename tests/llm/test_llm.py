@@ -385,12 +385,62 @@ def test_html(spark):
     assert got == {1: "Head&line One two three four é x y", 2: "", 3: "no article here", 4: ""}
 
 
+def brute_classes(pages):
+    """Tokens by their occurrence vectors, gathered outright."""
+    counts = [html.page_tokens(p) for p in pages]
+    vectors = {}
+    for t in {t for c in counts for t in c}:
+        v = tuple(c.get(t, (0,))[0] for c in counts)
+        n = sum(x > 0 for x in v)
+        if n >= html.SUPPORT * len(pages) and (n >= html.LEAST_PAGES or n == len(pages)):
+            vectors.setdefault(v, set()).add(t)
+    return sorted(map(sorted, vectors.values()))
+
+
 def test_html_templates(spark):
     page = lambda i: f"<body><div><p>Same words on all pages.</p></div><div><p>Own words {i}.</p></div></body>"
     df = spark.createDataFrame([(i, "http://h/x", page(i)) for i in range(6)], "page_id long, url string, html string")
     assert {r.text for r in html.extract(df).collect()} == {f"Own words {i}." for i in range(6)}
-    classes = html.nested_classes(html.template_classes(df)).collect()
-    assert any(">body>div=" in t or ">body>div>p" in t for c in classes for t in c.tokens) and any(c.parent_id is not None for c in classes)
+    odd = [page(i).replace("</body>", "<hr><i>x</i></body>" * (i % 2) + "<ul><li>a</ul>" * (i % 3)) for i in range(7)]
+    classes = html.template_classes(spark.createDataFrame([(i, "http://h/x", h) for i, h in enumerate(odd)], df.schema))
+    assert sorted(sorted(t.token for t in c.tokens) for c in classes.collect()) == brute_classes(odd)
+    nested = html.nested_classes(classes).collect()
+    assert len({c.class_id for c in nested}) == len(nested) and any(c.parent_id is not None for c in nested)
+
+
+def test_html_slots_by_classes(spark):
+    """What a page alone cannot tell: boilerplate without a name, teasers, words that may mean anything."""
+    line = lambda i, k: f"Sentence {k} of the story number {i} which is told at some length here."
+    story = lambda i: "".join(f"<p>{line(i, k)}</p>" for k in range(4))
+    hosts = {
+        "plain": lambda i: f"<body><div class=x1><p>Buy our book on all pages now, it is a very good book and cheap too.</p></div><div id=main>{story(i)}<p>Read more on our site every day.</p></div></body>",
+        "teaser": lambda i: f"<body><div id=main>{story(i)}</div><article>Teaser {i}</article></body>",
+        "words": lambda i: f"<body><article><h1>Title {i}</h1>{story(i)}" + (f'<section class="menu">Soup {i} and bread</section><p class="notice">Closed on day {i}</p>' if i == 2 else "") + "<p>a <math>x+1</math></p></article></body>",
+        "boxes": lambda i: f'<body><article>{story(i)}<div class="notice">Notice number {i}</div></article></body>',
+    }
+    rows = [(k * 10 + i, f"http://{h}/p", f(i)) for k, (h, f) in enumerate(hosts.items()) for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    told = lambda i: " ".join(line(i, k) for k in range(4))
+    for i in range(5):
+        assert got[i] == told(i)
+        assert got[10 + i] == told(i)
+        assert got[20 + i].startswith(f"Title {i} {told(i)}")
+        assert got[30 + i] == told(i)
+    assert "Soup 2 and bread Closed on day 2" in got[22]
+    alone = {i: html.main_text(html.Page(h), "", frozenset(), frozenset()) for i, _, h in rows}
+    assert all(alone[i] != got[i] for i in [*range(5), *range(30, 35)])
+    copies = spark.createDataFrame([(i, "http://h/", f"<body><article>{story(1)}</article></body>") for i in range(9)], df.schema)
+    assert {r.text for r in html.extract(copies).collect()} == {told(1)}
+    assert html.extract(df.limit(0)).count() == 0
+
+
+def test_html_single_pages(spark):
+    real = "<div id=main><p>The real story.</p></div><article>Teaser</article>"
+    cases = [real, '<article><p>One story.</p><section class="menu">The soup and the bread.</section><p class="notice">Closed.</p></article>', "<article>a<math>x</math></article>", ""]
+    df = spark.createDataFrame([(i, f"http://h{i}/", h) for i, h in enumerate(cases)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert got[0] == "The real story." and got[1] == "One story. The soup and the bread. Closed." and got[2] == "ax" and got[3] == ""
 
 
 def tokenizer():
