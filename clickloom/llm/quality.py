@@ -1,10 +1,11 @@
 """Quality classifier: weak labels by expectation-maximisation, then a hashed linear scorer.
 
-Heuristic labellers vote good, junk or nothing on every document. Votes are counted by pattern over
-all documents; EM over the patterns estimates how accurate each labeller is, and so what share of
-each pattern is junk. The posteriors of a bounded sample of documents are the labels of a logistic
-scorer over hashed word features, which then scores every document. Toxicity has labellers of its
-own, and, if a table of human labels is given, a scorer fitted on a bounded sample of these.
+Heuristic labellers vote good, junk, neither, or cannot tell, on every document. Votes are counted by
+pattern over all documents; EM over the patterns estimates how each labeller votes on good documents
+and on junk, and so what share of each pattern is junk. It starts from the majority vote; nothing else
+is given. The posteriors of a bounded sample of documents are the labels of a logistic scorer over
+hashed word features, which then scores every document. Toxicity has labellers of its own, and, if a
+table of human labels is given, a scorer fitted on a bounded sample of these.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ SAMPLE = 4000
 #: toxicity scorer (word beginnings).
 SHAPE_BUCKETS, STEM_BUCKETS = 1024, 8192
 STEM_BYTES = 6
+#: Longer words are cut into pieces of so many bytes.
+PIECE = 64
 CACHE_WORDS = 200_000
 
 Vector = tuple[np.ndarray, np.ndarray]
@@ -36,45 +39,51 @@ INSULTS = (frozenset("idiot moron stupid clown loser dumb fool".split()), frozen
 _DROP = bytes(range(48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 128))
 _SYMBOLS = bytes(set(range(33, 127)) - set(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,;:!?'\"()-"))
 _UPPER, _LOWER, _NUMERALS = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58))
+_SENTENCE = re.compile(rb"[.!?\n]+")
+# Small words of English, German, French and Spanish.
+SMALL_WORDS = frozenset(
+    "a al an and are as at au auf be by das dans de del dem den der des des die du ein eine el en es est et for from für he il im in is ist it la las le les lo los mit nicht no o of on or par pas por pour qu que qui se sich su sur that the this to und un una une von was with y you zu".encode().split()
+)
 
-QUALITY = ("symbols", "marked_words", "capitals", "shouts", "stutter", "variety", "bars", "numerals", "prose")
+QUALITY = ("symbols", "capitals", "stutter", "variety", "repeats", "small_words", "sentences", "word_length", "numerals")
 TOXIC = ("insults_a", "insults_b", "insult_density")
-_MARKS = re.compile(rb"[#$%&*|~^=<>\\]+")
+#: A vote for good (clean), for junk (toxic), for neither, and none for want of text.
+FOR, AGAINST, NEITHER, UNABLE = 1, -1, 0, 2
 
 
-def votes(text: str) -> tuple[list[int], list[int]]:
-    """One vote for each of QUALITY (1 good, -1 junk, 0 none) and of TOXIC (1 clean, -1 toxic, 0 none).
+def _either(x: float, good: float, junk: float) -> int:
+    """FOR beyond `good`, AGAINST beyond `junk`, on whichever side of each other they lie."""
+    return (FOR if x >= good else AGAINST if x < junk else NEITHER) if good > junk else (FOR if x <= good else AGAINST if x > junk else NEITHER)
 
-    Most quality labellers know one kind of junk and abstain otherwise; kinds overlap. All of them
-    abstain on texts of under 3 words, where their shares say nothing.
-    """
+
+def votes(text: str) -> tuple[list[int], list[int]]:
+    """One vote of each of QUALITY and of TOXIC. Labellers that know one kind of junk never vote for a
+    document; those that look at the shape of prose vote both ways, and may contradict each other."""
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
-    n = len(words)
-    if n < 3:
-        return [0] * len(QUALITY), _insulted(raw, n)
-    size = len(raw)
+    n, size = len(words), len(raw)
     share = lambda chars: (size - len(raw.translate(None, chars))) / size
-    upper, lower = share(_UPPER), share(_LOWER)
-    capitals = upper / max(upper + lower, 1e-9)
-    marks = len(_MARKS.findall(raw)) / n
-    same = sum(map(bytes.__eq__, words[1:], words)) / n
-    # Variety falls with length, so it is taken over stretches.
-    parts = range(0, n, 500)
-    variety = sum(len(set(words[i : i + 500])) for i in parts) / n
-    junk = lambda found: -1 if found else 0
-    out = [
-        junk(share(_SYMBOLS) > 0.06),
-        junk(marks > 0.3),
-        junk(capitals > 0.45),
-        junk(raw.count(b"!!") / n > 0.2),
-        junk(same > 0.2),
-        -1 if variety < 0.3 else 1 if variety > 0.45 else 0,
-        junk(raw.count(b"|") / n > 0.2),
-        junk(share(_NUMERALS) > 0.4),
-        1 if marks < 0.1 and capitals < 0.2 and same < 0.1 else -1 if marks > 0.3 or capitals > 0.45 or same > 0.2 else 0,
-    ]
-    return out, _insulted(raw, n)
+    junk = lambda found: AGAINST if found else NEITHER
+    out = dict.fromkeys(QUALITY, UNABLE)
+    if n >= 3 or size > 200:
+        upper, lower = share(_UPPER), share(_LOWER)
+        out["symbols"] = junk(share(_SYMBOLS) > 0.03)
+        out["capitals"] = junk(upper > 0.25 * (upper + lower) > 0)
+        out["numerals"] = junk(share(_NUMERALS) > 0.3)
+    if n >= 3:
+        out["stutter"] = junk(sum(map(bytes.__eq__, words[1:], words)) / n > 0.1)
+        out["word_length"] = junk(not 3 <= (size - n) / n <= 8)
+    if n >= 8:
+        out["small_words"] = _either(sum(map(SMALL_WORDS.__contains__, raw.lower().split())) / n, 0.15, 0.1)
+        parts = [x for x in _SENTENCE.split(raw) if x.strip()]
+        if len(parts) >= 3:
+            out["repeats"] = junk(1 - len(set(parts)) / len(parts) > 0.2)
+        mean = n / max(1, len(parts))
+        out["sentences"] = FOR if 4 <= mean <= 40 else AGAINST if mean < 3 or mean > 60 else NEITHER
+    if n >= 20:
+        # Variety falls with length, so it is taken over stretches.
+        out["variety"] = _either(sum(len(set(words[i : i + 500])) for i in range(0, n, 500)) / n, 0.45, 0.35)
+    return list(out.values()), _insulted(raw, n)
 
 
 def _insulted(raw: bytes, n: int) -> list[int]:
@@ -89,33 +98,36 @@ def _insulted(raw: bytes, n: int) -> list[int]:
     return [-1 if hits[0] else 1, -1 if hits[1] else 1, -1 if total > max(1, n // 1000) else 0 if total else 1]
 
 
-def fit_label_model(patterns: np.ndarray, counts: np.ndarray, prior: float = 0.1, rounds: int = 200, trust: float = 0.3) -> np.ndarray:
-    """The share of the second class (junk, toxic) in each vote pattern, by EM.
+def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 1000) -> tuple[np.ndarray, np.ndarray, float]:
+    """(share of the second class in each vote pattern, accuracies, share of the second class), by EM.
 
-    patterns: rows of votes (1, 0, -1); counts: documents with each. A labeller has, for each class,
-    a chance of each vote. Labellers are written so that they seldom vote against a good document:
-    a prior worth `trust` times all documents holds that chance near 1 in 300.
+    patterns: rows of votes; counts: documents with each. A labeller has, for each class, a chance of
+    each vote that it is able to give; all are estimated, from the share of votes against a document as
+    the first guess. A labeller's accuracy is the share of its votes that its estimated class agrees
+    with, of those that are for or against. Each chance has half a vote added.
     """
-    total = patterns.sum(1)
-    p = np.where((patterns < 0).any(1), 0.9, np.where(total > 0, 0.02, prior))
-    one = np.stack([patterns == v for v in (1, 0, -1)], 2).astype(float)
-    n = counts.sum()
-    votes_seen = np.einsum("n,nmv->mv", counts, one) / max(n, 1)
-    good = votes_seen.copy()
-    good[:, 2] = 1 / 300
+    n, cast = counts.sum(), (patterns == FOR) | (patterns == AGAINST)
+    if not n:
+        return np.zeros(0), np.full(patterns.shape[1] if patterns.ndim > 1 else 0, np.nan), 0.0
+    against = (patterns == AGAINST).sum(1)
+    # Neither for nor against says a little for a document.
+    p = np.where(cast.any(1), np.clip(against / np.maximum(cast.sum(1), 1), 0.02, 0.98), 0.1)
+    one = np.stack([patterns == v for v in (FOR, NEITHER, AGAINST)], 2).astype(float)
+    share = 0.0
     for _ in range(rounds):
         weight = np.stack([(1 - p) * counts, p * counts], 1)
-        share = weight.sum(0) + 1
-        share /= share.sum()
-        theta = np.einsum("nk,nmv->kmv", weight, one) + 0.5
-        theta[0] += trust * n * good
-        theta /= theta.sum(2, keepdims=True)
-        like = np.log(share)[:, None] + np.einsum("nmv,kmv->kn", one, np.log(theta))
+        classes = (weight.sum(0) + 1) / (n + 2)
+        chance = np.einsum("nk,nmv->kmv", weight, one) + 0.5
+        chance /= chance.sum(2, keepdims=True)
+        like = np.log(classes)[:, None] + np.einsum("nmv,kmv->kn", one, np.log(chance))
         new = 1 / (1 + np.exp(np.clip(like[0] - like[1], -50, 50)))
-        if np.abs(new - p).max() < 1e-9:
-            break
+        share, done = float(classes[1]), np.abs(new - p).max() < 1e-9
         p = new
-    return p
+        if done:
+            break
+    right = ((patterns == AGAINST) * p[:, None] + (patterns == FOR) * (1 - p)[:, None]) * counts[:, None]
+    given = (cast * counts[:, None]).sum(0)
+    return p, np.where(given, right.sum(0) / np.maximum(given, 1), np.nan), share
 
 
 class Features:
@@ -128,7 +140,7 @@ class Features:
 
     def code(self, word: bytes) -> int:
         text = word.decode("utf-8", "replace")
-        kinds = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in text[:64]]
+        kinds = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in text]
         shape = "".join(k for i, k in enumerate(kinds) if i == 0 or k != kinds[i - 1])
         stem = text.lower().strip(".,;:!?#$%&*|\"'()").encode("utf-8", "replace")[:STEM_BYTES]
         self.shapes.append(xxhash.xxh32_intdigest(shape.encode("utf-8", "replace")) % (SHAPE_BUCKETS - 1))
@@ -138,6 +150,8 @@ class Features:
 
     def __call__(self, text: str) -> tuple[Vector, Vector]:
         words = text.encode("utf-8", "surrogatepass").split()
+        if max(map(len, words), default=0) > PIECE:  # scripts without spaces, junk: all of it counts
+            words = [w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)]
         shapes, stems = np.zeros(SHAPE_BUCKETS), np.zeros(STEM_BUCKETS)
         for i in range(0, len(words), CACHE_WORDS // 4):
             part = words[i : i + CACHE_WORDS // 4]
@@ -187,7 +201,7 @@ def score(w: np.ndarray, x: Vector) -> float:
 
 
 def _written(v: list[int]) -> str:
-    return "".join("0+-"[i] for i in v)
+    return "".join("0+.-"[i] for i in v)
 
 
 def _posterior(model: dict[str, float], text: str) -> float:
@@ -196,6 +210,51 @@ def _posterior(model: dict[str, float], text: str) -> float:
     return model.get(_written(_insulted(raw, len(raw.split()))), 0.0)
 
 
+def count_votes(source: DataFrame) -> DataFrame:
+    """quality, toxic, n: patterns of votes on _text, and the rows with each. At most 4^9 * 3^3 rows,
+    however many documents there are."""
+
+    def voting():
+        def run(batch: pa.RecordBatch) -> dict:
+            # Each pattern of a batch goes out once.
+            seen: dict[tuple[str, str], int] = {}
+            for t in batch.column("_text"):
+                key = tuple(map(_written, votes(t.as_py())))
+                seen[key] = seen.get(key, 0) + 1
+            return {"quality": [k[0] for k in seen], "toxic": [k[1] for k in seen], "n": list(seen.values())}
+
+        return run
+
+    return map_batches(source.select("_text"), "quality string, toxic string, n long", voting).groupBy("quality", "toxic").agg(F.sum("n").alias("n"))
+
+
+class LabelModel:
+    """What EM finds from a table of vote patterns: posterior by pattern, accuracy by labeller, share."""
+
+    def __init__(self, counted: list, column: str, labellers: tuple[str, ...]):
+        sums: dict[str, int] = {}
+        for r in counted:
+            sums[r[column]] = sums.get(r[column], 0) + r["n"]
+        names = sorted(sums)
+        votes_ = np.array([[{"+": FOR, "0": NEITHER, "-": AGAINST, ".": UNABLE}[c] for c in x] for x in names]).reshape(len(names), len(labellers))
+        p, accuracy, self.share = fit_label_model(votes_, np.array([sums[x] for x in names], float))
+        self.posterior = dict(zip(names, map(float, p), strict=True))
+        self.accuracy = dict(zip(labellers, map(float, accuracy), strict=False))
+        self.votes = dict(zip(labellers, ((votes_ == FOR) | (votes_ == AGAINST)).T @ np.array([sums[x] for x in names], float) if names else np.zeros(len(labellers)), strict=True))
+
+
+def labeller_accuracies(documents: DataFrame, text: str = "text") -> DataFrame:
+    """labeller, kind (quality, toxic), votes (for or against, over all documents), accuracy, share (of
+    junk or toxic documents), as the label model estimates them; accuracy is null without a vote."""
+    spark = documents.sparkSession
+    counted = count_votes(documents.select(F.coalesce(quoted(text), F.lit("")).alias("_text"))).collect()
+    rows = []
+    for kind, names in (("quality", QUALITY), ("toxic", TOXIC)):
+        m = LabelModel(counted, kind, names)
+        rows += [(n, kind, int(m.votes[n]), None if m.votes[n] == 0 else m.accuracy[n], m.share) for n in names]
+    return spark.createDataFrame(rows, "labeller string, kind string, votes long, accuracy double, share double")
+
+
 def _sampled(rows: DataFrame, n: int, size: int, by: list[str]) -> DataFrame:
     """At most `size` of n rows, those with the smallest hashes, without sorting all rows."""
     width = 1 << 40
@@ -227,7 +286,8 @@ def _toxic_weights(source: DataFrame, labels: DataFrame, sample: int, model: dic
     """Weights of the toxicity scorer, from at most `sample` labelled documents."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("double").alias("_y"))
     known = _sampled(known, known.count(), sample, ["doc_id"])
-    rows = source.join(F.broadcast(known), "doc_id").select("_text", "_y")  # at most `sample` ids
+    # At most `sample` ids; of rows with the same id one is taken.
+    rows = source.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"]).select("_text", "_y")
 
     def featuring():
         features = Features()
@@ -239,7 +299,7 @@ def _toxic_weights(source: DataFrame, labels: DataFrame, sample: int, model: dic
 
         return run
 
-    got = map_batches(rows, "y double, p double, at array<int>, values array<double>", featuring).limit(2 * sample).collect()
+    got = map_batches(rows, "y double, p double, at array<int>, values array<double>", featuring).collect()
     return fit_toxic([(np.array(r["at"], np.int64), np.array(r["values"])) for r in got], np.array([r["p"] for r in got]), np.array([r["y"] for r in got]))
 
 
@@ -255,28 +315,8 @@ def classify(documents: DataFrame, labels: DataFrame | None = None, text: str =
     """
     source = documents.select("doc_id", F.coalesce(quoted(text), F.lit("")).alias("_text"))
 
-    def voting():
-        def run(batch: pa.RecordBatch) -> dict:
-            # Each pattern of a batch goes out once.
-            seen: dict[tuple[str, str], int] = {}
-            for t in batch.column("_text"):
-                key = tuple(map(_written, votes(t.as_py())))
-                seen[key] = seen.get(key, 0) + 1
-            return {"quality": [k[0] for k in seen], "toxic": [k[1] for k in seen], "n": list(seen.values())}
-
-        return run
-
-    # At most 3^9 * 3^3 rows, however many documents there are.
-    table = map_batches(source.select("_text"), "quality string, toxic string, n long", voting).groupBy("quality", "toxic").agg(F.sum("n").alias("n")).collect()
-    models = []
-    for name in ("quality", "toxic"):
-        sums: dict[str, int] = {}
-        for r in table:
-            sums[r[name]] = sums.get(r[name], 0) + r["n"]
-        names = sorted(sums)
-        p = fit_label_model(np.array([[{"+": 1, "0": 0, "-": -1}[c] for c in x] for x in names]), np.array([sums[x] for x in names])) if names else []
-        models.append(dict(zip(names, map(float, p), strict=True)))
-    quality, toxic = models
+    counted = count_votes(source).collect()
+    quality, toxic = (LabelModel(counted, c, names).posterior for c, names in (("quality", QUALITY), ("toxic", TOXIC)))
 
     def sampling():
         features = Features()
@@ -288,7 +328,7 @@ def classify(documents: DataFrame, labels: DataFrame | None = None, text: str =
 
         return run
 
-    some = _sampled(source.select("_text").where(F.length("_text") > 0), sum(r["n"] for r in table), sample, ["_text"])
+    some = _sampled(source.select("_text").where(F.length("_text") > 0), sum(r["n"] for r in counted), sample, ["_text"])
     rows = map_batches(some, "p double, at array<int>, values array<double>", sampling).collect()
     junk = fit_scorer([(r["at"], r["values"]) for r in rows], np.array([r["p"] for r in rows]), SHAPE_BUCKETS)
     bad = _toxic_weights(source, labels, sample, toxic) if labels is not None else None

@@ -307,6 +307,46 @@ def test_quality_on_held_out_labels(spark):
     assert sum(x.accepted for x in clean) >= 0.95 * len(clean)
 
 
+def test_label_model_on_known_accuracies():
+    rnd = np.random.RandomState(8)
+    truth, accuracy = rnd.rand(20_000) < 0.3, [0.95, 0.9, 0.8, 0.7, 0.65, 0.6, 0.85]
+    votes = np.stack([np.where(rnd.rand(len(truth)) < 0.3, quality.UNABLE, np.where((rnd.rand(len(truth)) < a) == truth, quality.AGAINST, quality.FOR)) for a in accuracy], 1)
+    patterns, where, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    p, found, share = quality.fit_label_model(patterns, counts)
+    assert np.abs(found - accuracy).max() < 0.05 and abs(share - 0.3) < 0.05
+    guess = p[where.ravel()] >= 0.5
+    majority = (votes == quality.AGAINST).sum(1) > (votes == quality.FOR).sum(1)
+    any_vote = (votes == quality.AGAINST).any(1)
+    right = lambda g: (g == truth).mean()
+    assert right(guess) > right(majority) + 0.01 and right(guess) > right(any_vote) + 0.2
+
+
+def test_label_model_on_labels(spark):
+    """EM's labels against human ones it has not seen: better than any vote against, and than most votes."""
+    d = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{d}/documents.parquet").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").select("doc_id", "text", "quality").collect()
+    votes = np.array([quality.votes(r.text or "")[0] for r in docs])
+    junk = np.array([r.quality == 0 for r in docs])
+    patterns, where, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    p, accuracy, _ = quality.fit_label_model(patterns, counts)
+    right = lambda g: (g == junk).mean()
+    any_vote = (votes == quality.AGAINST).any(1)
+    most = (votes == quality.AGAINST).sum(1) > (votes == quality.FOR).sum(1)
+    guess = p[where.ravel()] >= 0.5
+    assert right(guess) > right(any_vote) and right(guess) > right(most) and (guess != any_vote).any()
+    for k, a in enumerate(accuracy):
+        cast = np.isin(votes[:, k], (quality.FOR, quality.AGAINST))
+        if cast.sum() >= 30:
+            assert abs(((votes[cast, k] == quality.AGAINST) == junk[cast]).mean() - a) < 0.08, quality.QUALITY[k]
+
+
+def test_labeller_accuracies(spark):
+    df = spark.createDataFrame([(1, "a b c d e f g h"), (2, None), (3, "")], "doc_id long, text string")
+    rows = quality.labeller_accuracies(df).collect()
+    assert [r.labeller for r in rows] == [*quality.QUALITY, *quality.TOXIC] and all(r.accuracy is None or 0 <= r.accuracy <= 1 for r in rows)
+    assert quality.labeller_accuracies(df.limit(0)).count() == len(rows)
+
+
 def test_quality_edges(spark):
     df = spark.createDataFrame([(1, None, True), (2, "", True), (3, "A plain sentence of words, here.", True), (4, "you idiot moron.", True)], "doc_id long, text string, accepted boolean")
     got = {r.doc_id: r for r in quality.classify(df).collect()}
@@ -314,6 +354,28 @@ def test_quality_edges(spark):
     assert quality.classify(df.limit(0)).count() == 0
 
 
+def test_quality_passes_any_columns(spark):
+    rows = [(i, f"A plain sentence number {i} of some words that say a thing.", "t", 0.1, True) for i in range(9)] + [(None, None, "t", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _text string, junk_score double, accepted boolean")
+    df = df.withColumns({"toxic": F.lit("x"), "a.b": F.lit(1), "Toxic_Score": F.lit(2), "_h": F.lit(3), "_k0": F.lit(4)})
+    out = quality.keep_accepted(df)
+    assert out.columns == df.columns and out.where("doc_id is null").count() == 0 and out.count() > 0
+    assert {r.toxic for r in out.collect()} == {"x"} and out.schema == df.schema
+    got = quality.classify(df, keep=tuple(df.columns))
+    assert got.columns == ["doc_id", "text", "_text", "a.b", "_h", "_k0", "junk_score", "toxic_score", "toxic", "accepted"] and got.count() == 10
+    assert pii.mask_personal_data(df).schema == df.schema
+    for c in (simhash.keep_one(df), simhash.keep_similar(df)):
+        assert c.columns == df.columns and c.where("_k0 <> 4").count() == 0
+    found = pii.find_personal_data(df.withColumn("spans", F.lit(1)).withColumn("_text", F.lit("x")), keep=("doc_id", "spans", "_text"))
+    assert found.columns == ["doc_id", "_text", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+
+
+def test_quality_reads_long_words_whole():
+    f = quality.Features()
+    a, b = f("x" * 64 + "#" * 64)[0], f("x" * 64)[0]
+    assert len(a[0]) > len(b[0])
+
+
 def test_quality_scorer_overrules_one_listed_word(spark):
     plain = "the people of the town went to the market and came home again"
     assert quality.votes(f"{plain} with the garbage")[1] == [1, -1, 0] and quality.votes(f"{plain} garbage trash")[1] == [1, -1, -1]
