@@ -8,12 +8,22 @@ equal places, so anchors alone tell where windows may repeat, and there is one f
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut, map_batches
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Symbols whose anchors are looked for at a time; bounds a task's memory for very long texts.
 STRETCH = 1 << 20
+#: Documents that a layout is estimated from (1 in 64 if that is more), rows in a part, about, and the
+#: least number of times a hot number is seen among them.
+LAYOUT_DOCUMENTS, PART_ROWS, LEAST_HOT = 20_000, 400_000, 16
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33))
 
 
@@ -73,10 +83,11 @@ def least(numbers: np.ndarray, width: int) -> np.ndarray:
     return np.unique((m[keep] & place).astype(np.int64))
 
 
-def anchors(symbols: np.ndarray, window: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(symbols: np.ndarray, window: int, size: int, second: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """(places, numbers, context numbers) of a text's anchors; none if it has no window.
 
-    A context reaches window - size symbols to both sides, or to the text's ends.
+    A context reaches window - size symbols to both sides, or to the text's ends. With `second`, other
+    numbers for the same symbols, there is a second context number, independent of the first.
     """
     reach = window - size
     found: list[tuple[np.ndarray, ...]] = []
@@ -88,9 +99,55 @@ def anchors(symbols: np.ndarray, window: int, size: int) -> tuple[np.ndarray, np
         own = numbers[at - low : at - low + STRETCH + reach]
         places = least(own, reach + 1) + (at - low)
         starts, ends = np.maximum(places - reach, 0), np.minimum(places + size + reach, high - low)
-        found.append((places + low, numbers[places], runs.at(starts, ends)))
+        more = () if second is None else (Runs(second[low:high]).at(starts, ends),)
+        found.append((places + low, numbers[places], runs.at(starts, ends), *more))
     if len(found) == 1:
         return found[0]
-    places, numbers, contexts = (np.concatenate(x) for x in zip(*found, strict=True))
+    places, *columns = (np.concatenate(x) for x in zip(*found, strict=True))
     places, first = np.unique(places, return_index=True)
-    return places, numbers[first], contexts[first]
+    return places, *(x[first] for x in columns)
+
+
+def joint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each place, a number below their count that tells its pair (a, b) from other pairs."""
+    order = np.argsort(b, kind="stable")
+    change = np.zeros(len(b), np.int64)
+    change[1:] = (b[order[1:]] != b[order[:-1]]) | (a[order[1:]] != a[order[:-1]])
+    out = np.empty(len(b), np.int64)
+    out[order] = np.cumsum(change)
+    return out
+
+
+def among(x: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which of x are in the sorted `some`."""
+    if not len(some):
+        return np.zeros(len(x), bool)
+    return some[np.minimum(np.searchsorted(some, x), len(some) - 1)] == x
+
+
+def layout(source: DataFrame, numbers: Callable[[], Callable[[str], np.ndarray]]) -> tuple[np.ndarray, int]:
+    """(hot numbers, sorted; parts): how to deal out the anchors of source (_text).
+
+    Both are estimated from some of the documents and decide only where rows go, never what is found.
+    Hot are numbers that alone would fill a quarter of a part; there are at most 4 for each part.
+    """
+    n = source.count()
+    share = min(1.0, max(LAYOUT_DOCUMENTS / max(n, 1), 1 / 64))
+    some = source.where(F.pmod(F.xxhash64("_text"), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+    def make():
+        of = numbers()
+
+        def run(batch: pa.RecordBatch) -> dict:
+            found = [of(t.as_py()) for t in batch.column("_text")]
+            short, count = np.unique(np.concatenate(found), return_counts=True)
+            return {"short": short.view(np.int64), "n": count}
+
+        return run
+
+    # Copies of one text are in or out together, which makes their anchors look hotter or colder.
+    counts = cut(map_batches(some.select("_text"), "short long, n long", make).groupBy("short").agg(F.sum("n").alias("n")), "layout")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = max(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total / share) // PART_ROWS)
+    top = counts.where((F.col("n") >= LEAST_HOT) & (F.col("n") * 4 * parts > total)).select("short").collect()
+    return np.sort(np.array([r["short"] for r in top], np.int64).view(np.uint64)), parts

@@ -104,11 +104,12 @@ def map_kept(rows: DataFrame, keep: Iterable[str], inputs: dict[str, Column], sc
 class Words:
     """64-bit numbers of words; a task-long cache that is emptied when full."""
 
-    def __init__(self):
+    def __init__(self, seed: int = 0):
         self.cache: dict[bytes, int] = {}
+        self.seed = seed
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        cache, h = self.cache, xxhash.xxh64_intdigest
+        cache, h, seed = self.cache, xxhash.xxh64_intdigest, self.seed
         if len(cache) > CACHE_WORDS:
             cache.clear()
         out = np.empty(len(words), np.uint64)
@@ -118,11 +119,19 @@ class Words:
             if None in got:
                 for k, x in enumerate(got):
                     if x is None:
-                        got[k] = cache[part[k]] = h(part[k])
+                        got[k] = cache[part[k]] = h(part[k], seed)
             out[i : i + len(part)] = got
         return out
 
 
+def second(numbers: np.ndarray) -> np.ndarray:
+    """Other 64-bit numbers for the same symbols: runs of them are as good as independent of runs of the first."""
+    x = (numbers ^ np.uint64(0xA0761D6478BD642F)) * np.uint64(0xE7037ED1A0B428DB)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0x8EBC6AF09C88C6E3)
+    return x ^ (x >> np.uint64(29))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the graph with the given (src, dst) long edges.
 

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Runs, anchors, mixed
-from .common import cut, map_batches
+from .anchors import Runs, among, anchors, joint, layout, mixed
+from .common import cut, map_batches, second
 from .passages import counted, firsts, gathered
 
 WINDOW, SHORT = 50, 20
@@ -28,6 +28,7 @@ SHARD = 4096
 #: A row's number holds 33 bits of its key and 30 bits of a place.
 KEY, PLACE = (1 << 33) - 1, (1 << 30) - 1
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
+_BYTES2 = second(_BYTES)
 
 
 def starts_of(change: np.ndarray) -> np.ndarray:
@@ -158,10 +159,18 @@ def _source(documents: DataFrame, text: str) -> DataFrame:
     return documents.select("doc_id", F.col("doc_id").cast("long").alias("_id"), F.xxhash64("doc_id", body).bitwiseAND(F.lit(KEY)).alias("_key"), body.alias("_text"))
 
 
-def _anchors(source: DataFrame) -> DataFrame:
+def _numbers():
+    def of(text: str) -> np.ndarray:
+        return anchors(_BYTES[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)], WINDOW, SHORT)[1]
+
+    return of
+
+
+def _anchors(source: DataFrame, hot: np.ndarray) -> DataFrame:
     """short, context, _id, row: anchors to be dealt out by their number. Of anchors with equal
     contexts in a batch, those of the least document go out; the others are known to repeat an
-    earlier document's and go out with context 0, dealt by document."""
+    earlier document's and go out with context 0, dealt by document. Hot anchors are dealt out by a
+    second number of their context in place of their own; the context's last bit tells them."""
 
     def make():
         def run(batch: pa.RecordBatch) -> dict:
@@ -170,15 +179,23 @@ def _anchors(source: DataFrame) -> DataFrame:
                 raw = np.frombuffer(t.as_py().encode("utf-8", "surrogatepass"), np.uint8)
                 if len(raw) < WINDOW:
                     continue
-                places, short, context = anchors(_BYTES[raw], WINDOW, SHORT)
+                if len(raw) > PLACE:
+                    raise ValueError(f"a text has over {PLACE} bytes")
+                places, short, context, *other = anchors(_BYTES[raw], WINDOW, SHORT, _BYTES2[raw] if len(hot) else None)
+                context &= ~np.uint64(1)
+                context[context == 0] = 2
+                if len(hot):
+                    warm = among(short, hot)
+                    short = np.where(warm, other[0], short)
+                    context |= warm.astype(np.uint64)
                 for c, x in zip(cols, (short.view(np.int64), context.view(np.int64), np.full(len(places), i), (k << 30) | places), strict=True):
                     c.append(x)
             short, context, ids, rows = map(np.concatenate, cols)
-            _, inverse = np.unique(context, return_inverse=True)
+            inverse = joint(short, context)
             least = np.full(len(context), np.iinfo(np.int64).max)
             np.minimum.at(least, inverse, ids)
             later = ids > least[inverse]
-            return {"short": np.where(later, mixed(rows.view(np.uint64) >> np.uint64(30)).view(np.int64), short), "context": np.where(later, 0, np.where(context == 0, 1, context)), "_id": ids, "row": rows}
+            return {"short": np.where(later, mixed(rows.view(np.uint64) >> np.uint64(30)).view(np.int64), short), "context": np.where(later, 0, context), "_id": ids, "row": rows}
 
         return run
 
@@ -186,37 +203,82 @@ def _anchors(source: DataFrame) -> DataFrame:
 
 
 def _survivors(anchors_: DataFrame, parts: int) -> DataFrame:
-    """_id, row, short, whole: anchors all of whose windows an earlier document has (whole), and
-    anchors of a context's first document whose windows are to be compared with other contexts'."""
+    """_id, row, short, whole, hot: anchors all of whose windows an earlier document has (whole), and
+    anchors of a context's first document whose windows are to be compared with other contexts'.
+
+    Contexts are compared among the anchors with one number, hot ones by two numbers of their own."""
 
     def run(batches):
         short, context, ids, rows = gathered(batches, 4)
-        whole = context == 0
+        whole, hot = context == 0, (context & 1) == 1
         ask = np.zeros(len(ids), bool)
         at = np.flatnonzero(~whole)
         # Anchors that one document alone has are of no interest.
         pairs = firsts(mixed(short[at].view(np.uint64)) ^ ids[at].view(np.uint64))
         _, inverse = np.unique(short[at], return_inverse=True)
-        several = np.bincount(inverse, pairs)[inverse] > 1 if len(at) else pairs
+        several = (np.bincount(inverse, pairs)[inverse] > 1) | hot[at] if len(at) else pairs
         at = at[several]
-        _, inverse = np.unique(context[at], return_inverse=True)
+        inverse = joint(short[at], context[at])
         least = np.full(len(at), np.iinfo(np.int64).max)
         np.minimum.at(least, inverse, ids[at])
         later = ids[at] > least[inverse]
         whole[at[later]] = True
-        at = at[~later]
+        at, inverse = at[~later], inverse[~later]
         # What is left differs in context: of one context only its first document's anchors.
-        mixed_groups = counted(short[at], firsts(context[at]).astype(float)) > 1
-        ask[at[mixed_groups]] = True
+        mixed_groups = counted(short[at], firsts(inverse).astype(float)) > 1
+        ask[at[mixed_groups | hot[at]]] = True
         keep = whole | ask
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (ids, rows, short, whole)], ["_id", "row", "short", "whole"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (ids, rows, short, whole, hot)], ["_id", "row", "short", "whole", "hot"])
+
+    return anchors_.repartition(parts, "short").mapInArrow(run, "_id long, row long, short long, whole boolean, hot boolean")
+
+
+def _wanted(survivors: DataFrame) -> DataFrame:
+    return survivors.select("_id", F.shiftright("row", 30).alias("_key"), F.struct(F.col("row").bitwiseAND(F.lit(PLACE)).alias("place"), "short").alias("_at")).groupBy("_id", "_key").agg(F.collect_list("_at").alias("_at"))
+
+
+def _hot_windows(source: DataFrame, survivors: DataFrame, parts: int) -> DataFrame:
+    """_id, _key, start of the windows around hot anchors that an earlier document has. Their strings
+    would meet in one task, so they are compared window by window, by 128 bits; of equal windows in a
+    batch one of the least document goes out, which settles the others."""
+
+    def make():
+        def run(batch: pa.RecordBatch) -> dict:
+            cols: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)]
+            for i, k, t, at in zip(batch.column("_id").to_pylist(), batch.column("_key").to_pylist(), batch.column("_text"), batch.column("_at").to_pylist(), strict=True):
+                raw = np.frombuffer(t.as_py().encode("utf-8", "surrogatepass"), np.uint8)
+                p = np.array([a["place"] for a in at])
+                starts = np.unique((p[:, None] - np.arange(REACH + 1)).ravel())
+                starts = starts[(starts >= 0) & (starts + WINDOW <= len(raw))]
+                for c, x in zip(cols, (Runs(_BYTES[raw]).all(WINDOW)[starts].view(np.int64), Runs(_BYTES2[raw]).all(WINDOW)[starts].view(np.int64), np.full(len(starts), i), np.full(len(starts), k), starts), strict=True):
+                    c.append(x)
+            a, b, ids, keys, starts = map(np.concatenate, cols)
+            inverse = joint(a, b)
+            least = np.full(len(a), np.iinfo(np.int64).max)
+            np.minimum.at(least, inverse, ids)
+            later = ids > least[inverse]
+            deal = np.where(later, mixed(keys.view(np.uint64)).view(np.int64), a)
+            return {"deal": deal, "a": a, "b": b, "known": later, "_id": ids, "_key": keys, "start": starts}
+
+        return run
+
+    def run(batches):
+        _, a, b, known, ids, keys, starts = gathered(batches, 7)
+        at = np.flatnonzero(~known)
+        inverse = joint(a[at], b[at])
+        least = np.full(len(at), np.iinfo(np.int64).max)
+        np.minimum.at(least, inverse, ids[at])
+        hit = known.astype(bool)
+        hit[at] = ids[at] > least[inverse]
+        yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (ids, keys, starts)], ["_id", "_key", "start"])
 
-    return anchors_.repartition(parts, "short").mapInArrow(run, "_id long, row long, short long, whole boolean")
+    rows = map_batches(source.select("_id", "_key", "_text").join(_wanted(survivors), ["_id", "_key"]), "deal long, a long, b long, known boolean, _id long, _key long, start long", make)
+    return rows.repartition(parts, "deal").mapInArrow(run, "_id long, _key long, start long")
 
 
 def _strings(source: DataFrame, survivors: DataFrame) -> DataFrame:
     """short, _id, row, bytes: the contexts of the anchors to compare."""
-    wanted = survivors.where("not whole").select("_id", F.shiftright("row", 30).alias("_key"), F.struct(F.col("row").bitwiseAND(F.lit(PLACE)).alias("place"), "short").alias("_at")).groupBy("_id", "_key").agg(F.collect_list("_at").alias("_at"))
+    wanted = _wanted(survivors)
 
     def make():
         def run(batch: pa.RecordBatch) -> dict:
@@ -237,8 +299,8 @@ def _strings(source: DataFrame, survivors: DataFrame) -> DataFrame:
     return map_batches(rows, "short long, _id long, row long, bytes binary", make)
 
 
-def comparable(strings: list[bytes], places: np.ndarray, documents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(indexes, numbers of all strings): the strings that can share a window with another: a window holds its anchor and,
+def comparable(strings: list[bytes], places: np.ndarray, documents: np.ndarray) -> np.ndarray:
+    """Indexes of the strings that can share a window with another: a window holds its anchor and,
     of the REACH bytes around it, half on one side at least, so that these have to be shared too."""
     lengths = np.array([len(s) for s in strings])
     first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
@@ -252,7 +314,7 @@ def comparable(strings: list[bytes], places: np.ndarray, documents: np.ndarray)
         number = runs.at(start[fits], end[fits])
         good[fits] |= counted(number, firsts(mixed(number) ^ whole[fits]).astype(float)) > 1
     # Of equal strings of one document one is compared.
-    return np.flatnonzero(good & one), whole
+    return np.flatnonzero(good & one)
 
 
 def _repeated(strings: DataFrame, parts: int) -> DataFrame:
@@ -268,13 +330,12 @@ def _repeated(strings: DataFrame, parts: int) -> DataFrame:
         if strings:
             documents, rows = np.concatenate(ids), np.concatenate(rows)
             places = rows & PLACE
-            at, whole = comparable(strings, places, documents)
+            at = comparable(strings, places, documents)
             least = least_documents([strings[i] for i in at.tolist()], documents[at]) if len(at) else []
-            own = whole ^ mixed(documents.view(np.uint64))
-            found = {n: x for n, x in zip(own[at].tolist(), least, strict=True)}
-            for i, n in enumerate(own.tolist()):
-                if n in found:
-                    later = np.flatnonzero(found[n] < documents[i])
+            found = {(strings[i], documents[i]): x for i, x in zip(at.tolist(), least, strict=True)}
+            for i, (n, document) in enumerate(zip(strings, documents.tolist(), strict=True)):
+                if (n, document) in found:
+                    later = np.flatnonzero(found[n, document] < document)
                     if len(later):
                         for c, x in zip(out, (np.full(len(later), documents[i]), np.full(len(later), int(rows[i]) >> 30), max(0, int(places[i]) - REACH) + later), strict=True):
                             c.append(x)
@@ -301,12 +362,16 @@ def remove_repeated(documents: DataFrame, text: str = "text") -> DataFrame:
     Every byte covered by a 50-byte string that also starts in a row with a smaller doc_id is removed;
     strings are judged on the input and never cross rows. Null texts count as empty. Rows without a
     doc_id keep everything and take nothing from others; rows with equal doc_ids take nothing from
-    each other. Other columns are ignored.
+    each other. doc_id is a number; a text has under 1 GiB (a longer one raises an error). Other columns
+    are ignored.
     """
     source = _source(documents, text)
-    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = cut(_survivors(_anchors(source), parts), "anchors")
-    starts = _repeated(_strings(source, found), parts)
+    hot, parts = layout(source, _numbers)
+    found = cut(_survivors(_anchors(source, hot), parts), "anchors")
+    asking = found.where("not whole")
+    starts = _repeated(_strings(source, asking.where("not hot")), parts)
+    if len(hot):
+        starts = starts.unionByName(_hot_windows(source, asking.where("hot"), parts))
     whole = found.where("whole").select("_id", F.shiftright("row", 30).alias("_key"), F.col("row").bitwiseAND(F.lit(PLACE)).alias("place"), F.lit(None).cast("long").alias("start"))
     spans = whole.unionByName(starts.withColumn("place", F.lit(None).cast("long")))
     spans = spans.groupBy("_id", "_key").agg(F.collect_list("place").alias("_places"), F.collect_list("start").alias("_starts"))

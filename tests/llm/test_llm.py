@@ -226,6 +226,31 @@ def test_passages(docs, rows):
     assert got == brute_words(rows)
 
 
+def test_hot_anchors_are_spread(spark, monkeypatch):
+    """One notice in very many surroundings: neither its anchors nor its windows meet in one task."""
+    rnd = random.Random(12)
+    words = lambda n: " ".join("".join(rnd.choices("abcdefghijkl", k=5)) for _ in range(n))
+    notice = words(50)
+    rows = [(i, f"{words(rnd.randint(25, 45))} {notice} {words(rnd.randint(25, 45))}") for i in range(700)]
+    rows += [(1000 + i, rows[i][1]) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6).persist()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeated(df).collect()}
+    assert got == brute_bytes(rows)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in passages.remove_repeated(df, digests=True).collect()}
+    assert got == brute_words(rows)
+    monkeypatch.setattr(anchors, "PART_ROWS", 1500)
+    for module, key in ((suffixes, "short"), (passages, "deal")):
+        source = module._source(df, "text")
+        hot, parts = anchors.layout(source, module._numbers)
+        assert len(hot)
+        dealt = module._anchors(source, hot)
+        sizes = sorted(r["count"] for r in dealt.repartition(parts, key).groupBy(F.spark_partition_id()).count().collect())
+        assert sizes[-1] <= 3 * sizes[len(sizes) // 2], (module.__name__, sizes)
+    source = passages._source(df, "text")
+    windows = passages._windows(source, common.cut(passages._survivors(passages._anchors(source, hot), parts), "test"))
+    assert windows.groupBy("deal").count().agg(F.max("count")).first()[0] <= 60
+
+
 def test_repeated_rows_and_missing_ids(spark):
     text = " ".join(f"w{i}" for i in range(40))
     df = spark.createDataFrame([(1, text), (1, text), (None, "a b"), (2, None)], "doc_id long, text string")
