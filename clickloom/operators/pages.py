@@ -31,12 +31,14 @@ def convert_rates(visits: DataFrame, flow: tuple[int, ...]) -> DataFrame:
     spark = visits.sparkSession
     if len(flow) < 2:
         return spark.createDataFrame([], "step int, slice string, pv long, rate double")
-    steps = spark.createDataFrame([(i + 1, f"{a}_{b}") for i, (a, b) in enumerate(zip(flow, flow[1:], strict=False))], "step int, slice string")
-    counts = F.broadcast(slice_counts(slices(visits), flow))  # as many rows as steps at most
-    rows = steps.join(counts, "slice", "left").crossJoin(F.broadcast(start_views(visits, flow).select(F.col("pv").alias("_start"))))
-    pv = F.coalesce("pv", F.lit(0))
-    before = F.coalesce(F.lag(pv).over(Window.orderBy("step")), F.col("_start"))  # a flow's few steps
-    return rows.select("step", "slice", pv.alias("pv"), ratio(pv, before).alias("rate"))
+    turn = Window.partitionBy("session_id").orderBy("action_time", "event_id")
+    views = visits.select(F.lag("page_id").over(turn).alias("from"), F.col("page_id").alias("to"))
+    pairs = list(zip(flow, flow[1:], strict=False))
+    # One pass: a sum for the start page and one for each step.
+    sums = views.agg(F.count_if(F.col("to") == flow[0]).alias("_0"), *[F.count_if((F.col("from") == a) & (F.col("to") == b)).alias(f"_{i + 1}") for i, (a, b) in enumerate(pairs)])
+    steps = [F.struct(F.lit(i + 1).alias("step"), F.lit(f"{a}_{b}").alias("slice"), F.col(f"_{i + 1}").alias("pv"), F.col(f"_{i}").alias("before")) for i, (a, b) in enumerate(pairs)]
+    rows = sums.select(F.explode(F.array(*steps)).alias("s")).select("s.*")
+    return rows.select("step", "slice", "pv", ratio(F.col("pv"), F.col("before")).alias("rate"))
 
 
 def flow_text(rates: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ def with_products(counts: DataFrame, products: DataFrame) -> DataFrame:
 
 def area_level(area: Column) -> Column:
     # Levels of areas.
-    return F.when(area.isin("China North", "China East"), "A").when(area.isin("China South", "China Middle"), "B").when(area.isin("West North", "West South"), "C").otherwise("D")
+    return F.when(area.isin("China North", "China East"), "A Level").when(area.isin("China South", "China Middle"), "B Level").when(area.isin("West North", "West South"), "C Level").otherwise("D Level")
 
 
 def top_products(full: DataFrame, n: int = 3) -> DataFrame:

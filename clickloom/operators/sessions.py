@@ -92,9 +92,11 @@ def bucket_ratios(counts: DataFrame) -> DataFrame:
     return counts.select("session_count", rows.alias("r")).select("r.bucket", "r.sessions", ratio(F.col("r.sessions"), F.col("session_count")).alias("ratio"))
 
 
-def ratios_json(ratios: DataFrame) -> DataFrame:
-    """One row: result, the map from bucket to ratio as JSON."""
-    return ratios.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("bucket", "ratio"))))).alias("result"))
+def statistics_row(counts: DataFrame) -> DataFrame:
+    """One row: session_count, and result, the map from bucket to ratio as JSON."""
+    pairs = F.sort_array(F.collect_list(F.struct("bucket", "ratio")))
+    result = bucket_ratios(counts).agg(F.to_json(F.map_from_entries(pairs)).alias("result"))
+    return counts.select("session_count").crossJoin(F.broadcast(result))  # one row each
 
 
 def by_hour(sessions: DataFrame) -> DataFrame:

@@ -7,18 +7,20 @@ from pyspark.sql import DataFrame, SparkSession
 from clickloom.operators import pages, products, sessions
 from clickloom.params import Params
 from clickloom.sources.readers import Catalog
+from clickloom.sources.sinks import cut
 from clickloom.tasks import Job
 
 
 def session_job(visits: DataFrame, users: DataFrame, params: Params, total: int = 100) -> dict[str, DataFrame]:
     chosen = sessions.in_dates(visits, params)
-    kept = sessions.keep_sessions(sessions.enrich(sessions.summarise(chosen), users), params).persist()
-    details = sessions.detail(chosen, kept)
-    sampled = sessions.sample(kept, total)
+    # Every result starts from these three, so that each is made once and the visits are read twice.
+    kept = cut(sessions.keep_sessions(sessions.enrich(sessions.summarise(chosen), users), params), "sessions")
+    details = cut(sessions.detail(chosen, kept), "details")
+    sampled = cut(sessions.sample(kept, total), "sample")
     top = sessions.top_categories(sessions.category_counts(details))
     ranked = sessions.top_sessions(sessions.category_session_counts(details), top)
     return {
-        "session_aggr_stat": sessions.ratios_json(sessions.bucket_ratios(sessions.bucket_counts(kept))),
+        "session_aggr_stat": sessions.statistics_row(sessions.bucket_counts(kept)),
         "session_random_extract": sampled,
         "session_detail": sessions.detail(details, sampled),
         "top_category": top,
@@ -50,3 +52,11 @@ def jobs(catalog: Catalog) -> dict[str, Job]:
 def register_views(spark: SparkSession, **frames: DataFrame) -> None:
     for name, df in frames.items():
         df.createOrReplaceTempView(name)
+
+
+#: SQL over registered views; values are bound, never written into the text.
+VISITS_BETWEEN = "select * from user_visit_action where date >= :start and date <= :end"
+
+
+def run_sql(spark: SparkSession, text: str, **values: object) -> DataFrame:
+    return spark.sql(text, args=values)

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.functions import random_prefix, remove_random_prefix
+from clickloom.functions import basic_date, iso_date, kv_map, random_prefix, remove_random_prefix
 from clickloom.operators import ads, pages, products, sessions
 from clickloom.params import Params
+from clickloom.plans import jobs
 from clickloom.sources import readers, views
+from clickloom.sources.sinks import cut, scratch
 from clickloom.streaming import ads as stream
 
 PARAMS = Params(start_date="2024-01-04", end_date="2024-01-25")
@@ -87,6 +88,13 @@ VIEWS = {
 }
 
 
+RATIOS = " union all ".join(f"""select '{n}' as bucket, "{n}" as sessions, case when session_count <> 0 then ((200 * "{n}" + session_count) // (2 * session_count)) / 100.0 end as ratio from counts""" for n, _, _ in (*sessions.LENGTHS, *sessions.STEPS))
+
+
+RATES = """select step, slice, pv, case when b <> 0 then ((200 * pv + b) // (2 * b)) / 100.0 end as rate from (select step, slice, pv, coalesce(lag(pv) over (order by step), (select count(*) from ranged where page_id = 1)) as b
+from (select step, s.slice, coalesce(pv, 0) as pv from (values (1, '1_2'), (2, '2_3'), (3, '3_4'), (4, '4_5')) s(step, slice) left join slice_pv p on p.slice = s.slice))"""
+
+
 def _sql(body: str) -> str:
     """body behind those views that it needs."""
     import re
@@ -168,7 +176,7 @@ def area_full_product(spark, d):
     return _full(spark, d)
 
 
-@query("select area, case when area in ('China North', 'China East') then 'A' when area in ('China South', 'China Middle') then 'B' when area in ('West North', 'West South') then 'C' else 'D' end as area_level, product_id, click_count, city_infos, product_name, product_status from (select *, row_number() over (partition by area order by click_count desc, product_id) as t from area_full) where t <= 3")
+@query("select area, case when area in ('China North', 'China East') then 'A Level' when area in ('China South', 'China Middle') then 'B Level' when area in ('West North', 'West South') then 'C Level' else 'D Level' end as area_level, product_id, click_count, city_infos, product_name, product_status from (select *, row_number() over (partition by area order by click_count desc, product_id) as t from area_full) where t <= 3")
 def area_top3_product(spark, d):
     return products.top_products(_full(spark, d))
 
@@ -188,12 +196,24 @@ def page_start_pv(spark, d):
     return pages.start_views(_ranged(spark, d), FLOW)
 
 
-@query("""select step, slice, pv, case when b <> 0 then ((200 * pv + b) // (2 * b)) / 100.0 end as rate from (select step, slice, pv, coalesce(lag(pv) over (order by step), (select count(*) from ranged where page_id = 1)) as b
-from (select step, s.slice, coalesce(pv, 0) as pv from (values (1, '1_2'), (2, '2_3'), (3, '3_4'), (4, '4_5')) s(step, slice) left join slice_pv p on p.slice = s.slice))""")
+@query(RATES)
 def page_convert_rate(spark, d):
     return pages.convert_rates(_ranged(spark, d), FLOW)
 
 
+@query("select string_agg(slice || '=' || coalesce(cast(rate as varchar), 'null'), '|' order by step) as rate from (" + RATES + ")")
+def page_flow_text(spark, d):
+    """As the page job stores them: one text."""
+    return pages.flow_text(pages.convert_rates(_ranged(spark, d), FLOW))
+
+
+@query("select date, user_id, session_id, page_id, action_time, search_keyword, click_category_id, click_product_id, order_category_ids, order_product_ids, pay_category_ids, pay_product_ids, city_id, event_id from ranged")
+def visit_scan_sql(spark, d):
+    """The same rows as visit_scan_date_range by SQL text with bound values over a registered view."""
+    jobs.register_views(spark, user_visit_action=views.visits(spark, d))
+    return jobs.run_sql(spark, jobs.VISITS_BETWEEN, start=PARAMS.start_date, end=PARAMS.end_date)
+
+
 @query("select * from summary")
 def session_summary(spark, d):
     return sessions.summarise(_ranged(spark, d))
@@ -224,11 +244,17 @@ def session_buckets(spark, d):
     return sessions.bucket_counts(_kept(spark, d))
 
 
-@query(" union all ".join(f"""select '{n}' as bucket, "{n}" as sessions, case when session_count <> 0 then ((200 * "{n}" + session_count) // (2 * session_count)) / 100.0 end as ratio from counts""" for n, _, _ in (*sessions.LENGTHS, *sessions.STEPS)))
+@query(RATIOS)
 def session_bucket_ratio(spark, d):
     return sessions.bucket_ratios(sessions.bucket_counts(_kept(spark, d)))
 
 
+@query("""select (select session_count from counts) as session_count, '{' || string_agg('"' || bucket || '":' || ratio, ',' order by bucket) || '}' as result from (""" + RATIOS + ")")
+def session_statistics(spark, d):
+    """As the session job stores them: the count beside the ratios as JSON."""
+    return sessions.statistics_row(sessions.bucket_counts(_kept(spark, d)))
+
+
 @query("select * from hours")
 def session_hour_counts(spark, d):
     return sessions.hour_counts(_kept(spark, d))
@@ -241,12 +267,13 @@ def session_hour_quota(spark, d):
 
 @query("select * from sampled")
 def session_sample(spark, d):
-    return sessions.sample(_kept(spark, d), SAMPLE_TOTAL, SEED)
+    return sessions.sample(cut(_kept(spark, d), "sessions"), SAMPLE_TOTAL, SEED)
 
 
 @query("select * from details where session_id in (select session_id from sampled)")
 def session_sample_detail(spark, d):
-    return sessions.detail(_details(spark, d), sessions.sample(_kept(spark, d), SAMPLE_TOTAL, SEED))
+    kept = cut(_kept(spark, d), "sessions")
+    return sessions.detail(sessions.detail(_ranged(spark, d), kept), sessions.sample(kept, SAMPLE_TOTAL, SEED))
 
 
 @query("select distinct category_id from ids")
@@ -290,12 +317,12 @@ def _top_sessions(details: DataFrame) -> DataFrame:
 
 @query("select * from top_sessions")
 def top10_session(spark, d):
-    return _top_sessions(_details(spark, d))
+    return _top_sessions(cut(_details(spark, d), "details"))
 
 
 @query(f"select t.category_id, {', '.join('x.' + c for c in sessions.DETAIL)} from details x join top_sessions t on x.session_id = t.session_id")
 def top10_session_detail(spark, d):
-    details = _details(spark, d)
+    details = cut(_details(spark, d), "details")
     return sessions.top_session_detail(details, _top_sessions(details))
 
 
@@ -306,7 +333,7 @@ def ad_parse(spark, d):
 
 @query("select millis, date, province, city, user_id, ad_id from ad_clicks where user_id not in (select user_id from offenders)")
 def ad_blacklist_filter(spark, d):
-    clicks = _ads(spark, d)
+    clicks = cut(_ads(spark, d), "clicks")
     return ads.not_blacklisted(clicks, ads.offenders(ads.user_daily_counts(clicks), DAILY_CLICKS)).drop("ts").select("millis", "date", "province", "city", "user_id", "ad_id")
 
 
@@ -335,18 +362,11 @@ def ad_click_trend(spark, d):
     return ads.trend(_ads(spark, d))
 
 
-def _shared(spark: SparkSession, label: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file:///tmp/checkpoints"
-    return f"{base}/{label}-{uuid.uuid4().hex}"
-
-
-def _replayed(spark: SparkSession, d: str, start, name: str, slices: int = 3, **options) -> DataFrame:
+def _replayed(spark: SparkSession, d: str, start, name: str, slices: int = 3, before=None, **options) -> DataFrame:
     """The table that a stream leaves after the log's lines, in time order, as a few files."""
-    folder = _shared(spark, name)
+    folder = scratch(spark, name)
+    if before:
+        before(folder)
     lines = views.ad_log(spark, d)
     # Equal ranges of time give the batches; a file each, so that one batch takes one.
     millis = F.split("value", " ")[0].cast("long")
@@ -368,14 +388,51 @@ def ad_province_top3_stream(spark, d):
 @query("select * from ad_trend")
 def ad_click_trend_stream(spark, d):
     # Files may come in any order: the watermark lies as far back as the log is long.
-    return _replayed(spark, d, stream.start_trend, "trend", keep="40 days")
+    return _replayed(spark, d, stream.start_trend, "trend", late="40 days")
 
 
-@query(None)
+@query("select * from offenders")
 def ad_blacklist_stream(spark, d):
     return _replayed(spark, d, stream.start_blacklist, "blacklist", threshold=DAILY_CLICKS)
 
 
+@query("select date, user_id, ad_id, click_count from daily")
+def ad_user_daily_count_stream(spark, d):
+    # With a threshold that nobody reaches no click is dropped.
+    return _replayed(spark, d, stream.start_blacklist, "user_counts", threshold=1 << 40)
+
+
+@query("select date, province, city, ad_id, count(*) as click_count from ad_clicks where user_id not in (select user_id from offenders) group by 1, 2, 3, 4")
+def ad_stat_filtered_stream(spark, d):
+    """Totals without the users that an earlier run has put on the blacklist; nobody else gets there."""
+    listed = _replayed(spark, d, stream.start_blacklist, "blacklist", threshold=DAILY_CLICKS)
+    return _replayed(spark, d, stream.start_stats, "stats", before=lambda folder: stream.tables(spark, folder)["blacklist"].include(listed, -1), threshold=DAILY_CLICKS)
+
+
+@query("select t.* from ad_trend t where cast(date || ' ' || hour || ':' || minute || ':00' as timestamp) > (select max(cast(date || ' ' || hour || ':' || minute || ':00' as timestamp)) from ad_trend) - interval 60 minute")
+def ad_trend_last_hour_stream(spark, d):
+    return stream.last_hour(_replayed(spark, d, stream.start_trend, "trend", late="40 days"))
+
+
+@query("select replace(date, '-', '') as date, province, city, ad_id, click_count from ad_stats")
+def ad_stat_entity_dates(spark, d):
+    return ads.entity_dates(ads.stats(_ads(spark, d)))
+
+
+@query("select distinct date, replace(date, '-', '') as basic, date as iso from ad_clicks")
+def date_forms(spark, d):
+    rows = _ads(spark, d).select("date").distinct().select("date", basic_date(F.col("date")).alias("basic"))
+    return rows.withColumn("iso", iso_date(F.col("basic")))
+
+
+@query("select session_id, cast(user_id as varchar) as user_id, cast(step_length as varchar) as steps from summary")
+def session_record_fields(spark, d):
+    """Fields of records written as k=v|k=v, read back by name."""
+    text = F.concat_ws("|", *[F.concat_ws("=", F.lit(k), F.col(c).cast("string")) for k, c in (("sessionid", "session_id"), ("userid", "user_id"), ("stepLength", "step_length"))])
+    m = kv_map(F.col("t"))
+    return sessions.summarise(_ranged(spark, d)).select(text.alias("t")).select(m["sessionid"].alias("session_id"), m["userid"].alias("user_id"), m["stepLength"].alias("steps"))
+
+
 @query("select event_type, count(*) as n from events group by 1")
 def salted_count(spark, d):
     """A count in two steps, over salted keys first."""
@@ -386,7 +443,7 @@ def salted_count(spark, d):
 
 @query("select date, user_id, session_id, page_id, action_time, search_keyword, click_category_id, click_product_id, order_category_ids, order_product_ids, pay_category_ids, pay_product_ids, city_id from visits")
 def control_a_roundtrip(spark, d):
-    path = _shared(spark, "control-a")
+    path = scratch(spark, "control-a")
     readers.write_control_a(views.visits(spark, d).drop("event_id"), path)
     return readers.read_control_a(spark, path, readers.USER_VISIT_ACTION)
 
@@ -394,7 +451,7 @@ def control_a_roundtrip(spark, d):
 @query("select * from city_info")
 def jdbc_city_roundtrip(spark, d):
     """Through Spark's embedded database, in memory of the driver: a handful of rows."""
-    name = uuid.uuid4().hex
+    name = scratch(spark, "derby").rsplit("-", 1)[1]
     url = f"jdbc:derby:memory:{name};create=true"
     views.city_info(spark, d).coalesce(1).write.format("jdbc").option("url", url).option("dbtable", "city_info").option("driver", "org.apache.derby.jdbc.EmbeddedDriver").option("createTableColumnTypes", "city_name VARCHAR(64), area VARCHAR(64)").save()
     got = readers.read_jdbc(spark, url, "city_info", driver="org.apache.derby.jdbc.EmbeddedDriver")

@@ -42,10 +42,18 @@ def write_control_a(df: DataFrame, path: str) -> None:
     df.write.option("sep", SEPARATOR).option("nullValue", MISSING).option("quote", "\u0000").option("escape", "\u0000").option("emptyValue", "").csv(path)
 
 
+def kafka_options(servers: str, topics: str, **options: str) -> dict[str, str]:
+    return {"kafka.bootstrap.servers": servers, "subscribe": topics, **options}
+
+
+def kafka_values(records: DataFrame) -> DataFrame:
+    """value: the text of Kafka records."""
+    return records.select(F.col("value").cast("string").alias("value"))
+
+
 def kafka_lines(spark: SparkSession, servers: str, topics: str, **options: str) -> DataFrame:
     """value: log lines of Kafka topics (needs the Kafka package on the class path)."""
-    stream = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topics).options(**options).load()
-    return stream.select(F.col("value").cast("string").alias("value"))
+    return kafka_values(spark.readStream.format("kafka").options(**kafka_options(servers, topics, **options)).load())
 
 
 def file_lines(spark: SparkSession, path: str, **options: str) -> DataFrame:

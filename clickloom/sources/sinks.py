@@ -1,57 +1,128 @@
-"""Result tables: appended, or kept by key over batches that may be replayed."""
+"""Where results and intermediate tables go: shared folders, task results, tables kept by key."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def append(df: DataFrame, path: str, task_id: int | None = None) -> None:
-    """Write rows once, with the task's id if there is one."""
-    (df if task_id is None else df.select(F.lit(task_id).cast("long").alias("task_id"), *df.columns)).write.mode("append").parquet(path)
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables, under spark.checkpoint.dir (or, in local mode
+    only, /tmp/checkpoints), which all executors share. It goes when the application ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file:///tmp/checkpoints"
+    path = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
+    p, fs = _fs(spark, path)
+    if fs.mkdirs(p):
+        fs.deleteOnExit(p)
+    return path
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, label: str) -> DataFrame:
+    """Write df to the shared folder and read it back: later jobs neither recompute it nor need the
+    executors that made it."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_result(df: DataFrame, path: str, task_id: int) -> None:
+    """A task's rows of a result table, in place of those that the same task wrote before."""
+    df.write.mode("overwrite").parquet(f"{path}/task_id={task_id}")
 
 
 class KeyedTable:
-    """A table kept by key in a folder. Every batch writes a whole new version under its number, made
-    from the version before, so that a replayed batch gives the same table again. Two versions stay."""
+    """A table kept by key in a folder, in parts by one column (or in a single part).
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str]):
-        self.spark, self.path, self.schema, self.keys = spark, path.rstrip("/"), schema, keys
+    A batch writes, under its number, new versions of just those parts that it has rows for, each made
+    from the part's version before that batch: a replayed batch gives the same again, and others'
+    parts are neither read nor written. Of each part two versions stay; of parts, the last `keep`.
+    """
 
-    def _versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        found = [f.getPath() for f in fs.listStatus(path)]
-        return sorted(int(p.getName().removeprefix("v=")) for p in found if p.getName().startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str], part: str | None = "date", keep: int | None = None):
+        self.spark, self.path, self.schema, self.keys, self.part, self.keep = spark, path.rstrip("/"), schema, keys, part, keep
 
-    def read(self, before: int | None = None) -> DataFrame:
-        """The last version, or the last before the given batch."""
-        versions = [v for v in self._versions() if before is None or v < before]
-        if not versions:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={versions[-1]}")
+    def _names(self, path: str, prefix: str) -> list[str]:
+        p, fs = _fs(self.spark, path)
+        return [n.removeprefix(prefix) for f in (fs.listStatus(p) if fs.exists(p) else ()) if (n := f.getPath().getName()).startswith(prefix)]
 
-    def write(self, df: DataFrame, batch: int) -> None:
+    def versions(self) -> list[int]:
+        """Numbers of the batches that are written whole."""
+        done = lambda v: _fs(self.spark, f"{self.path}/v={v}/_SUCCESS")
+        return sorted(int(v) for v in self._names(self.path, "v=") if (s := done(v))[1].exists(s[0]))
+
+    def _parts(self, before: int | None = None) -> dict[str, list[int]]:
+        """Versions of each part, in order."""
+        found: dict[str, list[int]] = {}
+        for v in self.versions():
+            if before is None or v < before:
+                for p in self._names(f"{self.path}/v={v}", "_part="):
+                    found.setdefault(p, []).append(v)
+        names = sorted(found)
+        return {p: found[p] for p in (names[-self.keep :] if self.keep else names)}
+
+    def read(self, before: int | None = None, parts: list[str] | None = None) -> DataFrame:
+        """The last version of every part (or of some), or the last before the given batch."""
+        paths = [f"{self.path}/v={v[-1]}/_part={p}" for p, v in self._parts(before).items() if parts is None or p in parts]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def _touched(self, df: DataFrame) -> list[str]:
+        """Names of the parts that df has rows of: as many as a batch has dates."""
+        return sorted(r[0] for r in df.select(self._part()).distinct().collect())
+
+    def _part(self):
+        # Only characters that no file system writes in another way.
+        return F.coalesce(F.regexp_replace(F.col(self.part).cast("string"), "[^A-Za-z0-9-]", "_"), F.lit("none")).alias("_part") if self.part else F.lit("all").alias("_part")
+
+    def write(self, df: DataFrame, batch: int, exclusive: bool = False) -> None:
         columns = self.spark.createDataFrame([], self.schema).columns
-        df.select(*columns).write.mode("overwrite").parquet(f"{self.path}/v={batch}")
-        jvm = self.spark._jvm
-        for v in self._versions()[:-2]:
-            old = jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={v}")
-            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+        out = df.select(*columns, self._part()).write.partitionBy("_part")
+        out.mode("error" if exclusive else "overwrite").parquet(f"{self.path}/v={batch}")
+        kept = self._parts()
+        for v in self.versions()[:-1]:
+            for p in self._names(f"{self.path}/v={v}", "_part="):
+                if p not in kept or v in kept[p][:-2]:
+                    old, fs = _fs(self.spark, f"{self.path}/v={v}/_part={p}")
+                    fs.delete(old, True)
 
-    def replace(self, df: DataFrame, batch: int, keys: list[str] | None = None) -> None:
+    def replace(self, df: DataFrame, batch: int, keys: list[str] | None = None, exclusive: bool = False) -> None:
         """Rows of df in place of all rows with the same keys."""
         keys = keys or self.keys
-        old = self.read(batch).join(df.select(*keys).distinct(), keys, "left_anti")
-        self.write(old.unionByName(df), batch)
+        old = self.read(batch, self._touched(df)).join(df.select(*keys).distinct(), keys, "left_anti")
+        self.write(old.unionByName(df), batch, exclusive)
 
-    def add(self, df: DataFrame, batch: int, value: str) -> None:
-        """The value of df's rows added to that of the rows with the same keys."""
-        self.write(self.read(batch).unionByName(df).groupBy(*self.keys).agg(F.sum(value).alias(value)), batch)
+    def add(self, df: DataFrame, batch: int, value: str) -> DataFrame:
+        """The value of df's rows added to that of the rows with the same keys. Returns the parts that
+        this changes, as they are afterwards."""
+        touched = self._touched(df)
+        self.write(self.read(batch, touched).unionByName(df).groupBy(*self.keys).agg(F.sum(value).alias(value)), batch)
+        return self.read(batch + 1, touched)
+
+
+class GrowingSet:
+    """Rows that any batch had, in a folder. A batch writes those that no batch before it had."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.table = KeyedTable(spark, path, schema, [], None)
+
+    def read(self, before: int | None = None) -> DataFrame:
+        t = self.table
+        paths = [f"{t.path}/v={v}" for v in t.versions() if before is None or v < before]
+        return t.spark.read.schema(t.schema).parquet(*paths) if paths else t.spark.createDataFrame([], t.schema)
 
     def include(self, df: DataFrame, batch: int) -> None:
-        """df's rows besides the others, each once."""
-        self.write(self.read(batch).unionByName(df).distinct(), batch)
+        df.distinct().join(self.read(batch), df.columns, "left_anti").write.mode("overwrite").parquet(f"{self.table.path}/v={batch}")

@@ -1,7 +1,7 @@
 """Ad statistics over a stream of log lines, kept by key.
 
-Every query is restartable from its checkpoint; its tables take a replayed batch again without
-counting it twice.
+Every query is restartable from its checkpoint: its tables take a replayed batch again without
+counting it twice, and what a batch reads is what was there before it, also when it is replayed.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from clickloom.functions import EPOCH
 from clickloom.operators import ads
-from clickloom.sources.sinks import KeyedTable
+from clickloom.sources.sinks import GrowingSet, KeyedTable
 
 BLACKLIST = "user_id long"
 USER_COUNTS = "date string, user_id long, ad_id long, click_count long"
@@ -21,22 +21,30 @@ TOP = "date string, province string, ad_id long, click_count long"
 TREND = "date string, hour string, minute string, ad_id long, click_count long"
 
 
-def tables(spark: SparkSession, folder: str) -> dict[str, KeyedTable]:
+def tables(spark: SparkSession, folder: str, keep: int | None = None) -> dict[str, KeyedTable | GrowingSet]:
+    """The streams' tables, in parts by date; of these the last `keep` stay, all without it."""
+    keyed = lambda name, schema, keys: KeyedTable(spark, f"{folder}/{name}", schema, keys, keep=keep)
     return {
-        "blacklist": KeyedTable(spark, f"{folder}/blacklist", BLACKLIST, ["user_id"]),
-        "user_counts": KeyedTable(spark, f"{folder}/user_counts", USER_COUNTS, ["date", "user_id", "ad_id"]),
-        "stats": KeyedTable(spark, f"{folder}/stats", STATS, ["date", "province", "city", "ad_id"]),
-        "top": KeyedTable(spark, f"{folder}/top", TOP, ["date", "province"]),
-        "trend": KeyedTable(spark, f"{folder}/trend", TREND, ["date", "hour", "minute", "ad_id"]),
+        "blacklist": GrowingSet(spark, f"{folder}/blacklist", BLACKLIST),
+        "user_counts": keyed("user_counts", USER_COUNTS, ["date", "user_id", "ad_id"]),
+        "stats": keyed("stats", STATS, ["date", "province", "city", "ad_id"]),
+        "totals": keyed("totals", STATS, ["date", "province", "city", "ad_id"]),
+        "top": keyed("top", TOP, ["date", "province"]),
+        "trend": keyed("trend", TREND, ["date", "hour", "minute", "ad_id"]),
     }
 
 
-def blacklist_step(clicks: DataFrame, kept: dict[str, KeyedTable], batch: int, threshold: int) -> None:
-    """One batch: drop clicks of users blacklisted before it, add the rest to the daily counts, put the
-    users that reach the threshold on the blacklist."""
-    good = ads.not_blacklisted(clicks, kept["blacklist"].read(batch))
-    kept["user_counts"].add(ads.user_daily_counts(good), batch, "click_count")
-    kept["blacklist"].include(ads.offenders(kept["user_counts"].read(), threshold), batch)
+def blacklist_step(clicks: DataFrame, kept: dict, batch: int, threshold: int, totals: bool = False) -> None:
+    """One batch: drop clicks of users blacklisted before it, add the rest to the daily counts (and to
+    the running totals), put the users that reach the threshold on the blacklist."""
+    good = ads.not_blacklisted(clicks, kept["blacklist"].read(batch)).persist()
+    try:
+        counts = kept["user_counts"].add(ads.user_daily_counts(good), batch, "click_count")
+        if totals:
+            kept["stats"].add(ads.stats(good), batch, "click_count")
+        kept["blacklist"].include(ads.offenders(counts, threshold), batch)
+    finally:
+        good.unpersist()
 
 
 def _start(stream: DataFrame, step, folder: str, name: str, mode: str, every: str | None) -> StreamingQuery:
@@ -44,36 +52,41 @@ def _start(stream: DataFrame, step, folder: str, name: str, mode: str, every: st
     return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
 
 
-def start_blacklist(lines: DataFrame, folder: str, threshold: int = ads.THRESHOLD, every: str | None = "5 seconds") -> StreamingQuery:
-    kept = tables(lines.sparkSession, folder)
+def start_blacklist(lines: DataFrame, folder: str, threshold: int = ads.THRESHOLD, every: str | None = "5 seconds", keep: int | None = None) -> StreamingQuery:
+    kept = tables(lines.sparkSession, folder, keep)
     return _start(ads.parse(lines), lambda df, batch: blacklist_step(df, kept, batch, threshold), folder, "blacklist", "append", every)
 
 
-def start_stats(lines: DataFrame, folder: str, filtered: bool = True, every: str | None = "5 seconds") -> StreamingQuery:
-    """Running totals by day, province, city and ad. With filtered, clicks of users on the blacklist
-    table (see start_blacklist) at the time of the batch do not count."""
-    kept = tables(lines.sparkSession, folder)
+def start_stats(lines: DataFrame, folder: str, filtered: bool = True, threshold: int = ads.THRESHOLD, every: str | None = "5 seconds", keep: int | None = None) -> StreamingQuery:
+    """Running totals by day, province, city and ad. With filtered, the same query keeps the blacklist
+    and clicks of users who were on it before their batch do not count."""
+    kept = tables(lines.sparkSession, folder, keep)
 
     def step(df: DataFrame, batch: int) -> None:
-        clicks = ads.not_blacklisted(df, kept["blacklist"].read()) if filtered else df
-        kept["stats"].add(ads.stats(clicks), batch, "click_count")
+        if filtered:
+            blacklist_step(df, kept, batch, threshold, totals=True)
+        else:
+            kept["stats"].add(ads.stats(df), batch, "click_count")
 
     return _start(ads.parse(lines), step, folder, "stats", "append", every)
 
 
-def start_province_top(lines: DataFrame, folder: str, n: int = 3, every: str | None = "5 seconds") -> StreamingQuery:
-    """Top ads by day and province over running totals that Spark keeps as state."""
-    kept = tables(lines.sparkSession, folder)
-    counts = ads.stats(ads.parse(lines))
-    return _start(counts, lambda df, batch: kept["top"].replace(ads.province_top(df, n), batch), folder, "top", "complete", every)
+def start_province_top(lines: DataFrame, folder: str, n: int = 3, every: str | None = "5 seconds", keep: int | None = None) -> StreamingQuery:
+    """Top ads by day and province over running totals. A batch ranks the days it has clicks of."""
+    kept = tables(lines.sparkSession, folder, keep)
+
+    def step(df: DataFrame, batch: int) -> None:
+        kept["top"].replace(ads.province_top(kept["totals"].add(ads.stats(df), batch, "click_count"), n), batch)
+
+    return _start(ads.parse(lines), step, folder, "top", "append", every)
 
 
-def start_trend(lines: DataFrame, folder: str, keep: str = "60 minutes", every: str | None = "10 seconds") -> StreamingQuery:
-    """Clicks by minute and ad of all users. Clicks later than `keep` behind the newest are dropped
+def start_trend(lines: DataFrame, folder: str, late: str = "60 minutes", every: str | None = "10 seconds", keep: int | None = None) -> StreamingQuery:
+    """Clicks by minute and ad of all users. Clicks later than `late` behind the newest are dropped
     with their state; minutes already written stay."""
-    kept = tables(lines.sparkSession, folder)
+    kept = tables(lines.sparkSession, folder, keep)
     clicks = ads.parse(lines).withColumn("at", F.timestamp_millis("millis"))
-    counts = clicks.withWatermark("at", keep).groupBy(F.window("at", "1 minute").alias("w"), "ad_id").agg(F.count("*").alias("click_count"))
+    counts = clicks.withWatermark("at", late).groupBy(F.window("at", "1 minute").alias("w"), "ad_id").agg(F.count("*").alias("click_count"))
 
     def step(df: DataFrame, batch: int) -> None:
         at = F.timestamp_add("SECOND", F.unix_timestamp("w.start"), F.expr(EPOCH))

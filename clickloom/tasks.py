@@ -6,10 +6,11 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from clickloom.params import Params
-from clickloom.sources.sinks import KeyedTable, append
+from clickloom.sources.sinks import KeyedTable, write_result
 
 SCHEMA = "id long, task_name string, create_time long, start_time long, finish_time long, task_type string, task_status string, args map<string,string>, task_param string"
 
@@ -39,7 +40,7 @@ class TaskStore:
     """Tasks in a keyed table."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.table = spark, KeyedTable(spark, path, SCHEMA, ["id"])
+        self.spark, self.table = spark, KeyedTable(spark, path, SCHEMA, ["id"], None)
 
     def all(self) -> DataFrame:
         return self.table.read()
@@ -50,12 +51,21 @@ class TaskStore:
             raise TaskNotFound(task_id)
         return Task(**row.asDict())
 
-    def save(self, task: Task) -> Task:
+    def save(self, task: Task, attempts: int = 10) -> Task:
+        """Write a task's row. Another writer's row is never lost: who finds the next version taken
+        reads again."""
         if task.create_time is None:
             task = replace(task, create_time=int(time.time() * 1000))
         row = tuple(getattr(task, c) for c in self.spark.createDataFrame([], SCHEMA).columns)
-        versions = self.table._versions()
-        self.table.replace(self.spark.createDataFrame([row], SCHEMA), versions[-1] + 1 if versions else 0)
+        for k in range(attempts):
+            versions = self.table.versions()
+            try:
+                self.table.replace(self.spark.createDataFrame([row], SCHEMA), versions[-1] + 1 if versions else 0, exclusive=True)
+                return task
+            except AnalysisException:
+                if k == attempts - 1:
+                    raise
+                time.sleep(0.2)
         return task
 
 
@@ -63,13 +73,14 @@ Job = Callable[[SparkSession, Params], dict[str, DataFrame]]
 
 
 def run_task(store: TaskStore, jobs: dict[str, Job], task_id: int, output: str) -> Task:
-    """Run a task's job and append each of its results under output; status and times are kept."""
+    """Run a task's job and write each of its results under output, by task id; status and times are
+    kept. A run after a failed one replaces what that one wrote. "finished" is written last."""
     task = store.save(replace(store.get(task_id), start_time=int(time.time() * 1000), task_status="running"))
     try:
         if task.task_type not in jobs:
             raise ValueError(f"no job of type {task.task_type!r}")
         for name, df in jobs[task.task_type](store.spark, task.params).items():
-            append(df, f"{output}/{name}", task.id)
+            write_result(df, f"{output}/{name}", task.id)
     except Exception:
         store.save(replace(task, finish_time=int(time.time() * 1000), task_status="failed"))
         raise

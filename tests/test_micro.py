@@ -5,10 +5,13 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from clickloom.__main__ import main
 from clickloom.functions import json_field, ratio, remove_random_prefix
 from clickloom.operators import ads, pages, products, sessions
 from clickloom.params import Params
+from clickloom.plans import jobs
 from clickloom.sources import readers
+from clickloom.sources.sinks import GrowingSet, KeyedTable
 from clickloom.streaming import ads as stream
 from clickloom.tasks import Task, TaskNotFound, TaskStore, run_task
 
@@ -72,7 +75,7 @@ def test_functions(spark):
     got = df.select(json_field(F.col("j"), "product_status"), ratio(F.col("a"), F.col("b")), remove_random_prefix(F.col("p"))).collect()
     assert [tuple(r) for r in got] == [("0", 0.15, "a_b"), (None, None, "")]
     levels = spark.createDataFrame([("China East",), ("West South",), ("x",), (None,)], "a string").select(products.area_level(F.col("a")))
-    assert [r[0] for r in levels.collect()] == ["A", "C", "D", "D"]
+    assert [r[0] for r in levels.collect()] == ["A Level", "C Level", "D Level", "D Level"]
 
 
 def test_sample_within_quota(spark):
@@ -132,3 +135,103 @@ def test_restart_from_checkpoint(spark, tmp_path):
         spark.createDataFrame([(f"1704067200000 P C {u} 1",) for u in range(i + 2)], "value string").coalesce(1).write.mode("append").text(f"{folder}/lines")
         stream.start_stats(readers.file_lines(spark, f"{folder}/lines"), folder, filtered=False, every=None).awaitTermination()
     assert [r.click_count for r in stream.tables(spark, folder)["stats"].read().collect()] == [5]
+
+
+def test_keyed_table_rewrites_only_touched_parts(spark, tmp_path):
+    t = KeyedTable(spark, f"file://{tmp_path}/k", "date string, k string, n long", ["date", "k"], keep=3)
+    frame = lambda *rows: spark.createDataFrame(rows, t.schema)
+    t.add(frame(("d1", "a", 1), ("d2", "a", 1)), 0, "n")
+    changed = t.add(frame(("d2", "a", 2), ("d3", "b", 5)), 1, "n")
+    assert {(r.date, r.n) for r in changed.collect()} == {("d2", 3), ("d3", 5)}
+    assert not (tmp_path / "k/v=1/_part=d1").exists()
+    t.add(frame(("d2", "a", 2), ("d3", "b", 5)), 1, "n")  # replayed
+    assert {(r.date, r.k, r.n) for r in t.read().collect()} == {("d1", "a", 1), ("d2", "a", 3), ("d3", "b", 5)}
+    assert {(r.date, r.n) for r in t.read(1).collect()} == {("d1", 1), ("d2", 1)}
+    for v in range(2, 5):
+        t.add(frame(("d4", "a", 1)), v, "n")
+    assert {r.date for r in t.read().collect()} == {"d2", "d3", "d4"} and not (tmp_path / "k/v=0/_part=d1").exists()
+    assert not (tmp_path / "k/v=2/_part=d4").exists() and (tmp_path / "k/v=3/_part=d4").exists()
+    t.replace(frame((None, "x", 1)), 6)
+    assert t.read().where("date is null").count() == 1
+
+
+def test_growing_set(spark, tmp_path):
+    s = GrowingSet(spark, f"file://{tmp_path}/g", "user_id long")
+    for batch, users in ((0, (1, 2)), (1, (2, 3)), (1, (2, 3))):
+        s.include(spark.createDataFrame([(u,) for u in users], "user_id long"), batch)
+    assert sorted(r.user_id for r in s.read().collect()) == [1, 2, 3] and sorted(r.user_id for r in s.read(1).collect()) == [1, 2]
+
+
+def test_filtered_totals_in_one_query(spark, tmp_path):
+    """Clicks after a user's listing do not count; a restart goes on from what was kept."""
+    folder = f"file://{tmp_path}/f"
+    for users in ((1, 1, 1, 2), (1, 2), (1, 2)):
+        spark.createDataFrame([(f"1704067200000 P C {u} 1",) for u in users], "value string").coalesce(1).write.mode("append").text(f"{folder}/lines")
+        stream.start_stats(readers.file_lines(spark, f"{folder}/lines"), folder, threshold=3, every=None).awaitTermination()
+    t = stream.tables(spark, folder)
+    # User 1 is listed by the first batch, user 2 by the third.
+    assert [r.click_count for r in t["stats"].read().collect()] == [6]
+    assert {(r.user_id, r.click_count) for r in t["user_counts"].read().collect()} == {(1, 3), (2, 3)}
+    assert {r.user_id for r in t["blacklist"].read().collect()} == {1, 2}
+
+
+def test_failed_task_runs_again_without_duplicates(spark, tmp_path):
+    store = TaskStore(spark, f"file://{tmp_path}/tasks")
+    store.save(Task(1, "n", "two"))
+    out = f"file://{tmp_path}/out"
+    broken = {"two": lambda s, p: {"first": s.range(3), "second": s.range(1).select(F.raise_error(F.lit("no")).alias("x"))}}
+    with pytest.raises(Exception):  # noqa: B017
+        run_task(store, broken, 1, out)
+    assert store.get(1).task_status == "failed"
+    run_task(store, {"two": lambda s, p: {"first": s.range(3), "second": s.range(2)}}, 1, out)
+    assert spark.read.parquet(f"{out}/first").count() == 3 and {r.task_id for r in spark.read.parquet(f"{out}/second").collect()} == {1}
+    # A second writer that saw the same version does not overwrite the first one's row.
+    other = TaskStore(spark, f"file://{tmp_path}/tasks")
+    seen = other.table.versions()
+    store.save(Task(2, "a", "two"))
+    other.table.versions = lambda real=other.table.versions, first=[seen]: first.pop() if first else real()  # noqa: B006
+    other.save(Task(3, "b", "two"))
+    assert {r.id for r in store.all().collect()} == {1, 2, 3}
+
+
+def test_jobs_by_command_line(spark, tmp_path, capsys):
+    d = f"file://{tmp_path}"
+    rows = [visit(i, session=f"s{i % 4}", user=i % 2, page=i % 5, time=f"2024-01-01 00:00:{i:02d}", category=i % 3 if i % 2 else None, keyword="kw", order="1,2" if i % 4 == 0 else None) for i in range(40)]
+    inputs = {
+        "user_visit_action": spark.createDataFrame(rows, VISIT),
+        "user_info": spark.createDataFrame([(u, "n", "n", 20 + u, "p", "c", "male") for u in range(2)], readers.USER_INFO),
+        "city_info": spark.createDataFrame([(1, "X", "China East")], readers.CITY_INFO),
+        "product_info": spark.createDataFrame([(1, "p1", '{"product_status": 1}')], readers.PRODUCT_INFO),
+    }
+    for name, df in inputs.items():
+        df.write.parquet(f"{d}/{name}")
+    tables = [x for n in inputs for x in ("--table", f"{n}={d}/{n}")]
+    for i, (kind, param) in enumerate((("session", {"startAge": "10", "endAge": "50"}), ("page", {"targetPageFlow": "0,1,2"}), ("product", {"startDate": "2024-01-01", "endDate": "2024-01-01"}))):
+        main(["tasks", "add", "--store", f"{d}/tasks", "--id", str(i), "--name", kind, "--type", kind, "--param", json.dumps(param)])
+        main(["tasks", "run", "--store", f"{d}/tasks", "--id", str(i), "--output", f"{d}/out", *tables])
+    main(["tasks", "list", "--store", f"{d}/tasks"])
+    assert "finished" in capsys.readouterr().out
+    read = lambda n: spark.read.parquet(f"{d}/out/{n}")
+    stat = read("session_aggr_stat").first()
+    assert stat.session_count == 4 and json.loads(stat.result)["7_9"] == 0.0 and json.loads(stat.result)["10_30"] == 1.0 and stat.task_id == 0
+    assert read("top_category").count() == 3 and read("session_random_extract").count() <= 4
+    assert read("session_detail").count() == 10 * read("session_random_extract").count()
+    assert read("top_session").count() > 0 and read("top_session_detail").count() > 0
+    assert read("page_slice_rate").first().rate.startswith("0_1=")
+    top = read("area_top_product").first()
+    assert (top.area_level, top.product_id, top.product_status, top.click_count) == ("A Level", 1, "Third Party", 20)
+
+
+def test_catalog_and_bound_sql(spark):
+    jobs.register_views(spark, user_visit_action=spark.createDataFrame([visit(1), visit(2)], VISIT))
+    assert readers.Catalog(spark).table("user_visit_action").count() == 2
+    run = lambda a, b: jobs.run_sql(spark, jobs.VISITS_BETWEEN, start=a, end=b).count()
+    assert run("2024-01-01", "2024-01-01") == 2 and run("2024-01-02", "2024-01-03") == 0
+    assert run("x' or '1'='1", "9") == 0
+
+
+def test_kafka_records_become_lines(spark):
+    got = readers.kafka_options("a:1,b:2", "t1,t2", startingOffsets="earliest")
+    assert got == {"kafka.bootstrap.servers": "a:1,b:2", "subscribe": "t1,t2", "startingOffsets": "earliest"}
+    records = spark.createDataFrame([(None, bytearray(b"1704067200000 P C 1 2"), "t", 0, 5)], "key binary, value binary, topic string, partition int, offset long")
+    assert ads.parse(readers.kafka_values(records)).first().user_id == 1
