@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from clickloom.llm import anchors, bpe, chat, common, decontaminate, html, multiset, passages, pii, quality, simhash, suffixes
+from clickloom.llm import anchors, bpe, chat, common, decontaminate, html, multiset, passages, pii, quality, queries, simhash, suffixes
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, _key string, _id string, node string, fp string, hits string"
@@ -598,16 +598,171 @@ def test_multiset_documents(spark, docs, rows, monkeypatch):
 
 
 def test_pipeline(spark):
-    pytest.importorskip("corpus_pipeline")
+    """Every stage of a run against brute force, on its own input."""
+    p = pytest.importorskip("corpus_pipeline")
     if not os.path.isdir(DATA):
         pytest.skip("no tables")
-    import corpus_pipeline as p
-
+    path, lib = tokenizer()
     before = spark.read.parquet(f"{DATA}/documents.parquet")
-    docs = before
+    docs, seen = before, [before]
     for name, stage in p.STAGES[:-1]:
         docs = common.cut(stage(spark, docs, DATA), "test")
-        assert docs.columns == before.columns, name
-    out = p.STAGES[-1][1](spark, docs, DATA)
-    assert out.count() == docs.count() > 0 and {"doc_id", "ids", "decoded"} <= set(out.columns)
-    assert not any(pii.base_spans(r.text) for r in docs.select("text").collect())
+        assert docs.columns == before.columns and docs.schema == before.schema, name
+        seen.append(docs)
+    texts = [{r.doc_id: r.text for r in d.collect()} for d in seen]
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
+    known = [(i, labels[i].quality == 1 and not labels[i].toxic) for i in texts[0] if i in labels]
+    assert sum((i in texts[1]) == good for i, good in known) >= 0.95 * len(known)
+    assert all(texts[1][i] == texts[0][i] for i in texts[1])
+    assert sorted(texts[2]) == brute_similar(list(texts[1].items()))
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    found = brute_windows(list(texts[2].items()), items)
+    assert set(texts[3]) == {i for i, (_, hit, _) in found.items() if not hit} and len(texts[3]) < len(texts[2])
+    assert texts[4] == {i: t and pii.masked(t) for i, t in texts[3].items()}
+    assert not any(brute_pii(t or "") for t in texts[4].values())
+    out = {r.doc_id: r for r in p.STAGES[-1][1](spark, docs, DATA).collect()}
+    assert set(out) == set(texts[4])
+    for i, t in texts[4].items():
+        assert out[i].ids == lib.encode(t or "", add_special_tokens=False).ids and out[i].decoded == lib.decode(out[i].ids, skip_special_tokens=False)
+
+
+def test_pipeline_stages_lose_nothing(spark, tmp_path):
+    """Null and repeated ids with unlike texts, and columns called like every name the stages use."""
+    p = pytest.importorskip("corpus_pipeline")
+    tokenizer()
+    names = "accepted toxic junk_score toxic_score _text _row _a _b node fp root hits items win found ids decoded _k0 spans base_sha256 _h _key _id".split()
+    say = lambda k: f"The people of town number {k} went to the market in the morning, and came home with item {k * 7} for the table. It was a day like any other there."
+    leak = " ".join(f"benchmarked{i}" for i in range(12))
+    texts = [(None, say(1)), (5, say(2)), (5, "A wholly different story about the sea and the ships, told by an old man to the children of the house."), (5, f"{say(3)} {leak}"), (None, f"It is the thing of the day. {leak}"), (6, None), (7, ""), (8, say(2)), (9, "Write to me at joe@example.com about the house and the garden of the family, please.")]
+    df = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), *[f"{c}{k}" for c in names]) for k, (i, t) in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in names))
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    stages = dict(p.STAGES)
+    run = lambda name, d=df: stages[name](spark, d, f"file://{tmp_path}")
+    key = lambda d: sorted(r.accepted for r in d.collect())
+    for name in list(stages)[:-1]:
+        out = run(name)
+        assert out.columns == df.columns and key(out) == sorted(set(key(out))), name
+        assert run(name, df.limit(0)).count() == 0
+    assert key(run("benchmark decontamination")) == ["accepted0", "accepted1", "accepted2", "accepted5", "accepted6", "accepted7", "accepted8"]
+    # Of equal texts (1 and 7; 5 and 6 have no words) the one with the smallest id stays; rows without an id stay.
+    assert key(run("SimHash near-dedup")) == ["accepted0", "accepted1", "accepted2", "accepted3", "accepted4", "accepted5", "accepted8"]
+    masked = {r.accepted: r.text for r in run("PII").collect()}
+    assert len(masked) == 9 and masked["accepted8"] == "Write to me at [email] about the house and the garden of the family, please." and masked["accepted5"] is None
+    assert "accepted5" not in key(run("quality classifier")) and "accepted6" not in key(run("quality classifier"))
+    assert run("BPE encoding and decoding").count() == 9
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = pytest.importorskip("duckdb").connect()
+    for f in os.listdir(DATA):
+        con.execute(f"create view {f.removesuffix('.parquet')} as select * from '{DATA}/{f}'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_queries_equal_sql(spark, duck, name):
+    df = queries.queries()[name](spark, DATA)
+    result = duck.execute(queries.ORACLE[name])
+    names = [d[0] for d in result.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(repr, (tuple(r[c] for c in names) for r in df.collect()))) == sorted(map(repr, result.fetchall()))
+
+
+def table_of(duck, name):
+    result = duck.execute(f"select * from {name}")
+    names = [d[0] for d in result.description]
+    return [dict(zip(names, r, strict=True)) for r in result.fetchall()]
+
+
+def test_op1_query(spark, duck):
+    rows = [(r["doc_id"], r["text"]) for r in table_of(duck, "documents")]
+    fps = {i: brute_fingerprint(t) for i, t in rows}
+    roots = brute_components(fps)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op1_simhash(spark, DATA).collect()}
+    assert got == {i: (f"{fps[i]:016x}", roots[i]) for i in fps}
+
+
+def test_op4_query(spark, duck):
+    got = {r.doc_id: r for r in queries.op4_pii(spark, DATA).collect()}
+    for r in table_of(duck, "documents"):
+        spans, g = brute_pii(r["text"] or ""), got[r["doc_id"]]
+        assert g.base_sha256 == hashlib.sha256(pii.written(spans).encode()).hexdigest()
+        assert [g[f"n_{k}"] for k in pii.KINDS] == [sum(s[2] == k for s in spans) for k in pii.KINDS]
+        assert set(filter(None, pii.written(spans).split(","))) <= set(g.spans.split(","))
+
+
+def test_op6_query(spark, duck):
+    docs = table_of(duck, "documents")
+    got = queries.op6_quality(spark, DATA)
+    assert got.count() == len(docs) and {"doc_id", "junk_score", "toxic_score", "toxic", "accepted"} <= set(got.columns)
+
+
+def test_op8_query(spark, duck):
+    """Every page of these hosts has one article: its blocks, without elements left out, by a plain parser."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.blocks = False, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "article"
+            self.blocks.append("") if tag in html.BLOCK else None
+
+        def handle_endtag(self, tag):
+            self.inside &= tag != "article"
+            self.blocks.append("") if tag in html.BLOCK else None
+
+        def handle_data(self, data):
+            if self.inside:
+                self.blocks[-1] += data
+
+    got = {r.page_id: r for r in queries.op8_html(spark, DATA).collect()}
+    for r in table_of(duck, "pages"):
+        p = Plain()
+        p.feed(r["html"])
+        want = " ".join(" ".join(b.split()) for b in p.blocks if b.strip())
+        assert (got[r["page_id"]].text, got[r["page_id"]].n_chars, got[r["page_id"]].url) == (want, len(want), r["url"])
+
+
+def test_op9_query(spark, duck):
+    _, lib = tokenizer()
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op9_bpe(spark, DATA).collect()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    for r in table_of(duck, "documents"):
+        ids = lib.encode(r["text"] or "", add_special_tokens=False).ids
+        assert got[r["doc_id"]] == (len(ids), sha(np.array(ids, "<u4").tobytes()), sha(lib.decode(ids, skip_special_tokens=False).encode()))
+
+
+def test_op10_query(spark, duck):
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in table_of(duck, "documents")), reverse=True)
+    got = {r.doc_id: r for r in queries.op10_multiset_fingerprint(spark, DATA).collect()}
+    for k, (i, t) in enumerate(rows):
+        half, after = len(t) // 2, rows[(k + 1) % len(rows)][1]
+        edited = t[: len(t) - half] + after[:half]
+        assert (got[i].n_chars, got[i].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert got[i].fingerprint == "".join(f"{x:08x}" for x in brute_vector(t))
+
+
+EMPTY = ["near_duplicates", "keep_one", "keep_similar"]
+
+
+@pytest.mark.parametrize("run", [*[getattr(simhash, n) for n in EMPTY], suffixes.remove_repeated, passages.remove_repeated, pii.find_personal_data, pii.mask_personal_data, quality.classify, quality.keep_accepted, multiset.fingerprint_documents], ids=lambda f: f.__name__)
+def test_empty_tables(spark, docs, run):
+    assert run(docs.limit(0)).count() == 0
+
+
+def test_empty_tables_of_other_kinds(spark):
+    path, _ = tokenizer()
+    none = spark.createDataFrame([], "doc_id long, text string, conv_id long, turn long, role string, page_id long, url string, html string")
+    assert bpe.encode_documents(none, path).count() == 0 and chat.digest_formatted(chat.format_conversations(none)).count() == 0 and html.extract(none).count() == 0
+
+
+def test_bpe_keeps_any_columns(spark):
+    path, lib = tokenizer()
+    df = spark.createDataFrame([(1, "a b", 7, "x", "y")], "doc_id long, text string, ids long, decoded string, _text string")
+    got = bpe.encode_documents(df, path, keep=tuple(df.columns))
+    assert got.columns == ["doc_id", "text", "_text", "ids", "decoded"] and got.first().ids == lib.encode("a b", add_special_tokens=False).ids
