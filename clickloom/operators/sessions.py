@@ -94,9 +94,9 @@ def bucket_ratios(counts: DataFrame) -> DataFrame:
 
 def statistics_row(counts: DataFrame) -> DataFrame:
     """One row: session_count, and result, the map from bucket to ratio as JSON."""
-    pairs = F.sort_array(F.collect_list(F.struct("bucket", "ratio")))
-    result = bucket_ratios(counts).agg(F.to_json(F.map_from_entries(pairs)).alias("result"))
-    return counts.select("session_count").crossJoin(F.broadcast(result))  # one row each
+    names = sorted(n for n, _, _ in (*LENGTHS, *STEPS))
+    entries = [F.struct(F.lit(n).alias("bucket"), ratio(F.col(n), F.col("session_count")).alias("ratio")) for n in names]
+    return counts.select("session_count", F.to_json(F.map_from_entries(F.array(*entries))).alias("result"))
 
 
 def by_hour(sessions: DataFrame) -> DataFrame:
