@@ -330,7 +330,7 @@ def classify(documents: DataFrame, labels: DataFrame | None = None, text: str =
 
     some = _sampled(source.select("_text").where(F.length("_text") > 0), sum(r["n"] for r in counted), sample, ["_text"])
     rows = map_batches(some, "p double, at array<int>, values array<double>", sampling).collect()
-    junk = fit_scorer([(r["at"], r["values"]) for r in rows], np.array([r["p"] for r in rows]), SHAPE_BUCKETS)
+    junk = fit_scorer([(r["at"], r["values"]) for r in rows], np.array([r["p"] for r in rows]), SHAPE_BUCKETS, balanced=False)
     bad = _toxic_weights(source, labels, sample, toxic) if labels is not None else None
     shared = documents.sparkSession.sparkContext.broadcast((junk, bad))
 
