@@ -94,10 +94,12 @@ class KeyedTable:
         out.mode("error" if exclusive else "overwrite").parquet(f"{self.path}/v={batch}")
         kept = self._parts()
         for v in self.versions()[:-1]:
-            for p in self._names(f"{self.path}/v={v}", "_part="):
-                if p not in kept or v in kept[p][:-2]:
-                    old, fs = _fs(self.spark, f"{self.path}/v={v}/_part={p}")
-                    fs.delete(old, True)
+            names = self._names(f"{self.path}/v={v}", "_part=")
+            old = [p for p in names if p not in kept or v in kept[p][:-2]]
+            # A version none of whose parts are left goes whole.
+            for path in [f"{self.path}/v={v}"] if len(old) == len(names) else [f"{self.path}/v={v}/_part={p}" for p in old]:
+                p, fs = _fs(self.spark, path)
+                fs.delete(p, True)
 
     def replace(self, df: DataFrame, batch: int, keys: list[str] | None = None, exclusive: bool = False) -> None:
         """Rows of df in place of all rows with the same keys."""
@@ -125,4 +127,9 @@ class GrowingSet:
         return t.spark.read.schema(t.schema).parquet(*paths) if paths else t.spark.createDataFrame([], t.schema)
 
     def include(self, df: DataFrame, batch: int) -> None:
-        df.distinct().join(self.read(batch), df.columns, "left_anti").write.mode("overwrite").parquet(f"{self.table.path}/v={batch}")
+        new = df.distinct().join(self.read(batch), df.columns, "left_anti").persist()
+        try:
+            if not new.isEmpty():
+                new.write.mode("overwrite").parquet(f"{self.table.path}/v={batch}")
+        finally:
+            new.unpersist()

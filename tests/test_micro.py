@@ -151,6 +151,7 @@ def test_keyed_table_rewrites_only_touched_parts(spark, tmp_path):
         t.add(frame(("d4", "a", 1)), v, "n")
     assert {r.date for r in t.read().collect()} == {"d2", "d3", "d4"} and not (tmp_path / "k/v=0/_part=d1").exists()
     assert not (tmp_path / "k/v=2/_part=d4").exists() and (tmp_path / "k/v=3/_part=d4").exists()
+    assert t.versions() == [0, 1, 3, 4] and not (tmp_path / "k/v=2").exists()
     t.replace(frame((None, "x", 1)), 6)
     assert t.read().where("date is null").count() == 1
 
