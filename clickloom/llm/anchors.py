@@ -23,7 +23,7 @@ INVERSE = pow(BASE, -1, 1 << 64)
 STRETCH = 1 << 20
 #: Documents that a layout is estimated from (1 in 64 if that is more), rows in a part, about, and the
 #: least number of times a hot number is seen among them.
-LAYOUT_DOCUMENTS, PART_ROWS, LEAST_HOT = 20_000, 400_000, 16
+LAYOUT_DOCUMENTS, PART_ROWS, LEAST_HOT = 20_000, 200_000, 16
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33))
 
 
@@ -129,7 +129,7 @@ def layout(source: DataFrame, numbers: Callable[[], Callable[[str], np.ndarray]]
     """(hot numbers, sorted; parts): how to deal out the anchors of source (_text).
 
     Both are estimated from some of the documents and decide only where rows go, never what is found.
-    Hot are numbers that alone would fill a quarter of a part; there are at most 4 for each part.
+    Hot are numbers that alone would fill a part; there are at most as many as parts.
     """
     n = source.count()
     share = min(1.0, max(LAYOUT_DOCUMENTS / max(n, 1), 1 / 64))
@@ -149,5 +149,5 @@ def layout(source: DataFrame, numbers: Callable[[], Callable[[str], np.ndarray]]
     counts = cut(map_batches(some.select("_text"), "short long, n long", make).groupBy("short").agg(F.sum("n").alias("n")), "layout")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total / share) // PART_ROWS)
-    top = counts.where((F.col("n") >= LEAST_HOT) & (F.col("n") * 4 * parts > total)).select("short").collect()
+    top = counts.where((F.col("n") >= LEAST_HOT) & (F.col("n") * parts > total)).select("short").collect()
     return np.sort(np.array([r["short"] for r in top], np.int64).view(np.uint64)), parts

@@ -1,16 +1,19 @@
 """Repeated byte strings by merging Burrows-Wheeler transforms.
 
-The strings around anchors (see anchors.py) that different documents share are dealt out by anchor,
-so that equal 50-byte strings meet in one task. There, shards of strings get their own suffix order
-and transform; shards are merged by interleave refinement: an order of shard numbers, refined once
-for each character, says whose suffix comes next. Where two neighbours first part gives their common
-prefix, so 50 refinements leave the intervals of suffixes that share 50 bytes. Suffixes of merged
-shards are never sorted again.
+Anchors (see anchors.py) tell which 80-byte strings different documents can share windows in. Of
+anchors with equal strings around them all but the first document's are settled at once. The strings
+that differ are dealt out by anchor, so that equal 50-byte windows meet in one task. There, shards of
+strings get their own suffix order and transform; shards are merged by interleave refinement: an
+order of shard numbers, refined once for each character, says whose suffix comes next. Where two
+neighbours first part gives their common prefix, so 50 refinements leave the intervals of suffixes
+that share 50 bytes. Suffixes of merged shards are never sorted again. Strings around hot anchors
+would meet in one task; they are compared window by window instead.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -233,70 +236,52 @@ def _survivors(anchors_: DataFrame, parts: int) -> DataFrame:
     return anchors_.repartition(parts, "short").mapInArrow(run, "_id long, row long, short long, whole boolean, hot boolean")
 
 
-def _wanted(survivors: DataFrame) -> DataFrame:
-    return survivors.select("_id", F.shiftright("row", 30).alias("_key"), F.struct(F.col("row").bitwiseAND(F.lit(PLACE)).alias("place"), "short").alias("_at")).groupBy("_id", "_key").agg(F.collect_list("_at").alias("_at"))
+_CANDIDATE = "deal long, a long, b long, known boolean, _id long, row long, bytes binary"
 
 
-def _hot_windows(source: DataFrame, survivors: DataFrame, parts: int) -> DataFrame:
-    """_id, _key, start of the windows around hot anchors that an earlier document has. Their strings
-    would meet in one task, so they are compared window by window, by 128 bits; of equal windows in a
-    batch one of the least document goes out, which settles the others."""
+def _candidates(source: DataFrame, survivors: DataFrame) -> DataFrame:
+    """What is to be compared: the contexts of the asking anchors (bytes), dealt out by anchor, and the
+    windows around hot ones (a and b, 128 bits), dealt out by window.
+
+    The strings of a hot anchor would meet in one task, so that they are compared window by window. Of
+    equal windows in a batch one of the least document goes out, which settles the others (known)."""
+    at = F.struct(F.col("row").bitwiseAND(F.lit(PLACE)).alias("place"), "short", "hot").alias("_at")
+    wanted = survivors.select("_id", F.shiftright("row", 30).alias("_key"), at).groupBy("_id", "_key").agg(F.collect_list("_at").alias("_at"))
 
     def make():
         def run(batch: pa.RecordBatch) -> dict:
-            cols: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)]
+            short, owners, rows, strings = [], [], [], []
+            cols: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
             for i, k, t, at in zip(batch.column("_id").to_pylist(), batch.column("_key").to_pylist(), batch.column("_text"), batch.column("_at").to_pylist(), strict=True):
-                raw = np.frombuffer(t.as_py().encode("utf-8", "surrogatepass"), np.uint8)
-                p = np.array([a["place"] for a in at])
-                starts = np.unique((p[:, None] - np.arange(REACH + 1)).ravel())
-                starts = starts[(starts >= 0) & (starts + WINDOW <= len(raw))]
-                for c, x in zip(cols, (Runs(_BYTES[raw]).all(WINDOW)[starts].view(np.int64), Runs(_BYTES2[raw]).all(WINDOW)[starts].view(np.int64), np.full(len(starts), i), np.full(len(starts), k), starts), strict=True):
-                    c.append(x)
-            a, b, ids, keys, starts = map(np.concatenate, cols)
+                raw = t.as_py().encode("utf-8", "surrogatepass")
+                for x in at:
+                    if not x["hot"]:
+                        p = x["place"]
+                        short.append(x["short"])
+                        owners.append(i)
+                        rows.append(k << 30 | p)
+                        strings.append(raw[max(0, p - REACH) : p + SHORT + REACH])
+                hot = np.array([x["place"] for x in at if x["hot"]], np.int64)
+                if len(hot):
+                    starts = np.unique((hot[:, None] - np.arange(REACH + 1)).ravel())
+                    starts = starts[(starts >= 0) & (starts + WINDOW <= len(raw))]
+                    symbols = np.frombuffer(raw, np.uint8)
+                    a, b = (Runs(table[symbols]).all(WINDOW)[starts].view(np.int64) for table in (_BYTES, _BYTES2))
+                    for c, x in zip(cols, (a, b, np.full(len(starts), i), (k << 30) | starts), strict=True):
+                        c.append(x)
+            a, b, ids, places = map(np.concatenate, cols)
             inverse = joint(a, b)
             least = np.full(len(a), np.iinfo(np.int64).max)
             np.minimum.at(least, inverse, ids)
-            later = ids > least[inverse]
-            deal = np.where(later, mixed(keys.view(np.uint64)).view(np.int64), a)
-            return {"deal": deal, "a": a, "b": b, "known": later, "_id": ids, "_key": keys, "start": starts}
-
-        return run
-
-    def run(batches):
-        _, a, b, known, ids, keys, starts = gathered(batches, 7)
-        at = np.flatnonzero(~known)
-        inverse = joint(a[at], b[at])
-        least = np.full(len(at), np.iinfo(np.int64).max)
-        np.minimum.at(least, inverse, ids[at])
-        hit = known.astype(bool)
-        hit[at] = ids[at] > least[inverse]
-        yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (ids, keys, starts)], ["_id", "_key", "start"])
-
-    rows = map_batches(source.select("_id", "_key", "_text").join(_wanted(survivors), ["_id", "_key"]), "deal long, a long, b long, known boolean, _id long, _key long, start long", make)
-    return rows.repartition(parts, "deal").mapInArrow(run, "_id long, _key long, start long")
-
-
-def _strings(source: DataFrame, survivors: DataFrame) -> DataFrame:
-    """short, _id, row, bytes: the contexts of the anchors to compare."""
-    wanted = _wanted(survivors)
-
-    def make():
-        def run(batch: pa.RecordBatch) -> dict:
-            out: dict[str, list] = {"short": [], "_id": [], "row": [], "bytes": []}
-            for i, k, t, at in zip(batch.column("_id").to_pylist(), batch.column("_key").to_pylist(), batch.column("_text"), batch.column("_at").to_pylist(), strict=True):
-                raw = t.as_py().encode("utf-8", "surrogatepass")
-                for a in at:
-                    p = a["place"]
-                    out["short"].append(a["short"])
-                    out["_id"].append(i)
-                    out["row"].append(k << 30 | p)
-                    out["bytes"].append(raw[max(0, p - REACH) : p + SHORT + REACH])
-            return out
+            known = ids > least[inverse]
+            deal = np.where(known, mixed(places.view(np.uint64) >> np.uint64(30)).view(np.int64), a)
+            none, n = np.zeros(len(short), np.int64), len(short)
+            whole = [np.concatenate(x) for x in ((np.array(short, np.int64), deal), (none, a), (none, b), (np.zeros(n, bool), known), (np.array(owners, np.int64), ids), (np.array(rows, np.int64), places))]
+            return dict(zip(("deal", "a", "b", "known", "_id", "row"), whole, strict=True)) | {"bytes": pa.array([*strings, *[None] * len(a)], pa.binary())}
 
         return run
 
-    rows = source.select("_id", "_key", "_text").join(wanted, ["_id", "_key"])
-    return map_batches(rows, "short long, _id long, row long, bytes binary", make)
+    return map_batches(source.select("_id", "_key", "_text").join(wanted, ["_id", "_key"]), _CANDIDATE, make)
 
 
 def comparable(strings: list[bytes], places: np.ndarray, documents: np.ndarray) -> np.ndarray:
@@ -317,31 +302,47 @@ def comparable(strings: list[bytes], places: np.ndarray, documents: np.ndarray)
     return np.flatnonzero(good & one)
 
 
-def _repeated(strings: DataFrame, parts: int) -> DataFrame:
+def _repeated(candidates: DataFrame, parts: int) -> DataFrame:
     """_id, _key, start of the windows around asking anchors that an earlier document has."""
 
+    def compared(documents: np.ndarray, rows: np.ndarray, strings: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+        places = rows & PLACE
+        at = comparable(strings, places, documents)
+        least = least_documents([strings[i] for i in at.tolist()], documents[at]) if len(at) else []
+        found = {(strings[i], documents[i]): x for i, x in zip(at.tolist(), least, strict=True)}
+        for i, (n, document) in enumerate(zip(strings, documents.tolist(), strict=True)):
+            if (n, document) in found:
+                later = np.flatnonzero(found[n, document] < document)
+                if len(later):
+                    yield i, max(0, int(places[i]) - REACH) + later
+
     def run(batches):
-        ids, rows, strings = [], [], []
-        for b in batches:
-            ids.append(b.column("_id").to_numpy())
-            rows.append(b.column("row").to_numpy())
-            strings += b.column("bytes").to_pylist()
+        columns: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)]
+        strings: list[bytes | None] = []
+        for batch in batches:
+            for c, name in zip(columns, ("a", "b", "known", "_id", "row"), strict=True):
+                c.append(batch.column(name).to_numpy(zero_copy_only=False))
+            strings += batch.column("bytes").to_pylist()
+        a, b, known, ids, rows = map(np.concatenate, columns)
+        text = np.array([x is not None for x in strings], bool)
         out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
-        if strings:
-            documents, rows = np.concatenate(ids), np.concatenate(rows)
-            places = rows & PLACE
-            at = comparable(strings, places, documents)
-            least = least_documents([strings[i] for i in at.tolist()], documents[at]) if len(at) else []
-            found = {(strings[i], documents[i]): x for i, x in zip(at.tolist(), least, strict=True)}
-            for i, (n, document) in enumerate(zip(strings, documents.tolist(), strict=True)):
-                if (n, document) in found:
-                    later = np.flatnonzero(found[n, document] < document)
-                    if len(later):
-                        for c, x in zip(out, (np.full(len(later), documents[i]), np.full(len(later), int(rows[i]) >> 30), max(0, int(places[i]) - REACH) + later), strict=True):
-                            c.append(x)
+        at = np.flatnonzero(text)
+        if len(at):
+            for i, starts in compared(ids[at], rows[at], [x for x in strings if x is not None]):
+                j = at[i]
+                for c, x in zip(out, (np.full(len(starts), ids[j]), np.full(len(starts), int(rows[j]) >> 30), starts), strict=True):
+                    c.append(x)
+        hit = ~text & known.astype(bool)
+        at = np.flatnonzero(~text & ~hit)
+        inverse = joint(a[at], b[at])
+        least = np.full(len(at), np.iinfo(np.int64).max)
+        np.minimum.at(least, inverse, ids[at])
+        hit[at] = ids[at] > least[inverse]
+        for c, x in zip(out, (ids[hit], rows[hit] >> 30, rows[hit] & PLACE), strict=True):
+            c.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["_id", "_key", "start"])
 
-    return strings.repartition(parts, "short").select("_id", "row", "bytes").mapInArrow(run, "_id long, _key long, start long")
+    return candidates.repartition(parts, "deal").mapInArrow(run, "_id long, _key long, start long")
 
 
 def covered(places: list[int], starts: list[int], n: int) -> np.ndarray:
@@ -368,10 +369,7 @@ def remove_repeated(documents: DataFrame, text: str = "text") -> DataFrame:
     source = _source(documents, text)
     hot, parts = layout(source, _numbers)
     found = cut(_survivors(_anchors(source, hot), parts), "anchors")
-    asking = found.where("not whole")
-    starts = _repeated(_strings(source, asking.where("not hot")), parts)
-    if len(hot):
-        starts = starts.unionByName(_hot_windows(source, asking.where("hot"), parts))
+    starts = _repeated(_candidates(source, found.where("not whole")), parts)
     whole = found.where("whole").select("_id", F.shiftright("row", 30).alias("_key"), F.col("row").bitwiseAND(F.lit(PLACE)).alias("place"), F.lit(None).cast("long").alias("start"))
     spans = whole.unionByName(starts.withColumn("place", F.lit(None).cast("long")))
     spans = spans.groupBy("_id", "_key").agg(F.collect_list("place").alias("_places"), F.collect_list("start").alias("_starts"))

@@ -238,7 +238,7 @@ def test_hot_anchors_are_spread(spark, monkeypatch):
     assert got == brute_bytes(rows)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in passages.remove_repeated(df, digests=True).collect()}
     assert got == brute_words(rows)
-    monkeypatch.setattr(anchors, "PART_ROWS", 1500)
+    monkeypatch.setattr(anchors, "PART_ROWS", 500)
     for module, key in ((suffixes, "short"), (passages, "deal")):
         source = module._source(df, "text")
         hot, parts = anchors.layout(source, module._numbers)
