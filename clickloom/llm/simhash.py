@@ -24,8 +24,9 @@ from .common import apart, components, cut, map_batches, place_of, row_key, toge
 BITS, RADIUS, SHINGLE = 64, 4, 4
 #: Of near copies that keep_similar looks for: words in a shingle, least Jaccard similarity of the shingles.
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
-#: Rows that the order of shingles is estimated from, and shingles it puts last. Any order gives the same links.
-ORDER_ROWS, ORDER_SHINGLES = 5_000, 100_000
+#: Rows that the order of shingles is estimated from (or that share of all rows, if it is more), and most
+#: shingles it puts last, 16 bytes each in a broadcast. Any order gives the same links.
+ORDER_ROWS, ORDER_SHARE, ORDER_SHINGLES = 5_000, 0.1, 500_000
 #: Nodes that share a shingle and are paired at once; of more, first neighbours only, then what these left apart.
 SMALL = 32
 #: Reference fingerprints in a table. Each column halves the pairs, roughly.
@@ -203,7 +204,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _order(source: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that are found more than once in some of the rows, sorted, and how often."""
-    share = ORDER_ROWS / max(source.count(), 1)
+    share = max(ORDER_ROWS / max(source.count(), 1), ORDER_SHARE)
     some = source.where(F.pmod(F.xxhash64("_a"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("_text")
 
     def make():
@@ -212,8 +213,16 @@ def _order(source: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
         return run
 
-    rows = map_batches(some, "h long", make).groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(ORDER_SHINGLES).collect()
-    h, n = np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["count"] for r in rows], np.int64)
+    shared = cut(map_batches(some, "h long", make).groupBy("h").count().where("count > 1"), "order")
+    # The most frequent ones: from the least count that leaves no more than ORDER_SHINGLES.
+    least, left = 1 << 62, ORDER_SHINGLES
+    for r in shared.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.desc("count")).collect():
+        left -= r["n"]
+        if left < 0:
+            break
+        least = r["count"]
+    rows = shared.where(F.col("count") >= least).select("h", "count").toArrow().combine_chunks()
+    h, n = rows.column("h").to_numpy().view(np.uint64), rows.column("count").to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
 
