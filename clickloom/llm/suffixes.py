@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Runs, among, anchors, joint, layout, mixed
-from .common import cut, map_batches, second
+from .common import cut, map_batches, release, second
 from .passages import counted, firsts, gathered
 
 WINDOW, SHORT = 50, 20
@@ -369,6 +369,7 @@ def remove_repeated(documents: DataFrame, text: str = "text") -> DataFrame:
     source = _source(documents, text)
     hot, parts = layout(source, _numbers)
     found = cut(_survivors(_anchors(source, hot), parts), "anchors")
+    release(documents.sparkSession)
     starts = _repeated(_candidates(source, found.where("not whole")), parts)
     whole = found.where("whole").select("_id", F.shiftright("row", 30).alias("_key"), F.col("row").bitwiseAND(F.lit(PLACE)).alias("place"), F.lit(None).cast("long").alias("start"))
     spans = whole.unionByName(starts.withColumn("place", F.lit(None).cast("long")))
