@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -116,13 +115,6 @@ def second(numbers: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files that no DataFrame refers to any more, at once and not at the
-    driver's next collection: after a cut they only take up disk."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the graph with the given (src, dst) long edges.
 
