@@ -60,4 +60,38 @@ named as (
 select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from docs left join hit using (r) left join named using (r)"""
 
-ORACLE = {"op2_chat_formatting": OP2, "op3_suffixes": OP3, "op5_passages": OP5, "op7_decontamination": OP7}
+# The orders and the masks of the filters before each step, then every document's count at each step.
+OP13 = """
+with letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (select a.x || b.x || c.x || d.x || e.x as filter_order from letters a, letters b, letters c, letters d, letters e
+  where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps as (select filter_order, cast(s as integer) as step, filter_order[s] as x, filter_order[1 : s - 1] as before from orders, range(1, 6) t(s)),
+words as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+first as (select t, min(doc_id) as first from words group by t),
+marks as (select doc_id, max(cast(quality = 1 as integer)) as good, max(cast(toxic = 1 as integer)) as toxic from labels group by doc_id),
+fails as (
+  select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+    case when len(w) < 50 then 'A' else '' end
+    || case when 100 * len(list_distinct(w)) < 65 * len(w) then 'B' else '' end
+    || case when 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t) then 'C' else '' end
+    || case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end
+    || case when coalesce(first < doc_id, false) then 'E' else '' end as f
+  from words left join first using (t) left join marks using (doc_id)
+),
+sums as (select part, f, count(*) as n, sum(good) as good, sum(toxic) as toxic from fails group by part, f),
+walked as (
+  select part, filter_order, step, x, f, n, good, toxic, contains(f, x) as here, length(translate(f, before, '')) < length(f) as earlier from sums, steps
+),
+counts as (
+  select part, filter_order, step, any_value(x) as x,
+    cast(coalesce(sum(n) filter (not here and not earlier), 0) as bigint) as kept,
+    cast(coalesce(sum(n) filter (here and not earlier), 0) as bigint) as removed,
+    cast(coalesce(sum(n) filter (here and earlier), 0) as bigint) as redundant,
+    cast(coalesce(sum(n) filter (f = x), 0) as bigint) as unique_fails,
+    cast(coalesce(sum(good) filter (here and not earlier), 0) as bigint) as good_lost,
+    cast(coalesce(sum(toxic) filter (here and not earlier), 0) as bigint) as toxic_lost
+  from walked group by part, filter_order, step
+)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, cast(sum(removed) over (partition by part, x) as bigint) as shapley from counts"""
+
+ORACLE = {"op2_chat_formatting": OP2, "op3_suffixes": OP3, "op5_passages": OP5, "op7_decontamination": OP7, "op13_filter_audit": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html, multiset, passages, pii, quality, simhash, suffixes
+from . import bpe, chat, decontaminate, html, lattice, multiset, passages, pii, quality, simhash, suffixes
 from .common import table
 from .oracles import ORACLE, SAID
 
@@ -68,8 +68,12 @@ def op10_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_chat_formatting, op3_suffixes, op4_pii, op5_passages, op6_quality, op7_decontamination, op8_html, op9_bpe, op10_multiset_fingerprint)}
+    return {f.__name__: f for f in (op1_simhash, op2_chat_formatting, op3_suffixes, op4_pii, op5_passages, op6_quality, op7_decontamination, op8_html, op9_bpe, op10_multiset_fingerprint, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
