@@ -94,4 +94,32 @@ counts as (
 )
 select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, cast(sum(removed) over (partition by part, x) as bigint) as shapley from counts"""
 
-ORACLE = {"op2_chat_formatting": OP2, "op3_suffixes": OP3, "op5_passages": OP5, "op7_decontamination": OP7, "op13_filter_audit": OP13}
+OP11 = """
+with docs as (select row_number() over () as r, coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+pieces as materialized (select row_number() over () as q, lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) as piece from docs)),
+places as materialized (select lang, w, unnest(range(1, len(w) + 1)) as i from pieces where len(w) > 0),
+phrases as materialized (
+  select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase, any_value(w[i : i + k - 1]) as w, cast(count(*) as bigint) as a
+  from places, (values (1), (2), (3)) s(k) where i + k - 1 <= len(w) group by lang, k, array_to_string(w[i : i + k - 1], ' ')
+),
+often as materialized (select * from phrases where a >= 10),
+sizes as (select lang, cast(sum(a) as bigint) as n from phrases where k = 1 group by lang),
+halves as materialized (
+  select lang, phrase, k, a, s as c, array_to_string(w[1 : s], ' ') as x, array_to_string(w[s + 1 : k], ' ') as y from (select *, unnest(range(1, k)) as s from often)
+),
+cuts as (
+  select h.lang, h.phrase, h.k, h.a, h.c, x.a as l, y.a as r, cast((1000000 * cast(h.a as hugeint) * h.a) // (cast(x.a as hugeint) * y.a) as bigint) as score
+  from halves h join often x on x.lang = h.lang and x.phrase = h.x join often y on y.lang = h.lang and y.phrase = h.y
+),
+lowest as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, c) = 1),
+inside as (
+  select lang, phrase, max(a) as longer from (
+    select lang, a, array_to_string(w[1 : 2], ' ') as phrase from often where k = 3
+    union all select lang, a, array_to_string(w[2 : 3], ' ') from often where k = 3
+  ) group by lang, phrase
+),
+kept as (select o.* from lowest o left join inside i on i.lang = o.lang and i.phrase = o.phrase and o.k = 2 where coalesce(100 * longer < 50 * a, true)),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score from ranked join sizes using (lang) where rank <= 2000"""
+
+ORACLE = {"op2_chat_formatting": OP2, "op3_suffixes": OP3, "op5_passages": OP5, "op7_decontamination": OP7, "op11_collocations": OP11, "op13_filter_audit": OP13}
