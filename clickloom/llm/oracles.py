@@ -60,6 +60,19 @@ named as (
 select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from docs left join hit using (r) left join named using (r)"""
 
+OP12 = """
+with recursive docs as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+sets as materialized (
+  select r, doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')] else list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')))) end as s from docs
+),
+nodes as materialized (select row_number() over () as k, s, len(s) as n, min(doc_id) as least from sets where len(s) > 0 group by s),
+tokens as materialized (select k, n, unnest(s) as t from nodes),
+pairs as materialized (select a.k as x, b.k as y from tokens a join tokens b on a.t = b.t and a.k < b.k group by a.k, a.n, b.k, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+edges as materialized (select x, y from pairs union all select y, x from pairs),
+reach(k, other) as (select k, k from nodes union select e.x, r.other from reach r join edges e on e.y = r.k),
+roots as (select k, min(least) as component_id from (select r.k, n.least from reach r join nodes n on n.k = r.other) group by k)
+select doc_id, len(sets.s) as n_shingles, coalesce(component_id, doc_id) as component_id from sets left join nodes on nodes.s = sets.s and len(sets.s) > 0 left join roots using (k)"""
+
 # The orders and the masks of the filters before each step, then every document's count at each step.
 OP13 = """
 with letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
@@ -122,4 +135,4 @@ kept as (select o.* from lowest o left join inside i on i.lang = o.lang and i.ph
 ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
 select lang, rank, phrase, a, l, r, n, score from ranked join sizes using (lang) where rank <= 2000"""
 
-ORACLE = {"op2_chat_formatting": OP2, "op3_suffixes": OP3, "op5_passages": OP5, "op7_decontamination": OP7, "op11_collocations": OP11, "op13_filter_audit": OP13}
+ORACLE = {"op2_chat_formatting": OP2, "op3_suffixes": OP3, "op5_passages": OP5, "op7_decontamination": OP7, "op11_collocations": OP11, "op12_jaccard_join": OP12, "op13_filter_audit": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, collocations, decontaminate, html, lattice, multiset, passages, pii, quality, simhash, suffixes
+from . import bpe, chat, collocations, decontaminate, html, jaccard, lattice, multiset, passages, pii, quality, simhash, suffixes
 from .common import table
 from .oracles import ORACLE, SAID
 
@@ -72,12 +72,16 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_chat_formatting, op3_suffixes, op4_pii, op5_passages, op6_quality, op7_decontamination, op8_html, op9_bpe, op10_multiset_fingerprint, op11_collocations, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_simhash, op2_chat_formatting, op3_suffixes, op4_pii, op5_passages, op6_quality, op7_decontamination, op8_html, op9_bpe, op10_multiset_fingerprint, op11_collocations, op12_jaccard_join, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
