@@ -14,6 +14,7 @@ from clickloom.plans import jobs
 from clickloom.sources import readers, views
 from clickloom.sources.sinks import cut, scratch
 from clickloom.streaming import ads as stream
+from clickloom.streaming import state
 
 PARAMS = Params(start_date="2024-01-04", end_date="2024-01-25")
 FILTERS = Params(
@@ -84,6 +85,8 @@ VIEWS = {
     "offenders": f"select distinct user_id from daily where click_count >= {DAILY_CLICKS}",
     "ad_stats": "select date, province, city, ad_id, count(*) as click_count from ad_clicks group by 1, 2, 3, 4",
     "ad_top": "select date, province, ad_id, click_count from (select *, row_number() over (partition by date, province order by click_count desc, ad_id) as t from (select date, province, ad_id, cast(sum(click_count) as bigint) as click_count from ad_stats group by 1, 2, 3)) where t <= 3",
+    "panes": "select * from (select millis // 10000 as step, ad_id, millis // 60000 as m, count(*) as n from ad_clicks group by 1, 2, 3) where (step + 1) * 10000 <= (select max(millis) from ad_clicks)",
+    "steps": "select distinct step from panes",
     "ad_trend": "select date, hour, minute, ad_id, count(*) as click_count from ad_clicks group by 1, 2, 3, 4",
 }
 
@@ -362,56 +365,84 @@ def ad_click_trend(spark, d):
     return ads.trend(_ads(spark, d))
 
 
-def _replayed(spark: SparkSession, d: str, start, name: str, slices: int = 3, before=None, **options) -> DataFrame:
+def _replayed(spark: SparkSession, d: str, start, name: str, slices: int = 3, before=None, tables=state.tables, **options):
     """The table that a stream leaves after the log's lines, in time order, as a few files."""
     folder = scratch(spark, name)
     if before:
         before(folder)
     lines = views.ad_log(spark, d)
-    # Equal ranges of time give the batches; a file each, so that one batch takes one.
+    # Equal ranges of time give the batches; a file each, written in turn, so that one batch takes one.
     millis = F.split("value", " ")[0].cast("long")
-    lines.select("value", millis.alias("_t")).repartitionByRange(slices, "_t").sortWithinPartitions("_t").select("value").write.text(f"{folder}/lines")
+    lines = cut(lines.select("value", millis.alias("_t")), "log")
+    ends = lines.agg(F.min("_t").alias("a"), F.max("_t").alias("b")).first()
+    for i in range(slices if ends.a is not None else 0):
+        low, high = (ends.a + (ends.b + 1 - ends.a) * k // slices for k in (i, i + 1))
+        lines.where((F.col("_t") >= low) & (F.col("_t") < high)).coalesce(1).sortWithinPartitions("_t").select("value").write.mode("append").text(f"{folder}/lines")
     start(readers.file_lines(spark, f"{folder}/lines", maxFilesPerTrigger="1"), folder, every=None, **options).awaitTermination()
-    return stream.tables(spark, folder)[name].read()
+    return tables(spark, folder)[name]
 
 
 @query("select * from ad_stats")
 def ad_stat_stream(spark, d):
-    return _replayed(spark, d, stream.start_stats, "stats", filtered=False)
+    # Files may come in any order: the watermark lies as far back as the log is long.
+    return _replayed(spark, d, state.start_stats, "stats", late="40 days").read()
 
 
 @query("select * from ad_top")
 def ad_province_top3_stream(spark, d):
-    return _replayed(spark, d, stream.start_province_top, "top")
+    return state.top_rows(_replayed(spark, d, state.start_province_top, "top", late="40 days"))
 
 
 @query("select * from ad_trend")
 def ad_click_trend_stream(spark, d):
-    # Files may come in any order: the watermark lies as far back as the log is long.
-    return _replayed(spark, d, stream.start_trend, "trend", late="40 days")
+    return _replayed(spark, d, state.start_trend, "trend", late="40 days").read()
 
 
 @query("select * from offenders")
 def ad_blacklist_stream(spark, d):
-    return _replayed(spark, d, stream.start_blacklist, "blacklist", threshold=DAILY_CLICKS)
+    return _replayed(spark, d, stream.start_blacklist, "blacklist", tables=stream.tables, threshold=DAILY_CLICKS).read()
 
 
 @query("select date, user_id, ad_id, click_count from daily")
 def ad_user_daily_count_stream(spark, d):
-    # With a threshold that nobody reaches no click is dropped.
-    return _replayed(spark, d, stream.start_blacklist, "user_counts", threshold=1 << 40)
+    return _replayed(spark, d, state.start_user_counts, "user_counts", late="40 days").read()
 
 
 @query("select date, province, city, ad_id, count(*) as click_count from ad_clicks where user_id not in (select user_id from offenders) group by 1, 2, 3, 4")
 def ad_stat_filtered_stream(spark, d):
     """Totals without the users that an earlier run has put on the blacklist; nobody else gets there."""
-    listed = _replayed(spark, d, stream.start_blacklist, "blacklist", threshold=DAILY_CLICKS)
-    return _replayed(spark, d, stream.start_stats, "stats", before=lambda folder: stream.tables(spark, folder)["blacklist"].include(listed, -1), threshold=DAILY_CLICKS)
+    listed = _replayed(spark, d, stream.start_blacklist, "blacklist", tables=stream.tables, threshold=DAILY_CLICKS).read()
+    return _replayed(spark, d, stream.start_filtered_stats, "stats", tables=stream.tables, before=lambda folder: stream.tables(spark, folder)["blacklist"].include(listed, -1), threshold=DAILY_CLICKS).read()
 
 
 @query("select t.* from ad_trend t where cast(date || ' ' || hour || ':' || minute || ':00' as timestamp) > (select max(cast(date || ' ' || hour || ':' || minute || ':00' as timestamp)) from ad_trend) - interval 60 minute")
 def ad_trend_last_hour_stream(spark, d):
-    return stream.last_hour(_replayed(spark, d, stream.start_trend, "trend", late="40 days"))
+    return stream.last_hour(_replayed(spark, d, state.start_trend, "trend", late="40 days").read())
+
+
+# Windows of an hour that end with a pane of 10 seconds. The stream closes panes that end before its newest click.
+HOURS = """select s.step_end, strftime(make_timestamp(p.m * 60000000), '%Y-%m-%d') as date, strftime(make_timestamp(p.m * 60000000), '%H') as hour, strftime(make_timestamp(p.m * 60000000), '%M') as minute, p.ad_id,
+  cast(sum(p.n) as bigint) as click_count, cast(any_value(s.ad_total) as bigint) as ad_total
+from (select steps.step, (steps.step + 1) * 10 as step_end, ads.ad_id, any_value(t.n) as ad_total from steps cross join (select distinct ad_id from panes) ads
+  join (select step, ad_id, sum(n) over (partition by ad_id order by step range between 359 preceding and current row) as n from (select st.step, a.ad_id, coalesce(p.n, 0) as n from steps st cross join (select distinct ad_id from panes) a left join panes p on p.step = st.step and p.ad_id = a.ad_id)) t
+  on t.step = steps.step and t.ad_id = ads.ad_id group by 1, 2, 3) s
+join panes p on p.ad_id = s.ad_id and p.step between s.step - 359 and s.step
+group by s.step_end, p.m, p.ad_id"""
+
+
+@query(HOURS)
+def ad_last_hours_stream(spark, d):
+    """For every 10 seconds with clicks: the clicks of the hour before by minute and ad, and by ad."""
+    return _replayed(spark, d, state.start_last_hour, "last_hour", late="0 seconds").read()
+
+
+@query(HOURS)
+def ad_last_hours(spark, d):
+    """The same windows over the whole log at once."""
+    clicks = cut(_ads(spark, d), "clicks")
+    ended = F.broadcast(clicks.agg(F.max("millis").alias("_newest")))
+    panes = state.pane_counts(clicks).join(ended, (F.col("step") + 1) * state.PANE * 1000 <= F.col("_newest")).drop("_newest")
+    return state.last_hours(cut(panes, "panes"))
 
 
 @query("select replace(date, '-', '') as date, province, city, ad_id, click_count from ad_stats")

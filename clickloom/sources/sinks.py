@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -133,3 +133,46 @@ class GrowingSet:
                 new.write.mode("overwrite").parquet(f"{self.table.path}/v={batch}")
         finally:
             new.unpersist()
+
+
+class ChangeLog:
+    """Rows by key in a folder; of a key's rows the one of the last batch holds.
+
+    A batch writes only the rows that it changes, under its number and in parts by one column (the first
+    key, unless another is given): what it writes does not grow with what is there, and a replayed
+    batch takes the place of its first attempt. Nothing is rewritten; `drop` removes old parts.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str]):
+        self.spark, self.path, self.schema, self.keys = spark, path.rstrip("/"), schema, keys
+        self.table = KeyedTable(spark, path, schema, keys, None)
+
+    def write(self, df: DataFrame, batch: int, part: Column | None = None) -> None:
+        columns = self.spark.createDataFrame([], self.schema).columns
+        part = F.col(self.keys[0]) if part is None else part
+        df.select(*columns, part.cast("string").alias("_part")).write.partitionBy("_part").mode("overwrite").parquet(f"{self.path}/v={batch}")
+
+    def of(self, batch: int) -> DataFrame:
+        """The rows that a batch wrote."""
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={batch}").drop("_part")
+
+    def read(self, before: int | None = None, parts: list | None = None) -> DataFrame:
+        """The last row of every key (of the given parts), or the last before a batch."""
+        names = None if parts is None else {str(p) for p in parts}
+        versions = [v for v in self.table.versions() if before is None or v < before]
+        paths = [f"{self.path}/v={v}" for v in versions] if names is None else [f"{self.path}/v={v}/_part={p}" for v in versions for p in self.table._names(f"{self.path}/v={v}", "_part=") if p in names]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        rows = self.spark.read.schema(f"{self.schema}, v long").option("basePath", self.path).parquet(*paths)
+        others = [c for c in self.spark.createDataFrame([], self.schema).columns if c not in self.keys]
+        last = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*others), "v").alias("_last"))
+        return last.select(*self.keys, "_last.*").select(*[c for c in self.spark.createDataFrame([], self.schema).columns])
+
+    def drop(self, before: str) -> None:
+        """Remove all parts whose name sorts before the given one (as dates do)."""
+        for v in self.table.versions()[:-1]:
+            names = self.table._names(f"{self.path}/v={v}", "_part=")
+            old = [n for n in names if n < before]
+            for path in [f"{self.path}/v={v}"] if len(old) == len(names) else [f"{self.path}/v={v}/_part={n}" for n in old]:
+                p, fs = _fs(self.spark, path)
+                fs.delete(p, True)

@@ -1,4 +1,7 @@
-"""Ad statistics over a stream of log lines, kept by key.
+"""The blacklist, and totals without its users, over a stream of log lines.
+
+One query keeps both, because what a batch counts depends on who was listed before it.
+Totals of all users are in state.py.
 
 Every query is restartable from its checkpoint: its tables take a replayed batch again without
 counting it twice, and what a batch reads is what was there before it, also when it is replayed.
@@ -10,15 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from clickloom.functions import EPOCH
 from clickloom.operators import ads
 from clickloom.sources.sinks import GrowingSet, KeyedTable
 
 BLACKLIST = "user_id long"
 USER_COUNTS = "date string, user_id long, ad_id long, click_count long"
 STATS = "date string, province string, city string, ad_id long, click_count long"
-TOP = "date string, province string, ad_id long, click_count long"
-TREND = "date string, hour string, minute string, ad_id long, click_count long"
 
 
 def tables(spark: SparkSession, folder: str, keep: int | None = None) -> dict[str, KeyedTable | GrowingSet]:
@@ -28,9 +28,6 @@ def tables(spark: SparkSession, folder: str, keep: int | None = None) -> dict[st
         "blacklist": GrowingSet(spark, f"{folder}/blacklist", BLACKLIST),
         "user_counts": keyed("user_counts", USER_COUNTS, ["date", "user_id", "ad_id"]),
         "stats": keyed("stats", STATS, ["date", "province", "city", "ad_id"]),
-        "totals": keyed("totals", STATS, ["date", "province", "city", "ad_id"]),
-        "top": keyed("top", TOP, ["date", "province"]),
-        "trend": keyed("trend", TREND, ["date", "hour", "minute", "ad_id"]),
     }
 
 
@@ -57,43 +54,11 @@ def start_blacklist(lines: DataFrame, folder: str, threshold: int = ads.THRESHOL
     return _start(ads.parse(lines), lambda df, batch: blacklist_step(df, kept, batch, threshold), folder, "blacklist", "append", every)
 
 
-def start_stats(lines: DataFrame, folder: str, filtered: bool = True, threshold: int = ads.THRESHOLD, every: str | None = "5 seconds", keep: int | None = None) -> StreamingQuery:
-    """Running totals by day, province, city and ad. With filtered, the same query keeps the blacklist
-    and clicks of users who were on it before their batch do not count."""
+def start_filtered_stats(lines: DataFrame, folder: str, threshold: int = ads.THRESHOLD, every: str | None = "5 seconds", keep: int | None = None) -> StreamingQuery:
+    """Running totals by day, province, city and ad without clicks of users who were on the blacklist
+    before their batch. The same query keeps the blacklist."""
     kept = tables(lines.sparkSession, folder, keep)
-
-    def step(df: DataFrame, batch: int) -> None:
-        if filtered:
-            blacklist_step(df, kept, batch, threshold, totals=True)
-        else:
-            kept["stats"].add(ads.stats(df), batch, "click_count")
-
-    return _start(ads.parse(lines), step, folder, "stats", "append", every)
-
-
-def start_province_top(lines: DataFrame, folder: str, n: int = 3, every: str | None = "5 seconds", keep: int | None = None) -> StreamingQuery:
-    """Top ads by day and province over running totals. A batch ranks the days it has clicks of."""
-    kept = tables(lines.sparkSession, folder, keep)
-
-    def step(df: DataFrame, batch: int) -> None:
-        kept["top"].replace(ads.province_top(kept["totals"].add(ads.stats(df), batch, "click_count"), n), batch)
-
-    return _start(ads.parse(lines), step, folder, "top", "append", every)
-
-
-def start_trend(lines: DataFrame, folder: str, late: str = "60 minutes", every: str | None = "10 seconds", keep: int | None = None) -> StreamingQuery:
-    """Clicks by minute and ad of all users. Clicks later than `late` behind the newest are dropped
-    with their state; minutes already written stay."""
-    kept = tables(lines.sparkSession, folder, keep)
-    clicks = ads.parse(lines).withColumn("at", F.timestamp_millis("millis"))
-    counts = clicks.withWatermark("at", late).groupBy(F.window("at", "1 minute").alias("w"), "ad_id").agg(F.count("*").alias("click_count"))
-
-    def step(df: DataFrame, batch: int) -> None:
-        at = F.timestamp_add("SECOND", F.unix_timestamp("w.start"), F.expr(EPOCH))
-        rows = df.select(F.date_format(at, "yyyy-MM-dd").alias("date"), F.date_format(at, "HH").alias("hour"), F.date_format(at, "mm").alias("minute"), "ad_id", "click_count")
-        kept["trend"].replace(rows, batch)
-
-    return _start(counts, step, folder, "trend", "update", every)
+    return _start(ads.parse(lines), lambda df, batch: blacklist_step(df, kept, batch, threshold, totals=True), folder, "stats", "append", every)
 
 
 def last_hour(trend: DataFrame, minutes: int = 60) -> DataFrame:

@@ -1,6 +1,9 @@
 """Hand-written cases for the semantics that the queries' tables don't reach."""
 
 import json
+import random
+from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,8 +14,9 @@ from clickloom.operators import ads, pages, products, sessions
 from clickloom.params import Params
 from clickloom.plans import jobs
 from clickloom.sources import readers
-from clickloom.sources.sinks import GrowingSet, KeyedTable
+from clickloom.sources.sinks import ChangeLog, GrowingSet, KeyedTable
 from clickloom.streaming import ads as stream
+from clickloom.streaming import state
 from clickloom.tasks import Task, TaskNotFound, TaskStore, run_task
 
 VISIT = readers.USER_VISIT_ACTION + ", event_id long"
@@ -112,7 +116,7 @@ def test_blacklist_over_batches(spark, tmp_path):
 
 def test_trend_last_hour(spark):
     rows = [("2024-01-01", "10", "00", 1, 5), ("2024-01-01", "10", "01", 1, 5), ("2024-01-01", "11", "00", 1, 5)]
-    assert stream.last_hour(spark.createDataFrame(rows, stream.TREND)).count() == 2
+    assert stream.last_hour(spark.createDataFrame(rows, state.TREND)).count() == 2
 
 
 def test_tasks(spark, tmp_path):
@@ -129,12 +133,93 @@ def test_tasks(spark, tmp_path):
     assert store.get(2).task_status == "failed" and store.all().count() == 2
 
 
-def test_restart_from_checkpoint(spark, tmp_path):
+def log_lines(spark, folder, clicks):
+    """One more file of log lines: (seconds after 2024-01-01, user, ad)."""
+    spark.createDataFrame([(f"{1704067200000 + int(1000 * t)} P C {u} {a}",) for t, u, a in clicks], "value string").coalesce(1).write.mode("append").text(f"{folder}/lines")
+
+
+def written(path):
+    return sum(f.stat().st_size for f in Path(path).rglob("*.parquet"))
+
+
+def test_state_goes_on_after_a_restart(spark, tmp_path):
+    """Totals by day and by user, after every restart; what a batch writes does not grow with the day."""
     folder = f"file://{tmp_path}/s"
-    for i in range(2):
-        spark.createDataFrame([(f"1704067200000 P C {u} 1",) for u in range(i + 2)], "value string").coalesce(1).write.mode("append").text(f"{folder}/lines")
-        stream.start_stats(readers.file_lines(spark, f"{folder}/lines"), folder, filtered=False, every=None).awaitTermination()
-    assert [r.click_count for r in stream.tables(spark, folder)["stats"].read().collect()] == [5]
+    runs = [[(k % 1000, k % 400, k % 20) for k in range(4000)], [(5, 1, 1)], [(90_000, 1, 1), (6, 2, 1)], [(7, 2, 1)]]
+    seen = []
+    for clicks in runs:
+        log_lines(spark, folder, clicks)
+        seen += clicks
+        for start, name, key in ((state.start_stats, "stats", lambda c: c[2]), (state.start_user_counts, "user_counts", lambda c: c[1:])):
+            start(readers.file_lines(spark, f"{folder}/lines"), folder, late="2 days", every=None).awaitTermination()
+            got = Counter()
+            for r in state.tables(spark, folder)[name].read().collect():
+                got[r.date, r.ad_id if name == "stats" else (r.user_id, r.ad_id)] += r.click_count
+            assert got == Counter((f"2024-01-0{1 + t // 86_400}", key((t, u, a))) for t, u, a in seen)
+    sizes = {v: written(tmp_path / f"s/user_counts/v={v}") for v in state.tables(spark, folder)["user_counts"].table.versions()}
+    first, *rest = [n for _, n in sorted(sizes.items()) if n]
+    assert len(rest) == 3 and all(n < first / 2 for n in rest)
+    assert (tmp_path / "s/checkpoints/stats/state").exists() and list((tmp_path / "s/checkpoints/stats/state").rglob("*.changelog"))
+
+
+def test_days_leave_the_state(spark, tmp_path):
+    """A click for a day that the watermark has passed is dropped, and the total written before stays."""
+    folder = f"file://{tmp_path}/d"
+    for clicks in ([(0, 1, 1), (1, 1, 1)], [(3 * 86_400, 1, 1)], [(2, 1, 1), (3 * 86_400 + 1, 1, 1)]):
+        log_lines(spark, folder, clicks)
+        query = state.start_stats(readers.file_lines(spark, f"{folder}/lines"), folder, late="1 day", every=None)
+        query.awaitTermination()
+    assert {(r.date, r.click_count) for r in state.tables(spark, folder)["stats"].read().collect()} == {("2024-01-01", 2), ("2024-01-04", 2)}
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
+    log = state.tables(spark, folder)["stats"]
+    log.drop("2024-01-04")
+    assert [r.date for r in log.read().collect()] == ["2024-01-04"]
+
+
+def test_change_log_takes_a_batch_again(spark, tmp_path):
+    log = ChangeLog(spark, f"file://{tmp_path}/c", "k string, n long", ["k"])
+    frame = lambda *rows: spark.createDataFrame(rows, "k string, n long")
+    assert log.read().count() == 0
+    log.write(frame(("a", 1), ("b", 1)), 0)
+    for _ in range(2):
+        log.write(frame(("a", 2), (None, 5)), 1)
+    assert {(r.k, r.n) for r in log.read().collect()} == {("a", 2), ("b", 1), (None, 5)}
+    assert {(r.k, r.n) for r in log.read(1).collect()} == {("a", 1), ("b", 1)} and {r.k for r in log.of(1).collect()} == {"a", None}
+    assert {(r.k, r.n) for r in log.read(parts=["b"]).collect()} == {("b", 1)} and log.read(0).count() == 0
+
+
+def brute_hours(clicks, newest):
+    """(step end, minute, ad): clicks, and ads' totals, in the hour that ends with each step that has clicks."""
+    steps = {int(t // 10) for t, _, _ in clicks if (t // 10 + 1) * 10 <= newest}
+    minutes, totals = Counter(), Counter()
+    for s in steps:
+        for t, _, a in clicks:
+            if s - 360 < t // 10 <= s:
+                minutes[s * 10 + 10, int(t // 60), a] += 1
+                totals[s * 10 + 10, a] += 1
+    return {(e, m, a, n, totals[e, a]) for (e, m, a), n in minutes.items()}
+
+
+def test_sliding_hours(spark, tmp_path):
+    """Minutes within the hour at every step of 10 seconds; clicks of 61 minutes ago are out."""
+    rnd = random.Random(5)
+    clicks = [(0, 1, 1), (9.99, 1, 1), (10, 1, 2), (3599, 1, 1), (3600, 1, 1), (3609.9, 1, 2), (3610, 1, 1), (3660, 1, 2), (3670, 1, 1), (20_000, 1, 1)]
+    clicks += [(rnd.randrange(4000, 12_000), 1, rnd.randrange(3)) for _ in range(300)]
+    clicks.sort()
+    newest, day = max(t for t, _, _ in clicks), 1704067200
+    want = {(e + day, m, a, n, k) for e, m, a, n, k in brute_hours(clicks, newest)}
+    minute = lambda r: (int(r.date[8:]) - 1) * 1440 + int(r.hour) * 60 + int(r.minute)
+    rows = lambda df: {(r.step_end, minute(r), r.ad_id, r.click_count, r.ad_total) for r in df.collect()}
+    lines = spark.createDataFrame([(f"{day * 1000 + int(1000 * t)} P C {u} {a}",) for t, u, a in clicks], "value string")
+    panes = state.pane_counts(ads.parse(lines)).where((F.col("step") + 1) * 10 <= day + newest)
+    assert rows(state.last_hours(panes)) == want and state.last_hours(panes.limit(0)).count() == 0
+    at = {r[0] - day for r in want}
+    assert 3670 in at and not any(e == 3670 and m == 0 for e, m, *_ in {(r[0] - day, *r[1:]) for r in want})
+    folder = f"file://{tmp_path}/h"
+    for part in (clicks[:5], clicks[5:100], clicks[100:]):  # restarted after each
+        log_lines(spark, folder, part)
+        state.start_last_hour(readers.file_lines(spark, f"{folder}/lines"), folder, late="0 seconds", every=None).awaitTermination()
+    assert rows(state.tables(spark, folder)["last_hour"].read()) == want
 
 
 def test_keyed_table_rewrites_only_touched_parts(spark, tmp_path):
@@ -168,7 +253,7 @@ def test_filtered_totals_in_one_query(spark, tmp_path):
     folder = f"file://{tmp_path}/f"
     for users in ((1, 1, 1, 2), (1, 2), (1, 2)):
         spark.createDataFrame([(f"1704067200000 P C {u} 1",) for u in users], "value string").coalesce(1).write.mode("append").text(f"{folder}/lines")
-        stream.start_stats(readers.file_lines(spark, f"{folder}/lines"), folder, threshold=3, every=None).awaitTermination()
+        stream.start_filtered_stats(readers.file_lines(spark, f"{folder}/lines"), folder, threshold=3, every=None).awaitTermination()
     t = stream.tables(spark, folder)
     # User 1 is listed by the first batch, user 2 by the third.
     assert [r.click_count for r in t["stats"].read().collect()] == [6]
