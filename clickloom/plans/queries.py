@@ -412,7 +412,7 @@ def ad_user_daily_count_stream(spark, d):
 def ad_stat_filtered_stream(spark, d):
     """Totals without the users that an earlier run has put on the blacklist; nobody else gets there."""
     listed = _replayed(spark, d, stream.start_blacklist, "blacklist", tables=stream.tables, threshold=DAILY_CLICKS).read()
-    return _replayed(spark, d, stream.start_filtered_stats, "stats", tables=stream.tables, before=lambda folder: stream.tables(spark, folder)["blacklist"].include(listed, -1), threshold=DAILY_CLICKS).read()
+    return _replayed(spark, d, stream.start_filtered_stats, "stats", tables=stream.tables, before=lambda folder: stream.blacklist(stream.tables(spark, folder), listed, -1), threshold=DAILY_CLICKS).read()
 
 
 @query("select t.* from ad_trend t where cast(date || ' ' || hour || ':' || minute || ':00' as timestamp) > (select max(cast(date || ' ' || hour || ':' || minute || ':00' as timestamp)) from ad_trend) - interval 60 minute")

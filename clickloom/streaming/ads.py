@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from clickloom.operators import ads
-from clickloom.sources.sinks import GrowingSet, KeyedTable
+from clickloom.operators import ads, bloom
+from clickloom.sources.sinks import ChangeLog, GrowingSet, KeyedTable
 
 BLACKLIST = "user_id long"
 USER_COUNTS = "date string, user_id long, ad_id long, click_count long"
@@ -26,20 +26,30 @@ def tables(spark: SparkSession, folder: str, keep: int | None = None) -> dict[st
     keyed = lambda name, schema, keys: KeyedTable(spark, f"{folder}/{name}", schema, keys, keep=keep)
     return {
         "blacklist": GrowingSet(spark, f"{folder}/blacklist", BLACKLIST),
+        "blacklist_bits": ChangeLog(spark, f"{folder}/blacklist_bits", bloom.SCHEMA, ["bucket"]),
         "user_counts": keyed("user_counts", USER_COUNTS, ["date", "user_id", "ad_id"]),
         "stats": keyed("stats", STATS, ["date", "province", "city", "ad_id"]),
     }
 
 
+def blacklist(kept: dict, users: DataFrame, batch: int) -> None:
+    """Put users on the list and into its filter, of which only the rows that change are written."""
+    kept["blacklist"].include(users, batch)
+    new = bloom.build(users)
+    before = kept["blacklist_bits"].read(batch).join(new.select("bucket"), "bucket", "left_semi")
+    kept["blacklist_bits"].write(bloom.merge(new, before), batch, part=F.lit("all"))
+
+
 def blacklist_step(clicks: DataFrame, kept: dict, batch: int, threshold: int, totals: bool = False) -> None:
     """One batch: drop clicks of users blacklisted before it, add the rest to the daily counts (and to
     the running totals), put the users that reach the threshold on the blacklist."""
-    good = ads.not_blacklisted(clicks, kept["blacklist"].read(batch)).persist()
+    # Most clicks pass the filter's 8 MB at most, and only the rest meets the list.
+    good = bloom.without(clicks, kept["blacklist"].read(batch), ["user_id"], kept["blacklist_bits"].read(batch)).persist()
     try:
         counts = kept["user_counts"].add(ads.user_daily_counts(good), batch, "click_count")
         if totals:
             kept["stats"].add(ads.stats(good), batch, "click_count")
-        kept["blacklist"].include(ads.offenders(counts, threshold), batch)
+        blacklist(kept, ads.offenders(counts, threshold), batch)
     finally:
         good.unpersist()
 

@@ -1,5 +1,6 @@
 """Hand-written cases for the semantics that the queries' tables don't reach."""
 
+import hashlib
 import json
 import random
 from collections import Counter
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from clickloom.__main__ import main
 from clickloom.functions import json_field, ratio, remove_random_prefix
-from clickloom.operators import ads, pages, products, sessions
+from clickloom.operators import ads, bloom, pages, products, sessions
 from clickloom.params import Params
 from clickloom.plans import jobs
 from clickloom.sources import readers
@@ -114,6 +115,43 @@ def test_blacklist_over_batches(spark, tmp_path):
     assert {r.user_id for r in kept["blacklist"].read().collect()} == {1, 2}
 
 
+def test_sample_of_a_hot_hour(spark):
+    """The quota's lowest digests of every hour, with most sessions in one; only a slice is ranked."""
+    rnd = random.Random(9)
+    hours = ["2024-01-01 10"] * 4000 + ["2024-01-01 11"] * 30 + ["2024-01-02 00"] * 3 + ["2024-01-02 01"] * 2
+    rows = [(f"s{rnd.randrange(10**9)}", f"{h}:00:00", "", "") for h in hours] + [("same", "2024-01-02 02:00:00", "", "")] * 3
+    df = spark.createDataFrame(rows, "session_id string, start_time string, search_keywords string, click_category_ids string")
+    quotas = {(r.date, r.hour): r.quota for r in sessions.hour_quotas(sessions.hour_counts(df), 60).collect()}
+    want = []
+    for (date, hour), n in quotas.items():
+        order = sorted((r for r in rows if r[1].startswith(f"{date} {hour}")), key=lambda r: (hashlib.md5((r[0] + "42").encode()).hexdigest(), r[0]))
+        want += order[:n]
+    got = sessions.sample(df, 60)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and max(quotas.values()) > 20
+    assert sessions.sample(df.limit(0), 60).count() == 0
+    # The hot hour's sessions are not sorted: what is ranked is bounded by digests first.
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("WindowGroupLimit") < plan.index("_slice") and sessions.SLICE_DIGITS == 3
+
+
+@pytest.mark.parametrize("bits", [1 << 26, 1 << 15])
+def test_bloom_filters(spark, monkeypatch, bits):
+    """No key that is in is ruled out; a full filter drops nobody who is not listed."""
+    monkeypatch.setattr(bloom, "BITS", bits)
+    listed, rows = spark.range(0, 60_000, 3).select(F.col("id").alias("user_id")), spark.range(60_000).select(F.col("id").alias("user_id"), F.lit(1).alias("bucket"))
+    some = bloom.build(listed.where("user_id < 30000"))
+    filtered = bloom.merge(some, bloom.build(listed.where("user_id >= 30000")))
+    assert filtered.count() <= bits // bloom.ROW and filtered.agg(F.max(F.octet_length("bitmap"))).first()[0] == 4096
+    maybe = {r.user_id for r in bloom.flag(rows, ["user_id"], filtered).where("_maybe").collect()}
+    assert maybe >= set(range(0, 60_000, 3)) and (len(maybe) < 20_100 if bits > 1 << 20 else len(maybe) > 30_000)
+    left = bloom.without(rows, listed, ["user_id"], filtered)
+    assert left.columns == rows.columns and sorted(r.user_id for r in left.collect()) == [i for i in range(60_000) if i % 3]
+    assert bloom.without(rows, listed.limit(0), ["user_id"], bloom.build(listed.limit(0))).count() == 60_000
+    assert bloom.narrowed_join(rows, listed, ["user_id"]).count() == 20_000
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin [user_id" not in plan
+
+
 def test_trend_last_hour(spark):
     rows = [("2024-01-01", "10", "00", 1, 5), ("2024-01-01", "10", "01", 1, 5), ("2024-01-01", "11", "00", 1, 5)]
     assert stream.last_hour(spark.createDataFrame(rows, state.TREND)).count() == 2
