@@ -6,10 +6,12 @@ sets under them can share enough, by their sizes and the bits that both nodes ha
 them are linked already. Pairs of leaves that are left are compared shingle by shingle.
 
 Trees are built where they can find something. Two sets that are LIKE alike share one of their first
-shingles in any order, so sets that hold a first shingle in common (and those that these lead to) form
-a neighbourhood; most sets are alone in theirs. A neighbourhood's sets go to one task, each once. A large
-one is dealt out in parts, and its most typical sets go to every part, so that dense groups are linked
-there; then only sets that are not of the largest group are walked against all other parts.
+shingles in any order. Sets that hold a first shingle in common meet as bitmaps only, in a tree for each
+such shingle; pairs of leaves that are left there (and those that these lead to) form a neighbourhood.
+Most sets are alone in theirs. A neighbourhood's sets go to one task, each once, where a tree's leaves are
+compared in full. A large one is dealt out in parts, and its most typical sets go to every part, so that
+dense groups are linked there; then only sets that are not of the largest group are walked against all
+other parts.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clickloom.operators import bloom
+
 from .common import components, cut, map_batches, row_key
 from .simhash import shingles
 
@@ -33,6 +37,10 @@ ORDER_ROWS, ORDER_SHARE, ORDER_SHINGLES = 5_000, 0.1, 500_000
 PART, FANOUT, BITS = 1 << 21, 8, 1 << 14
 #: Bytes of a tree's bitmaps, roughly.
 MEMORY = 1 << 26
+#: Bits of the bitmap that stands for a set by itself: about as many as shingles, up to this.
+SIGNATURE = 1 << 14
+#: Sets that hold one first shingle and meet as bitmaps; of more, all are one neighbourhood.
+CROWD = 20_000
 #: Typical sets of a neighbourhood that go to all of its parts.
 TYPICAL = 16
 _EDGES = "src long, dst long"
@@ -48,15 +56,22 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= LIKE * (len(a) + len(b) - both)
 
 
+def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """A row of bits for each set. The first half of a bitmap or'ed with the second is the one of half as
+    many bits."""
+    out = np.zeros((len(sets), bits // 64), np.uint64)
+    rows, values = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+    places = (values * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) & np.uint64(bits - 1)
+    np.bitwise_or.at(out, (rows, (places >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (places & np.uint64(63)))
+    return out
+
+
 class Tree:
-    """Signature tree over sets of shingles (sorted, of any number): levels[0] are the leaves."""
-
-    def __init__(self, sets: list[np.ndarray], bits: int):
-        self.sets, self.n = sets, np.array([len(s) for s in sets], np.int64)
-        leaves = np.zeros((len(sets), bits // 64), np.uint64)
-        rows, values = np.repeat(np.arange(len(sets)), self.n), np.concatenate(sets)
-        places = (values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits.bit_length() + 1)
-        np.bitwise_or.at(leaves, (rows, (places >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (places & np.uint64(63)))
+    """Signature tree over sets of n shingles with bitmaps `leaves`, in their order: levels[0] are these.
+    sets has the shingles of each, sorted, if leaves are to be compared in full."""
+
+    def __init__(self, n: np.ndarray, leaves: np.ndarray, sets: list[np.ndarray] | None = None):
+        self.sets, self.n = sets, n
         # Shingles that share a bit with another of their set: these a bitmap may hide.
         hidden = self.n - np.bitwise_count(leaves).sum(1, dtype=np.int64)
         self.levels, self.least, self.most, self.hidden = [leaves], [self.n], [self.n], [hidden]
@@ -69,7 +84,7 @@ class Tree:
 
     def span(self, level: int, node: int) -> tuple[int, int]:
         width = FANOUT**level
-        return node * width, min((node + 1) * width, len(self.sets))
+        return node * width, min((node + 1) * width, len(self.n))
 
     def children(self, level: int, node: int) -> np.ndarray:
         return np.arange(node * FANOUT, min((node + 1) * FANOUT, len(self.levels[level - 1])))
@@ -103,7 +118,7 @@ class Groups:
 def walk(s: Tree, t: Tree, groups: Groups, at: int, shift: int) -> list[tuple[int, int]]:
     """Pairs (set of s, set of t) that connect what links between the trees connect, given what groups
     are connected already. In groups the sets of s begin at `at`, those of t at `shift`. s and t may be
-    one tree."""
+    one tree. Without sets, leaves are taken for linked if their bitmaps are left."""
     found, top = [], max(len(s.levels), len(t.levels)) - 1
     same = s is t
 
@@ -121,7 +136,7 @@ def walk(s: Tree, t: Tree, groups: Groups, at: int, shift: int) -> list[tuple[in
         if groups.one((sa[0] + at, sa[1] + at), (sb[0] + shift, sb[1] + shift)):
             continue
         if level == 0:
-            if not (same and a == b) and linked(s.sets[a], t.sets[b]):
+            if not (same and a == b) and (s.sets is None or linked(s.sets[a], t.sets[b])):
                 found.append((a, b))
                 groups.join(a + at, b + shift)
             continue
@@ -151,11 +166,35 @@ def link_sets(nodes: np.ndarray, sets: list[np.ndarray], roots: np.ndarray, side
     nodes, sets, sides = nodes[order], [sets[k] for k in order], sides[order]
     groups, bits, edges = Groups(roots[order]), bits_for(sets), []
     a, b = np.searchsorted(sides, [1, 2]).tolist()
+    tree = lambda x: Tree(np.array([len(s) for s in x], np.int64), bitmaps(x, bits), x)
     if a > 1:
-        tree = Tree(sets[:a], bits)
-        edges += walk(tree, tree, groups, 0, 0)
+        own = tree(sets[:a])
+        edges += walk(own, own, groups, 0, 0)
     if a < b < len(sets):
-        edges += [(i + a, j + b) for i, j in walk(Tree(sets[a:b], bits), Tree(sets[b:], bits), groups, a, b)]
+        edges += [(i + a, j + b) for i, j in walk(tree(sets[a:b]), tree(sets[b:]), groups, a, b)]
+    return [(int(nodes[i]), int(nodes[j])) for i, j in edges]
+
+
+def signature_bits(n: int) -> int:
+    return min(SIGNATURE, max(64, 1 << int(n - 1).bit_length()))
+
+
+def link_bitmaps(nodes: np.ndarray, n: np.ndarray, signatures: list[bytes]) -> list[tuple[int, int]]:
+    """Edges that connect the nodes as all pairs do whose bitmaps leave open that they are linked. Linked
+    sets' bitmaps are of one length or of one and its double."""
+    order = np.lexsort((nodes, n))
+    nodes, n, signatures = nodes[order], n[order], [signatures[k] for k in order]
+    lengths = np.array([len(x) for x in signatures])
+    groups, edges, before = Groups(np.arange(len(nodes))), [], None
+    for length in np.unique(lengths).tolist():
+        a, b = np.searchsorted(lengths, [length, length + 1]).tolist()
+        leaves = np.frombuffer(b"".join(signatures[a:b]), np.uint64).reshape(b - a, -1)
+        tree = Tree(n[a:b], leaves)
+        edges += [(i + a, j + a) for i, j in walk(tree, tree, groups, a, a)]
+        if before and before[2] * 2 == length:
+            half = leaves.shape[1] // 2
+            edges += [(i + before[0], j + a) for i, j in walk(before[1], Tree(n[a:b], leaves[:, :half] | leaves[:, half:]), groups, before[0], a)]
+        before = (a, tree, length)
     return [(int(nodes[i]), int(nodes[j])) for i, j in edges]
 
 
@@ -174,7 +213,7 @@ def _order(source: DataFrame) -> np.ndarray:
 
 def shingle_sets(documents: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, _a, _b (128 bits of the row), _s, _t (128 bits of the set), n, first (its first shingles in
-    a fixed order, so many that linked sets share one) per row of documents."""
+    a fixed order, so many that linked sets share one), signature (its bitmap) per row of documents."""
     source = documents.select("doc_id", *row_key(F.col("doc_id"), F.col(text)), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     shared = source.sparkSession.sparkContext.broadcast(_order(source))
 
@@ -182,7 +221,7 @@ def shingle_sets(documents: DataFrame, text: str = "text") -> DataFrame:
         last = shared.value
 
         def run(batch: pa.RecordBatch) -> dict:
-            out: dict[str, list] = {"_s": [], "_t": [], "n": [], "first": []}
+            out: dict[str, list] = {"_s": [], "_t": [], "n": [], "first": [], "signature": []}
             for t in batch.column("_text"):
                 own = np.unique(shingles(t.as_py(), SHINGLE))
                 late = np.zeros(len(own), bool)
@@ -192,22 +231,44 @@ def shingle_sets(documents: DataFrame, text: str = "text") -> DataFrame:
                 out["_s"].append(int(key[0]))
                 out["_t"].append(int(key[1]))
                 out["n"].append(len(own))
+                out["signature"].append(bitmaps([own], signature_bits(len(own))).tobytes() if len(own) else b"")
                 out["first"].append(own[np.argsort(late, kind="stable")][: len(own) - least_shared(len(own)) + 1 if len(own) else 0].view(np.int64))
             return {c: batch.column(c) for c in ("doc_id", "_a", "_b")} | out | {"first": pa.array(out["first"], pa.list_(pa.int64()))}
 
         return run
 
-    return map_batches(source, f"doc_id {dict(source.dtypes)['doc_id']}, _a long, _b long, _s long, _t long, n long, first array<long>", make)
+    return map_batches(source, f"doc_id {dict(source.dtypes)['doc_id']}, _a long, _b long, _s long, _t long, n long, first array<long>, signature binary", make)
 
 
 def neighbourhoods(nodes: DataFrame) -> DataFrame:
     """node, around (the neighbourhood), n, typical (the share of a node's first shingles that others
-    have) of nodes (node, n, first) that are not alone."""
+    have) of nodes (node, n, first, signature) that are not alone."""
     rows = nodes.select("node", F.explode("first").alias("key"))
     # Summed before they are dealt out: a hot shingle is one row of each task.
-    keys = rows.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("_most")).where("least < _most").drop("_most")
-    held = cut(rows.join(keys, "key").select("node", "least"), "held")
-    roots = components(held.select(F.col("node").alias("src"), F.col("least").alias("dst")).distinct())
+    keys = rows.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("_most"), F.count("*").alias("m")).where("least < _most").drop("_most")
+    held = cut(rows.join(keys, "key").select("node", "key", "least", "m"), "held")
+    edges = held.where(F.col("m") > CROWD).select(F.col("node").alias("src"), F.col("least").alias("dst"))
+    few = held.where(F.col("m") <= CROWD).join(nodes.select("node", "n", "signature"), "node").select("key", "node", "n", "signature")
+
+    def run(batches):
+        key, rest = None, []
+
+        def done() -> pa.RecordBatch:
+            edges = link_bitmaps(np.array([r[0] for r in rest], np.int64), np.array([r[1] for r in rest], np.int64), [r[2] for r in rest])
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in range(2)], ["src", "dst"])
+
+        for batch in batches:
+            for k, *r in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "n", "signature")), strict=True):
+                if k != key and rest:
+                    yield done()
+                    rest = []
+                key = k
+                rest.append(r)
+        if rest:
+            yield done()
+
+    near = few.repartition("key").sortWithinPartitions("key").mapInArrow(run, _EDGES)
+    roots = cut(components(edges.unionByName(near).distinct()), "around")
     share = held.groupBy("node").agg(F.count("*").alias("_keys"))
     sized = nodes.select("node", "n", F.size("first").alias("_first"))
     return cut(sized.join(share, "node").join(roots, "node").select("node", F.col("root").alias("around"), "n", (F.col("_keys") / F.col("_first")).alias("typical")), "near")
@@ -296,11 +357,12 @@ def jaccard_components(documents: DataFrame, text: str = "text") -> DataFrame:
     # A set is known by one of its rows; numbers are written once, so that they stay.
     nodes = rows.where("n > 0").groupBy("_s", "_t").agg(F.min(own).alias("least"), F.min(F.struct("_a", "_b")).alias("_row"), F.first("n").alias("n"))
     nodes = cut(nodes.select("*", "_row._a", "_row._b", F.monotonically_increasing_id().alias("node")).drop("_row"), "nodes")
-    first = rows.select("_a", "_b", "first").join(nodes.select("_a", "_b", "node", "n"), ["_a", "_b"]).groupBy("node").agg(F.first("n").alias("n"), F.first("first").alias("first"))
-    near = neighbourhoods(cut(first, "first"))
-    wanted = nodes.select("_a", "_b", "node").join(near.select("node"), "node", "left_semi")
+    own_row = nodes.select("_a", "_b", "node", "n")
+    near = neighbourhoods(cut(rows.select("_a", "_b", "first", "signature").join(own_row, ["_a", "_b"]).dropDuplicates(["_a", "_b"]).select("node", "n", "first", "signature"), "first"))
+    wanted = cut(own_row.select("_a", "_b", "node").join(near.select("node"), "node", "left_semi"), "wanted")
     texts = documents.select(*row_key(F.col("doc_id"), F.col(text)), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    texts = cut(texts.join(wanted, ["_a", "_b"]).select("node", "_text").dropDuplicates(["node"]), "texts")
+    # Most texts are alone: a filter keeps them from being dealt out.
+    texts = cut(bloom.narrowed_join(texts, wanted, ["_a", "_b"]).dropDuplicates(["_a", "_b"]).select("node", "_text"), "texts")
     roots = link_nodes(near, texts)
     at = nodes.select("_s", "_t", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = at.groupBy("root").agg(F.min("least").alias("component_id"))
