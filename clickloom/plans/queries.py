@@ -11,7 +11,7 @@ from clickloom.functions import basic_date, iso_date, kv_map, random_prefix, rem
 from clickloom.operators import ads, pages, products, sessions
 from clickloom.params import Params
 from clickloom.plans import jobs
-from clickloom.sources import readers, views
+from clickloom.sources import layout, readers, views
 from clickloom.sources.sinks import cut, scratch
 from clickloom.streaming import ads as stream
 from clickloom.streaming import state
@@ -189,6 +189,12 @@ def page_slices(spark, d):
     return pages.slices(_ranged(spark, d))
 
 
+@query("select * from slices")
+def page_slices_split(spark, d):
+    """The same with every session of more than 20 views dealt out by time."""
+    return pages.slices(_ranged(spark, d), most=20)
+
+
 @query("select * from slice_pv")
 def page_slice_counts(spark, d):
     return pages.slice_counts(pages.slices(_ranged(spark, d)), FLOW)
@@ -242,6 +248,32 @@ def session_detail(spark, d):
     return _details(spark, d)
 
 
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    name = scratch(spark, "visits")
+    return sessions.in_dates(layout.store_by_session(views.visits(spark, d), name.rsplit("/", 1)[1].replace("-", "_"), name, 16), PARAMS)
+
+
+@query("select * from summary")
+def stored_session_summary(spark, d):
+    """Over visits that lie by session: no exchange."""
+    return sessions.summarise(_stored(spark, d))
+
+
+@query("select * from slices")
+def stored_page_slices(spark, d):
+    """Over visits that lie by session: no exchange."""
+    rows = _stored(spark, d)
+    return pages.slices(rows)
+
+
+@query("select * from details")
+def stored_session_detail(spark, d):
+    """Over visits that lie by session: sessions are made, filtered and joined back without an exchange by session."""
+    rows = _stored(spark, d)
+    kept = sessions.keep_sessions(sessions.enrich(sessions.summarise(rows), views.user_info(spark, d)), Params(start_age=10, end_age=50, sex="male"))
+    return sessions.detail(rows, kept)
+
+
 @query("select * from counts")
 def session_buckets(spark, d):
     return sessions.bucket_counts(_kept(spark, d))

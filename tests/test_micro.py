@@ -14,7 +14,7 @@ from clickloom.functions import json_field, ratio, remove_random_prefix
 from clickloom.operators import ads, bloom, pages, products, sessions
 from clickloom.params import Params
 from clickloom.plans import jobs
-from clickloom.sources import readers
+from clickloom.sources import layout, readers
 from clickloom.sources.sinks import ChangeLog, GrowingSet, KeyedTable
 from clickloom.streaming import ads as stream
 from clickloom.streaming import state
@@ -115,6 +115,47 @@ def test_blacklist_over_batches(spark, tmp_path):
     assert {r.user_id for r in kept["blacklist"].read().collect()} == {1, 2}
 
 
+def test_hot_sessions_are_dealt_out(spark):
+    """A session of many views, one of them null, ties in time, and views without a session."""
+    rnd = random.Random(4)
+    rows = [("hot", rnd.choice([None, *range(6)]), f"2024-01-01 00:{rnd.randrange(60):02d}:00", i) for i in range(20_000)]
+    rows += [(None, rnd.randrange(6), "2024-01-01 00:00:00", i) for i in range(20_000, 21_500)]
+    rows += [(f"s{rnd.randrange(50)}", rnd.randrange(6), f"2024-01-01 00:00:{rnd.randrange(60):02d}", i) for i in range(30_000, 31_000)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "session_id string, page_id long, action_time string, event_id long").repartition(4)
+    want, before = Counter(), {}
+    for s, page, _, _ in sorted(rows, key=lambda r: r[2:]):
+        want[s, before.get(s), page] += 1
+        before[s] = page
+    got = pages.consecutive(df, most=1000)
+    assert Counter((r.session_id, r.from_page, r.to_page) for r in got.collect()) == want
+    assert Counter((r.session_id, r.from_page, r.to_page) for r in pages.consecutive(df).collect()) == want
+    flow = (1, 2, 3, 1)
+    assert pages.convert_rates(df, flow, most=1000).collect() == pages.convert_rates(df, flow).collect()
+    assert pages.consecutive(df.limit(0), most=1000).count() == 0
+
+
+def test_visits_by_session_need_no_exchange(spark, tmp_path):
+    """What goes by session runs on the stored buckets; another session can open them."""
+    rows = [visit(i, session=f"s{i % 40}", user=i % 7, page=i % 5, time=f"2024-01-01 00:{i % 60:02d}:00", keyword="kw" if i % 3 else None, category=i % 4) for i in range(800)]
+    plain = spark.createDataFrame(rows, VISIT).union(spark.createDataFrame([("2024-01-02", *visit(900 + i, session=f"s{i}")[1:]) for i in range(40)], VISIT))
+    stored = layout.store_by_session(plain, "visits_by_session", f"file://{tmp_path}/v", 8)
+    assert stored.columns == plain.columns and sorted(stored.collect(), key=repr) == sorted(plain.collect(), key=repr)
+    spark.createDataFrame([(u, "n", "n", 20 + u, "p", "c", "male") for u in range(5)], readers.USER_INFO).write.parquet(f"{tmp_path}/users")
+    users = spark.read.parquet(f"{tmp_path}/users")  # of a known small size: Spark broadcasts it
+
+    def results(v):
+        kept = sessions.keep_sessions(sessions.enrich(sessions.summarise(v), users), Params(start_age=1, end_age=22))
+        return [sessions.summarise(v), pages.slices(v), sessions.detail(v, kept), sessions.summarise(v).join(v, "session_id").select("session_id", "event_id", "step_length")]
+
+    for a, b in zip(results(stored), results(plain), strict=True):
+        assert sorted(a.collect(), key=repr) == sorted(b.collect(), key=repr)
+        exchanges = lambda d: d._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(session_id")
+        assert exchanges(a) == 0 and exchanges(b) > 0
+    assert layout.open_by_session(spark, "visits_again", f"file://{tmp_path}/v", VISIT, 8).count() == 840
+    assert exchanges(sessions.summarise(spark.table("visits_again"))) == 0
+
+
 def test_sample_of_a_hot_hour(spark):
     """The quota's lowest digests of every hour, with most sessions in one; only a slice is ranked."""
     rnd = random.Random(9)
