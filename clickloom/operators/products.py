@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clickloom.functions import concat_long_string, json_field
 from clickloom.operators.sessions import in_dates
+from clickloom.operators.skew import SHARE, salted_join
 from clickloom.params import Params
 
 
@@ -19,6 +20,11 @@ def with_cities(clicked: DataFrame, cities: DataFrame) -> DataFrame:
     return clicked.join(cities, "city_id").select("city_id", "city_name", "area", "product_id")
 
 
+def with_cities_salted(clicked: DataFrame, cities: DataFrame, share: float = SHARE) -> DataFrame:
+    """The same for more cities than can be broadcast: clicks of heavy cities are spread over tasks."""
+    return salted_join(clicked, cities, "city_id", share).select("city_id", "city_name", "area", "product_id")
+
+
 def area_counts(clicked: DataFrame) -> DataFrame:
     """area, product_id, click_count, city_infos: clicks and the distinct cities (id:name) of each.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from clickloom.functions import distinct_list, ratio, seconds_between, split_list
@@ -79,10 +79,25 @@ def within(column: Column, low: int, high: int | None) -> Column:
     return column >= low if high is None else column.between(low, high)
 
 
+def bucket_counters() -> list[Column]:
+    """Aggregates: session_count and the sessions in each bucket."""
+    named = [*((n, "visit_length", a, b) for n, a, b in LENGTHS), *((n, "step_length", a, b) for n, a, b in STEPS)]
+    return [F.count("*").alias("session_count"), *[F.count_if(within(F.col(c), a, b)).alias(n) for n, c, a, b in named]]
+
+
 def bucket_counts(sessions: DataFrame) -> DataFrame:
     """One row: session_count and the sessions in each bucket, in one aggregation."""
-    named = [*((n, "visit_length", a, b) for n, a, b in LENGTHS), *((n, "step_length", a, b) for n, a, b in STEPS)]
-    return sessions.agg(F.count("*").alias("session_count"), *[F.count_if(within(F.col(c), a, b)).alias(n) for n, c, a, b in named])
+    return sessions.agg(*bucket_counters())
+
+
+def write_counted(sessions: DataFrame, path: str) -> DataFrame:
+    """Write sessions and return bucket_counts of what was written: counted in passing, in the same pass.
+    Tasks that fail and run again count once."""
+    counters = bucket_counters()
+    seen = Observation()
+    sessions.observe(seen, *counters).write.parquet(path)
+    names = ["session_count", *[n for n, _, _ in (*LENGTHS, *STEPS)]]
+    return sessions.sparkSession.createDataFrame([tuple(seen.get[n] for n in names)], ", ".join(f"`{n}` long" for n in names))
 
 
 def bucket_ratios(counts: DataFrame) -> DataFrame:

@@ -7,20 +7,23 @@ from pyspark.sql import DataFrame, SparkSession
 from clickloom.operators import pages, products, sessions
 from clickloom.params import Params
 from clickloom.sources.readers import Catalog
-from clickloom.sources.sinks import cut
+from clickloom.sources.sinks import cut, scratch
 from clickloom.tasks import Job
 
 
 def session_job(visits: DataFrame, users: DataFrame, params: Params, total: int = 100) -> dict[str, DataFrame]:
     chosen = sessions.in_dates(visits, params)
     # Every result starts from these three, so that each is made once and the visits are read twice.
-    kept = cut(sessions.keep_sessions(sessions.enrich(sessions.summarise(chosen), users), params), "sessions")
+    passed = sessions.keep_sessions(sessions.enrich(sessions.summarise(chosen), users), params)
+    path = scratch(passed.sparkSession, "sessions")
+    counts = sessions.write_counted(passed, path)
+    kept = passed.sparkSession.read.schema(passed.schema).parquet(path)
     details = cut(sessions.detail(chosen, kept), "details")
     sampled = cut(sessions.sample(kept, total), "sample")
     top = sessions.top_categories(sessions.category_counts(details))
     ranked = sessions.top_sessions(sessions.category_session_counts(details), top)
     return {
-        "session_aggr_stat": sessions.statistics_row(sessions.bucket_counts(kept)),
+        "session_aggr_stat": sessions.statistics_row(counts),
         "session_random_extract": sampled,
         "session_detail": sessions.detail(details, sampled),
         "top_category": top,

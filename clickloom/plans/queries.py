@@ -11,7 +11,7 @@ from clickloom.functions import basic_date, iso_date, kv_map, random_prefix, rem
 from clickloom.operators import ads, pages, products, sessions
 from clickloom.params import Params
 from clickloom.plans import jobs
-from clickloom.sources import layout, readers, views
+from clickloom.sources import database, layout, readers, views
 from clickloom.sources.sinks import cut, scratch
 from clickloom.streaming import ads as stream
 from clickloom.streaming import state
@@ -174,6 +174,12 @@ def area_product_click_count(spark, d):
     return products.area_counts(_clicked(spark, d))
 
 
+@query("select * from area_counts")
+def area_product_click_count_salted(spark, d):
+    """The same where every city with a hundredth of the clicks is salted."""
+    return products.area_counts(products.with_cities_salted(products.clicks(views.visits(spark, d), PARAMS), views.city_info(spark, d), share=0.01))
+
+
 @query("select * from area_full")
 def area_full_product(spark, d):
     return _full(spark, d)
@@ -279,6 +285,12 @@ def session_buckets(spark, d):
     return sessions.bucket_counts(_kept(spark, d))
 
 
+@query("select * from counts")
+def session_buckets_in_passing(spark, d):
+    """Counted while the sessions are written."""
+    return sessions.write_counted(_kept(spark, d), scratch(spark, "counted"))
+
+
 @query(RATIOS)
 def session_bucket_ratio(spark, d):
     return sessions.bucket_ratios(sessions.bucket_counts(_kept(spark, d)))
@@ -511,11 +523,26 @@ def control_a_roundtrip(spark, d):
     return readers.read_control_a(spark, path, readers.USER_VISIT_ACTION)
 
 
+def _derby(spark: SparkSession) -> tuple[str, dict[str, str]]:
+    """Spark's embedded database, in the driver's memory: only where executors are in the driver."""
+    name = scratch(spark, "derby").rsplit("-", 1)[1]
+    return f"jdbc:derby:memory:{name};create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+
+
+@query("select date, province, city, ad_id, click_count from ad_stats")
+def jdbc_ad_stats(spark, d):
+    """Totals written to a database twice, as a repeated task does, and read back in ranges of ads. The
+    database has to run where executors reach it; here it is the driver's."""
+    url, options = _derby(spark)
+    rows = ads.stats(_ads(spark, d))
+    for _ in range(2):
+        database.replace_rows(rows, url, "ad_stat", 7, createTableColumnTypes="date VARCHAR(10), province VARCHAR(64), city VARCHAR(64)", **options)
+    return database.read_parts(spark, url, "ad_stat", "ad_id", 4, **options).drop("task_id")
+
+
 @query("select * from city_info")
 def jdbc_city_roundtrip(spark, d):
-    """Through Spark's embedded database, in memory of the driver: a handful of rows."""
-    name = scratch(spark, "derby").rsplit("-", 1)[1]
-    url = f"jdbc:derby:memory:{name};create=true"
-    views.city_info(spark, d).coalesce(1).write.format("jdbc").option("url", url).option("dbtable", "city_info").option("driver", "org.apache.derby.jdbc.EmbeddedDriver").option("createTableColumnTypes", "city_name VARCHAR(64), area VARCHAR(64)").save()
-    got = readers.read_jdbc(spark, url, "city_info", driver="org.apache.derby.jdbc.EmbeddedDriver")
-    return got.select(*[F.col(c.upper() if c.upper() in got.columns else c).alias(c) for c in ("city_id", "city_name", "area")])
+    """A table of a database, through Spark's embedded one."""
+    url, options = _derby(spark)
+    views.city_info(spark, d).write.format("jdbc").option("url", url).option("dbtable", "city_info").options(createTableColumnTypes="city_name VARCHAR(64), area VARCHAR(64)", **options).save()
+    return database.read_parts(spark, url, "city_info", "city_id", 4, **options)

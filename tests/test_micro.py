@@ -10,11 +10,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from clickloom.__main__ import main
-from clickloom.functions import json_field, ratio, remove_random_prefix
-from clickloom.operators import ads, bloom, pages, products, sessions
+from clickloom.functions import json_field, random_prefix, ratio, remove_random_prefix
+from clickloom.operators import ads, bloom, pages, products, sessions, skew
 from clickloom.params import Params
 from clickloom.plans import jobs
-from clickloom.sources import layout, readers
+from clickloom.sources import database, layout, readers
+from clickloom.sources.readers import read_jdbc
 from clickloom.sources.sinks import ChangeLog, GrowingSet, KeyedTable
 from clickloom.streaming import ads as stream
 from clickloom.streaming import state
@@ -156,6 +157,59 @@ def test_visits_by_session_need_no_exchange(spark, tmp_path):
     assert exchanges(sessions.summarise(spark.table("visits_again"))) == 0
 
 
+def test_only_heavy_keys_are_salted(spark):
+    """One city with 90 % of the clicks: spread over tasks, and the same rows as a plain join."""
+    clicks = [(1 if i % 10 else 2 + i % 400, i % 7) for i in range(6000)] + [(None, 1)] * 50
+    df = spark.createDataFrame(clicks, "city_id long, product_id long").repartition(3)
+    cities = spark.createDataFrame([(i, f"c{i}", "China East") for i in range(1, 300)] + [(1, "again", "China South"), (None, "none", "x")], "city_id long, city_name string, area string")
+    assert skew.heavy_keys(df, "city_id") == ["1"] and skew.heavy_keys(df.limit(0), "city_id") == []
+    assert set(skew.heavy_keys(df.select((F.col("product_id") * 10).alias("k")), "k", 0.1)) == {str(10 * i) for i in range(7)}
+    plain = sorted(products.with_cities(df, cities).collect())
+    assert sorted(products.with_cities_salted(df, cities).collect()) == plain and len(plain) > 10_000
+    assert sorted(products.with_cities_salted(df.where("city_id > 1"), cities, 0.9).collect()) == sorted(products.with_cities(df.where("city_id > 1"), cities).collect())
+    salted = skew.salted_join(df, cities, "city_id", salts=8)
+    assert salted.columns == ["city_id", "product_id", "city_name", "area"] and salted.where("city_id is null").count() == 0
+    spread = df.where("city_id = 1").select(random_prefix(F.col("city_id").cast("string"), 8, 1).alias("k")).groupBy("k").count().collect()
+    assert len(spread) == 8 and max(r["count"] for r in spread) < 5400 / 4
+
+
+def test_results_in_a_database(spark):
+    """A task that fails at any point and is repeated leaves one set of rows; others' rows stay."""
+    url = f"jdbc:derby:memory:t{random.randrange(10**9)};create=true"
+    options = {"driver": "org.apache.derby.jdbc.EmbeddedDriver", "createTableColumnTypes": "name VARCHAR(20)"}
+    rows = lambda n, name: spark.range(n).select(F.col("id").alias("k"), F.lit(name).alias("name")).repartition(3)
+    kept = lambda: sorted((r.task_id, r.k, r.name) for r in database.read_parts(spark, url, "result", "k", 3, driver=options["driver"]).collect())
+    database.replace_rows(rows(4, "a"), url, "result", 1, **options)
+    database.replace_rows(rows(2, "b"), url, "result", 2, **options)
+    broken = rows(4, "c").withColumn("name", F.when(F.col("k") < 3, F.col("name")).otherwise(F.raise_error(F.lit("no"))))
+    with pytest.raises(Exception):  # noqa: B017  fails while it writes
+        database.replace_rows(broken, url, "result", 1, **options)
+    assert kept() == [(1, k, "a") for k in range(4)] + [(2, k, "b") for k in range(2)]
+    with pytest.raises(Exception):  # noqa: B017  fails after it has deleted, before it inserts
+        database.statements(spark, url, 'DELETE FROM result WHERE "task_id" = 1', "INSERT INTO missing SELECT * FROM result")
+    assert len(kept()) == 6
+    for _ in range(2):
+        database.replace_rows(rows(3, "d"), url, "result", 1, **options)
+    assert kept() == [(1, k, "d") for k in range(3)] + [(2, k, "b") for k in range(2)]
+    parts = database.read_parts(spark, url, "result", "k", 3, driver=options["driver"])
+    assert parts.rdd.getNumPartitions() == 3 and database.read_parts(spark, url, "result", "task_id", 1, driver=options["driver"]).count() == 5
+    for batch in (0, 1, 1):  # a stream's changes, the last batch twice
+        database.upsert_rows(spark.createDataFrame([(batch, "x"), (9, f"b{batch}")], "k long, name string"), url, "latest", ["k"], batch, **options)
+    assert sorted(map(tuple, read_jdbc(spark, url, "latest", driver=options["driver"]).collect())) == [(0, "x"), (1, "x"), (9, "b1")]
+
+
+def test_counters_in_passing(spark, tmp_path):
+    """Counted while sessions are written, also with a task that fails once; in one pass over the input."""
+    rows = [(f"s{i}", i % 200, i % 70) for i in range(3000)]
+    df = spark.createDataFrame(rows, "session_id string, visit_length long, step_length long").repartition(5)
+    seen = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda x: seen.add(1) or x, "string")
+    got = sessions.write_counted(df.withColumn("session_id", count("session_id")), f"file://{tmp_path}/w")
+    assert got.collect() == sessions.bucket_counts(df).collect() and seen.value == 3000
+    assert spark.read.parquet(f"file://{tmp_path}/w").count() == 3000
+    assert sessions.write_counted(df.limit(0), f"file://{tmp_path}/e").first().session_count == 0
+
+
 def test_sample_of_a_hot_hour(spark):
     """The quota's lowest digests of every hour, with most sessions in one; only a slice is ranked."""
     rnd = random.Random(9)
