@@ -41,6 +41,9 @@ MEMORY = 1 << 26
 SIGNATURE = 1 << 14
 #: Sets that hold one first shingle and meet as bitmaps; of more, all are one neighbourhood.
 CROWD = 20_000
+#: Sets that hold one first shingle and are paired at once, where a tree would be hardly more than its
+#: leaves; rows of such sets that a task looks at together.
+FEW, ROWS = 32, 100_000
 #: Typical sets of a neighbourhood that go to all of its parts.
 TYPICAL = 16
 _EDGES = "src long, dst long"
@@ -129,7 +132,8 @@ def walk(s: Tree, t: Tree, groups: Groups, at: int, shift: int) -> list[tuple[in
 
     up(s)
     up(t)
-    stack = [(top, 0, 0)]
+    zero = np.zeros(1, np.int64)
+    stack = [(top, 0, 0)] if may_link(s, t, top, zero, zero)[0] else []
     while stack:
         level, a, b = stack.pop()
         sa, sb = s.span(level, a), t.span(level, b)
@@ -198,6 +202,59 @@ def link_bitmaps(nodes: np.ndarray, n: np.ndarray, signatures: list[bytes]) -> l
     return [(int(nodes[i]), int(nodes[j])) for i, j in edges]
 
 
+def open_pairs(n: np.ndarray, signatures: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the bitmaps of sets i and j, in order of n, leave open that they are linked."""
+    lengths = np.array([len(x) // 8 for x in signatures], np.int64)
+    row, bits = np.zeros(len(n), np.int64), {}
+    for length in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == length)
+        row[at] = np.arange(len(at))
+        bits[length] = np.frombuffer(b"".join([signatures[k] for k in at.tolist()]), np.uint64).reshape(len(at), length)
+    out = np.zeros(len(i), bool)
+    for length, a in bits.items():
+        for other in (length, 2 * length):
+            if other not in bits:
+                continue
+            those = np.flatnonzero((lengths[i] == length) & (lengths[j] == other))
+            for k in range(0, len(those), 50_000):
+                at = those[k : k + 50_000]
+                x, y = a[row[i[at]]], bits[other][row[j[at]]]
+                if other != length:
+                    y = y[:, :length] | y[:, length:]
+                small, large = n[i[at]], n[j[at]]
+                hidden = np.minimum(small - np.bitwise_count(x).sum(1, dtype=np.int64), large - np.bitwise_count(y).sum(1, dtype=np.int64))
+                shared = np.bitwise_count(x & y).sum(1, dtype=np.int64) + hidden
+                out[at] = (100 + LIKE) * shared >= LIKE * (small + large)
+    return out
+
+
+def link_rows(key: np.ndarray, node: np.ndarray, n: np.ndarray, signatures: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect the nodes of every key as all pairs do that their bitmaps leave open."""
+    order = np.lexsort((node, n, key))
+    key, node, n = key[order], node[order], n[order]
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+    sizes = np.diff(starts)
+    src, dst = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, b in zip(starts[:-1][sizes > FEW].tolist(), starts[1:][sizes > FEW].tolist(), strict=True):
+        edges = np.array(link_bitmaps(node[a:b], n[a:b], [signatures[k] for k in order[a:b].tolist()]), np.int64).reshape(-1, 2)
+        src.append(edges[:, 0])
+        dst.append(edges[:, 1])
+    # All others at once: each set with the next ones of its key, equal pairs once.
+    left, pairs = np.flatnonzero(np.repeat(sizes <= FEW, sizes)), [np.zeros((0, 2), np.int64)]
+    different, at = np.unique(node, return_index=True)
+    number = np.searchsorted(different, node)
+    for d in range(1, FEW):
+        left = left[left < len(key) - d]
+        left = left[(key[left] == key[left + d]) & (100 * n[left] >= LIKE * n[left + d])]
+        if not len(left):
+            break
+        pairs.append(np.stack([number[left], number[left + d]], 1))
+    i, j = np.unique(np.concatenate(pairs), axis=0).T
+    n, signatures = n[at], [signatures[k] for k in order[at].tolist()]
+    ok = open_pairs(n, signatures, np.where(n[i] <= n[j], i, j), np.where(n[i] <= n[j], j, i))
+    return np.concatenate([*src, different[i[ok]]]), np.concatenate([*dst, different[j[ok]]])
+
+
 def _order(source: DataFrame) -> np.ndarray:
     """Shingles that several of some rows hold, sorted by number: these come last."""
     share = max(ORDER_ROWS / max(source.count(), 1), ORDER_SHARE)
@@ -251,21 +308,24 @@ def neighbourhoods(nodes: DataFrame) -> DataFrame:
     few = held.where(F.col("m") <= CROWD).join(nodes.select("node", "n", "signature"), "node").select("key", "node", "n", "signature")
 
     def run(batches):
-        key, rest = None, []
+        rest: list[pa.RecordBatch] = []
 
-        def done() -> pa.RecordBatch:
-            edges = link_bitmaps(np.array([r[0] for r in rest], np.int64), np.array([r[1] for r in rest], np.int64), [r[2] for r in rest])
-            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in range(2)], ["src", "dst"])
+        def done(table: pa.Table) -> pa.RecordBatch:
+            key, node, n = (table.column(c).to_numpy() for c in ("key", "node", "n"))
+            return pa.RecordBatch.from_arrays(list(map(pa.array, link_rows(key, node, n, table.column("signature").to_pylist()))), ["src", "dst"])
 
         for batch in batches:
-            for k, *r in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "n", "signature")), strict=True):
-                if k != key and rest:
-                    yield done()
-                    rest = []
-                key = k
-                rest.append(r)
+            rest.append(batch)
+            if sum(b.num_rows for b in rest) >= ROWS:
+                table = pa.Table.from_batches(rest)
+                key = table.column("key").to_numpy()
+                # Rows come by key; those of the last one may go on.
+                end = int(np.searchsorted(key, key[-1]))
+                if end:
+                    yield done(table.slice(0, end))
+                rest = table.slice(end).to_batches()
         if rest:
-            yield done()
+            yield done(pa.Table.from_batches(rest))
 
     near = few.repartition("key").sortWithinPartitions("key").mapInArrow(run, _EDGES)
     roots = cut(components(edges.unionByName(near).distinct()), "around")
