@@ -28,7 +28,7 @@ from .common import cut
 #: a phrase's occurrences inside a longer one from which it is dropped.
 LEAST, LONGEST, BEST, INSIDE = 10, 3, 2000, 50
 #: Words of a block, bytes of a text that are split at once.
-BLOCK, SLICE = 1 << 20, 1 << 22
+BLOCK, SLICE = 1 << 20, 1 << 20
 #: Bits of the filter that a phrase has to pass to be extended. It is broadcast (8 MB); false positives
 #: are counted exactly and then dropped, so that a full filter costs time only.
 FILTER_BITS, HASHES = 1 << 26, 3
@@ -108,8 +108,9 @@ def invert(documents: DataFrame) -> DataFrame:
 
         def closed(b: Block) -> pa.RecordBatch:
             row = {"block": next(number)} | b.row()
-            types = {"block": pa.int64(), "skip": pa.int32(), "own": pa.list_(pa.int32()), "sizes": pa.list_(pa.int32())}
-            return pa.RecordBatch.from_arrays([pa.array([v], types.get(k)) for k, v in row.items()], list(row))
+            texts, numbers = pa.list_(pa.string()), pa.list_(pa.int32())
+            types = {"block": pa.int64(), "skip": pa.int32(), "langs": texts, "words": texts, "own": numbers, "sizes": numbers, "postings": pa.binary()}
+            return pa.RecordBatch.from_arrays([pa.array([v], types[k]) for k, v in row.items()], list(row))
 
         for batch in batches:
             for lang, text in zip(batch.column("lang"), batch.column("text"), strict=True):
