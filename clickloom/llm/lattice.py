@@ -66,8 +66,10 @@ def edge_counts(masks: DataFrame, labels: DataFrame) -> DataFrame:
     marks = labels.groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("long")).alias("_good"), F.max((F.col("toxic") == 1).cast("long")).alias("_toxic"))
     rows = masks.join(marks, "doc_id", "left")
     by_mask = rows.groupBy("part", "mask").agg(F.count("*").alias("_n"), F.coalesce(F.sum("_good"), F.lit(0)).alias("_good"), F.coalesce(F.sum("_toxic"), F.lit(0)).alias("_toxic"))
-    edges = F.explode(F.array(*[F.struct(F.lit(s).alias("applied"), F.lit(f).alias("filter")) for s, f in _edges()]))
-    at = by_mask.select("*", edges.alias("_e")).select("part", "mask", "_n", "_good", "_toxic", "_e.applied", "_e.filter")
+    edges = _edges()
+    applied, following = (F.lit([e[i] for e in edges]) for i in range(2))
+    at = by_mask.select("*", F.explode(F.sequence(F.lit(1), F.lit(len(edges)))).alias("_e"))
+    at = at.select("part", "mask", "_n", "_good", "_toxic", F.element_at(applied, F.col("_e")).alias("applied"), F.element_at(following, F.col("_e")).alias("filter"))
     earlier, fails = F.col("mask").bitwiseAND(F.col("applied")) != 0, F.col("mask").bitwiseAND(F.col("filter")) != 0
     total = lambda when, n="_n": F.sum(F.when(when, F.col(n)).otherwise(0))
     sums = dict(zip(COUNTS, (total(~earlier & ~fails), total(~earlier & fails), total(earlier & fails), total(~earlier & fails, "_good"), total(~earlier & fails, "_toxic")), strict=True))
