@@ -2,6 +2,7 @@
 repeated rows and columns whose names clash with the operators' own."""
 
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -12,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from clickloom.llm import anchors, bpe, chat, common, decontaminate, html, multiset, passages, pii, quality, queries, simhash, suffixes
+from clickloom.llm import anchors, bpe, chat, collocations, common, decontaminate, html, jaccard, lattice, multiset, passages, pii, quality, queries, simhash, suffixes
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, _key string, _id string, node string, fp string, hits string"
@@ -766,3 +767,211 @@ def test_bpe_keeps_any_columns(spark):
     df = spark.createDataFrame([(1, "a b", 7, "x", "y")], "doc_id long, text string, ids long, decoded string, _text string")
     got = bpe.encode_documents(df, path, keep=tuple(df.columns))
     assert got.columns == ["doc_id", "text", "_text", "ids", "decoded"] and got.first().ids == lib.encode("a b", add_special_tokens=False).ids
+
+
+def brute_collocations(rows, best=2000, least=10):
+    """Phrases of every language, counted word by word."""
+    f, n = Counter(), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", low):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            for k in (1, 2, 3):
+                for i in range(len(w) - k + 1):
+                    f[lang, tuple(w[i : i + k])] += 1
+    out = {}
+    for (lang, p), a in f.items():
+        if len(p) < 2 or a < least:
+            continue
+        longer = [b for (other, q), b in f.items() if other == lang and len(q) == 3 and len(p) == 2 and p in (q[:2], q[1:]) and b >= least]
+        if any(100 * b >= 50 * a for b in longer):
+            continue
+        score, _, left, right = min((1_000_000 * a * a // (f[lang, p[:k]] * f[lang, p[k:]]), k, f[lang, p[:k]], f[lang, p[k:]]) for k in range(1, len(p)))
+        out.setdefault(lang, []).append((-score, -a, " ".join(p).encode(), left, right))
+    return {(lang, i + 1, p.decode(), -a, left, right, n[lang], -score) for lang, found in out.items() for i, (score, a, p, left, right) in enumerate(sorted(found)[:best])}
+
+
+@pytest.mark.parametrize("block", [1 << 20, 97, 3])
+def test_collocations(spark, monkeypatch, block):
+    """Nulls, pieces, overlaps, repeated rows, ties, long texts, languages, clashing columns; blocks that
+    cut texts anywhere, and a filter that lets everything through."""
+    monkeypatch.setattr(collocations, "BLOCK", block)
+    monkeypatch.setattr(collocations, "SLICE", 50 if block < 100 else 1 << 20)
+    monkeypatch.setattr(collocations, "FILTER_BITS", 64 if block == 3 else 1 << 20)
+    rnd = random.Random(3)
+    words = ["New", "york", "é", "a", "İb", "x\u00a0y", "ab\x00", "the", "of", "\x1c"]
+    say = lambda n: "".join(rnd.choice(words) + rnd.choice([" ", " ", "\t", "  ", ". ", ",", "\n", "\x0b", "; "]) for _ in range(n))
+    rows = [(rnd.choice(["en", "en", "de", None, ""]), say(rnd.randrange(60))) for _ in range(60)]
+    rows += [("en", "new york city " * 12), ("en", "a a a a a a a a a a a a a"), ("en", None), (None, ""), ("en", " ,.\n"), ("und", "new york")] + [("fr", "le chat noir. le chat")] * 11
+    rows += [("es", "uno dos " * 900)] if block > 3 else []
+    df = spark.createDataFrame([(a, b, "b", 1, 2) for a, b in rows], "lang string, text string, word string, block long, id long").repartition(3)
+    got = collocations.collocations(df)
+    assert [t for _, t in got.dtypes] == ["string", "bigint", "string", *["bigint"] * 5]
+    assert {tuple(r) for r in got.collect()} == brute_collocations(rows)
+    if block > 100:
+        monkeypatch.setattr(collocations, "BEST", 3)
+        assert {tuple(r) for r in collocations.collocations(df).collect()} == brute_collocations(rows, 3)
+        assert collocations.collocations(df.limit(0)).count() == 0 and collocations.collocations(df.where("text is null")).count() == 0
+
+
+def test_collocation_scores_are_exact(spark):
+    big = 10**15 + 7
+    rows = [(3, 5, 7), (10, 10, 10), (10**12, 10**12 + 1, 10**12 + 3), (big - 1, big, big), (1, big, big)]
+    got = spark.createDataFrame(rows, "a long, l long, r long").select("a", "l", "r", collocations._score(F.col("a"), F.col("l"), F.col("r")).alias("s")).collect()
+    assert [r.s for r in got] == [10**6 * a * a // (x * y) for a, x, y in rows]
+
+
+def brute_jaccard(rows):
+    sets, parent = [], list(range(len(rows)))
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if w else set())
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if a and sets[j] and 100 * both >= 85 * (len(a) + len(sets[j]) - both):
+                parent[find(i)] = find(j)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(least.get(find(k), i), i)
+    return sorted((-1 if i is None else i, len(sets[k]), -1 if (c := least.get(find(k))) is None else c) for k, (i, _) in enumerate(rows))
+
+
+def near_copies(rnd):
+    """Groups of copies with some words changed, around the likeness asked for; chains; one large group."""
+    out = []
+    for g in range(14):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(rnd.choice([4, 9, 30, 120, 700]))]
+        for c in range(6):
+            w = list(base)
+            for _ in range(rnd.randint(0, max(1, len(base) // 45))):
+                w[rnd.randrange(len(w))] = f"new{rnd.randrange(10**6)}"
+            out.append((1000 + g * 10 + c, " ".join(w)))
+    base = [f"h{i}" for i in range(110)]
+    for c in range(60):
+        w = list(base)
+        w[rnd.randrange(len(w))] = f"x{c}"
+        if c % 2:
+            w[rnd.randrange(len(w))] = f"y{c}"
+        out.append((3000 + c, " ".join(w)))
+    chain = [f"c{i}" for i in range(200)]
+    for c in range(12):
+        chain[c * 15] = f"z{c}"
+        out.append((5000 + c, " ".join(chain)))
+    return out
+
+
+@pytest.mark.parametrize(("part", "crowd"), [(1 << 21, 20_000), (1500, 20_000), (1500, 3)])
+def test_jaccard_join(spark, rows, monkeypatch, part, crowd):
+    """Also with neighbourhoods dealt out in parts, and with shingles that too many share to meet by them."""
+    monkeypatch.setattr(jaccard, "PART", part)
+    monkeypatch.setattr(jaccard, "CROWD", crowd)
+    rnd = random.Random(12)
+    table = rows + near_copies(rnd)
+    table += [(table[0][0], "one id with another text than it has"), (None, table[25][1]), (None, "nobody else says this at all"), (7000, "A B c"), (7001, "a b C"), (7002, "a b"), (7003, None), (7003, None)]
+    df = spark.createDataFrame([(i, t, 1, 2, "r") for i, t in table], "doc_id long, text string, node long, _a long, root string").repartition(3)
+    found = jaccard.jaccard_components(df)
+    assert [t for _, t in found.dtypes] == ["bigint"] * 3
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in found.collect())
+    assert got == [(i, n, i if not n else c) for i, n, c in brute_jaccard(table)]
+    if crowd == 3:
+        assert jaccard.jaccard_components(df.limit(0)).count() == 0
+        assert [tuple(r) for r in jaccard.jaccard_components(df.where("doc_id >= 7003")).collect()] == [(7003, 0, 7003)] * 2
+
+
+def test_signature_trees_prune_and_miss_nothing():
+    """The links of all pairs, from far fewer comparisons; a large group of copies costs one for each."""
+    rnd = np.random.default_rng(2)
+    sets = [np.unique(rnd.integers(0, 2**63, rnd.integers(1, 300)).astype(np.uint64)) for _ in range(300)]
+    for s in sets[:60]:  # near copies
+        sets.append(np.unique(np.concatenate([s[: max(1, int(len(s) * 0.9))], rnd.integers(0, 2**63, max(0, len(s) // 20)).astype(np.uint64)])))
+    nodes = np.arange(len(sets))
+    compared = []
+    real, jaccard.linked = jaccard.linked, lambda a, b: compared.append(1) or real(a, b)
+    try:
+        edges = jaccard.link_sets(nodes, sets, nodes, np.zeros(len(sets), np.int64))
+        assert len(compared) < 400
+        compared.clear()
+        same = [np.unique(np.concatenate([sets[0], [np.uint64(k)]])) for k in range(500)]
+        assert len(jaccard.link_sets(np.arange(500), same, np.arange(500), np.zeros(500, np.int64))) == 499 and len(compared) < 1500
+    finally:
+        jaccard.linked = real
+    want = [(i, j) for i in range(len(sets)) for j in range(i) if real(sets[i], sets[j])]
+
+    def roots(pairs):
+        parent = list(range(len(sets)))
+        for i, j in pairs:
+            while parent[i] != i:
+                i = parent[i]
+            while parent[j] != j:
+                j = parent[j]
+            parent[max(i, j)] = min(i, j)
+        out = []
+        for i in range(len(sets)):
+            while parent[i] != i:
+                i = parent[i]
+            out.append(i)
+        return out
+
+    assert roots(edges) == roots(want) and len(want) > 40
+    signatures = [jaccard.bitmaps([s], jaccard.signature_bits(len(s))).tobytes() for s in sets]
+    loose = roots(jaccard.link_bitmaps(nodes, np.array([len(s) for s in sets]), signatures))
+    assert all(loose[i] == loose[j] for i, j in want)
+
+
+def brute_audit(docs, labels):
+    first = {}
+    for i, t, _ in docs:
+        if i is not None:
+            first[t or ""] = min(first.get(t or "", i), i)
+    marks = {}
+    for i, q, x in labels:
+        good, toxic = marks.get(i, (0, 0))
+        marks[i] = (max(good, int(q == 1)), max(toxic, int(x == 1)))
+    fails = []
+    for i, t, s in docs:
+        t = t or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        f = {"A"} if len(w) < 50 else set()
+        f |= {"B"} if 100 * len(set(w)) < 65 * len(w) else set()
+        f |= {"C"} if 100 * sum("A" <= c <= "Z" for c in t) > 5 * len(t) else set()
+        f |= {"D"} if any(c in "#$%&*|" for c in t) else set()
+        f |= {"E"} if i is not None and first[t] < i else set()
+        fails.append((s or "", f, *(marks.get(i, (0, 0)) if i is not None else (0, 0))))
+    rows, shapley = [], Counter()
+    for part in {p for p, *_ in fails}:
+        own = [x for x in fails if x[0] == part]
+        for order in itertools.permutations("ABCDE"):
+            for k, x in enumerate(order):
+                gone = set(order[:k])
+                here = [d for d in own if x in d[1] and not d[1] & gone]
+                shapley[part, x] += len(here)
+                rows.append((part, "".join(order), k + 1, sum(not d[1] & (gone | {x}) for d in own), len(here), sum(x in d[1] and bool(d[1] & gone) for d in own), sum(d[1] == {x} for d in own), sum(d[2] for d in here), sum(d[3] for d in here)))
+    return sorted((*r, shapley[r[0], r[1][r[2] - 1]]) for r in rows)
+
+
+def test_filter_audit(spark):
+    rnd = random.Random(8)
+    say = lambda n: " ".join(rnd.choice(["Ab", "cd", "e", "É", "x#", "FG"]) + str(rnd.randrange(9 if rnd.random() < 0.3 else 10**5)) for _ in range(n))
+    texts = [say(rnd.choice([1, 49, 50, 80])) for _ in range(25)] + [None, "", " \n", "plain " * 60, "a|b", "\u00c0" * 60, say(4000)]
+    docs = [(rnd.randrange(60), rnd.choice(texts), rnd.choice(["s1", "s2", None, "", "s3"])) for _ in range(120)]
+    docs += [docs[0], docs[0], (None, docs[1][1], "s1"), (None, "only here", "s4")]
+    labels = [(rnd.randrange(70), rnd.choice([0, 1, None]), rnd.choice([0, 1, None])) for _ in range(60)] + [(None, 1, 1)]
+    d = spark.createDataFrame([(*r, "p", 1, 2) for r in docs], "doc_id long, text string, source string, part string, mask int, quality int").repartition(3)
+    x = spark.createDataFrame([(*r, "t") for r in labels], "doc_id long, quality int, toxic int, source string")
+    got = lattice.audit(d, x)
+    assert sorted(map(tuple, got.collect())) == brute_audit(docs, labels)
+    assert [t for _, t in got.dtypes] == ["string", "string", "int", *["bigint"] * 7]
+    assert lattice.audit(d.limit(0), x).count() == 0 and lattice.audit(d, x.limit(0)).agg(F.sum("good_lost")).first()[0] == 0
+    assert sorted(map(tuple, lattice.audit(d, x.limit(0)).collect())) == brute_audit(docs, [])
+    edges = lattice.edge_counts(lattice.failure_masks(d), x)
+    assert {r["count"] for r in edges.groupBy("part").count().collect()} == {80}
