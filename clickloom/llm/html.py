@@ -45,7 +45,10 @@ BLOCK = frozenset(
 CONTAINERS = frozenset("html body main article section div center td".split())
 CLOSED_BY_BLOCK = frozenset({"p"})
 LEFT_OUT = frozenset("nav footer aside form menu button dialog header head label fieldset".split()) | RAW
-# Words in class, id or role that mark what is not main text, plainly or perhaps.
+# Elements that hold a piece of running text; words in class, id or role that mark what is
+# not main text, plainly or perhaps. Plain ones count as whole names of other elements; as parts of a
+# name (share-price), or on a piece of running text, they are votes like the others.
+RUNNING = frozenset("p blockquote figure figcaption h1 h2 h3 h4 h5 h6 pre li dd dt td th".split())
 PLAIN_MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promoted promotion sidebar nav navbar navigation breadcrumb breadcrumbs masthead topbar cookie cookies consent popup modal overlay newsletter subscribe signup share sharing social recommended comment comments reply replies disqus login toolbar pagination pager complementary contentinfo".split()
 )
@@ -75,7 +78,7 @@ class Page:
     def __init__(self, html: str):
         self.blocks: list[Block] = []
         self.paths: Counter[str] = Counter()
-        self.stack: list[tuple[str, str, bool, str]] = [("", "", False, "")]
+        self.stack: list[tuple[str, str, bool, str, bool]] = [("", "", False, "", False)]
         self.parts: list[str] = []
         self.links = 0
         at = 0
@@ -98,14 +101,14 @@ class Page:
     def say(self, text: str) -> None:
         if text:
             self.parts.append(text)
-            if any(e[0] == "a" for e in self.stack[-4:]):
+            if self.stack[-1][4]:
                 self.links += len(text)
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join(entities.unescape("".join(self.parts)).split())
             if text:
-                _, path, out, doubt = self.stack[-1]
+                _, path, out, doubt, _ = self.stack[-1]
                 self.blocks.append(Block(path, text, out, doubt, min(self.links, len(text))))
             self.parts, self.links = [], 0
 
@@ -128,6 +131,7 @@ class Page:
                 if self.stack[k][0] in ("ul", "ol", "dl", "table", "menu", "select"):
                     break
         marks: set[str] = set()
+        plain = False
         label, gone = name, False
         for a in ATTRIBUTE.finditer(attributes) if attributes else ():
             key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
@@ -136,25 +140,28 @@ class Page:
             if key == "hidden" or key == "aria-hidden" and value == "true":
                 gone = True
             elif key != "aria-hidden":
-                marks.update(w for v in value.split() for w in SPLIT_MARK.split(v.lower()))
-        _, path, out, doubt = self.stack[-1]
+                names = value.split()
+                marks.update(w for v in names for w in SPLIT_MARK.split(v.lower()))
+                plain = plain or name not in RUNNING and not PLAIN_MARKS.isdisjoint(v.lower() for v in names)
+        _, path, out, doubt, linked = self.stack[-1]
         path = f"{path}>{label}"
         self.paths[path] += 1
         if name in VOID or attributes.endswith("/") and name not in BLOCK | RAW:
             return False
         if name in ("article", "main", "body", "html"):
             marks &= OF_READERS
-        out = out or gone or name in LEFT_OUT or bool(marks & PLAIN_MARKS)
-        doubt = doubt or (path if marks & MARKS else "")
-        if name in RAW or (out, doubt) != self.stack[-1][2:]:
+            plain = plain and not PLAIN_MARKS.isdisjoint(marks)
+        out = out or gone or name in LEFT_OUT or plain
+        doubt = doubt or (path if marks & (MARKS | PLAIN_MARKS) else "")
+        if name in RAW or (out, doubt) != self.stack[-1][2:4]:
             self.flush()
-        self.stack.append((name, path, out, doubt))
+        self.stack.append((name, path, out, doubt, linked or name == "a"))
         return True
 
     def close(self, name: str) -> None:
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k][0] == name:
-                if name in BLOCK or self.stack[k][2:] != self.stack[k - 1][2:]:
+                if name in BLOCK or self.stack[k][2:4] != self.stack[k - 1][2:4]:
                     self.flush()
                 del self.stack[k:]
                 return
@@ -301,8 +308,19 @@ def host_template(classes: list[dict]) -> tuple[str, list[str], list[str]]:
     the classes around theirs are opened once too."""
     by_id = {c["class_id"]: c for c in classes}
 
-    def once(c: dict | None, depth: int = 0) -> bool:
-        return c is None or c["n"] == c["pages"] and depth < 64 and (c["parent_id"] == c["class_id"] or once(by_id.get(c["parent_id"]), depth + 1))
+    known: dict[int, bool] = {}
+
+    def once(c: dict) -> bool:
+        """Whether a class is opened once on each of its pages, and all those around it."""
+        chain: list[int] = []
+        while c is not None and c["class_id"] not in known and c["class_id"] not in chain[-1:]:
+            chain.append(c["class_id"])
+            known[c["class_id"]] = c["n"] == c["pages"]
+            c = by_id.get(c["parent_id"])
+        whole = c is None or known[c["class_id"]]
+        for i in reversed(chain):
+            whole = known[i] = known[i] and whole
+        return whole
 
     weights, opened, doubted, texts = Counter(), [], [], []
     for c in classes:

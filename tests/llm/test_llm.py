@@ -523,6 +523,28 @@ def test_html_slots_by_classes(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_html_names_inside_the_article():
+    """Words in the names of an article's own elements do not cut its text; whole names of others do."""
+    body = " ".join(f"word{i}" for i in range(60))
+    kept = ["<p class='share-price'>the price</p>", "<p id='social-policy'>the policy</p>", "<div class='ad-hoc'>the committee</div>", "<section class='subscribe-model'>the model</section>", "<blockquote class=promoted>the quote</blockquote>"]
+    page = html.Page(f"<html><body><article><p>{body}</p>{''.join(kept)}<div class='ad'>buy</div><div class='promo big'>now</div></article></body></html>")
+    slot = html.densest(Counter({b.path: len(b.text) for b in page.blocks}), list(page.paths))
+    text = html.main_text(page, slot, frozenset(), frozenset())
+    assert all(re.sub("<[^>]*>", "", k) in text for k in kept) and "buy" not in text and "now" not in text
+
+
+def test_html_links_and_classes_at_any_depth():
+    page = html.Page("<p>x <a href=y><b><i><u><em><strong>deep</strong></em></u></i></b> link</a> after</p>")
+    assert [(b.text, b.links) for b in page.blocks] == [("x deep link after", 9)]
+    path, classes = "", []
+    for i in range(3000):
+        path += f">div.c{i}"
+        classes.append({"class_id": i, "parent_id": max(0, i - 1), "pages": 4, "n": 4, "tokens": [{"token": path, "chars": 5 if i == 2999 else 0, "doubt": False}]})
+    assert html.host_template(classes)[0] == path
+    classes[7]["n"] = 9  # opened more than once: nothing inside it bounds a slot
+    assert html.host_template(classes)[0].count(">") == 7
+
+
 def test_html_single_pages(spark):
     real = "<div id=main><p>The real story.</p></div><article>Teaser</article>"
     cases = [real, '<article><p>One story.</p><section class="menu">The soup and the bread.</section><p class="notice">Closed.</p></article>', "<article>a<math>x</math></article>", ""]
