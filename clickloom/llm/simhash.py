@@ -255,10 +255,27 @@ def _sets(source: DataFrame) -> DataFrame:
     return map_batches(source, f"_a long, _b long, doc_id {dict(source.dtypes)['doc_id']}, node long, fp long, n long, prefix array<long>", make)
 
 
+def _strays(n: np.ndarray, at: np.ndarray, root: np.ndarray):
+    """Places (i, j) of one shingle's nodes, in order of n, that have different roots and may be
+    SIMILARITY alike, in parts. Nodes of the most frequent root are not paired among themselves: large
+    groups of copies, which have one root by now, cost nothing but a look at each node."""
+    different, own, often = np.unique(root, return_inverse=True, return_counts=True)
+    main = own == np.argmax(often)
+    for i in np.flatnonzero(~main).tolist() if len(different) > 1 else ():
+        low, high = np.searchsorted(n, [SIMILARITY * n[i] - 1e-9, n[i] / SIMILARITY + 1e-9])
+        j = np.arange(low, high)
+        # Two strays meet once.
+        j = j[(root[j] != root[i]) & (main[j] | (j > i))]
+        room = np.minimum(n[i] - at[i], n[j] - at[j])
+        j = j[room >= SIMILARITY / (1 + SIMILARITY) * (n[i] + n[j]) - 1e-6]
+        if len(j):
+            yield np.full(len(j), i), j
+
+
 def _pairs(rows: DataFrame, parts: int, all_pairs: bool) -> DataFrame:
-    """a, b, key of rows (key, node, n, at, root): nodes that share a shingle, have different roots and
-    may be SIMILARITY alike by their numbers of shingles and the places of the shared one. Unless
-    all_pairs, more than SMALL nodes are paired with neighbours only, and the key is given."""
+    """a, b, key of rows (key, node, n, at, root): nodes that share a shingle and may be SIMILARITY alike
+    by their numbers of shingles and the places of the shared one. With all_pairs, those of different
+    roots; else more than SMALL nodes are paired with neighbours only, and the key is given."""
 
     def run(batches):
         whole = [[c.to_numpy() for c in b.columns] for b in batches]
@@ -267,10 +284,16 @@ def _pairs(rows: DataFrame, parts: int, all_pairs: bool) -> DataFrame:
         key, node, n, at, root = key[order], node[order], n[order], at[order], root[order]
         starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1]) if len(key) else np.zeros(0, np.int64)
         sizes = np.diff(np.concatenate([starts, [len(key)]]))
-        large = np.zeros(len(key), bool) if all_pairs else np.repeat(sizes > SMALL, sizes)
+        large = np.repeat(sizes > SMALL, sizes)
         named = np.zeros(0, np.int64) if all_pairs else key[starts[sizes > SMALL]]
         empty = pa.nulls(len(named), pa.int64())
         yield pa.RecordBatch.from_arrays([empty, empty, pa.array(named, pa.int64())], ["a", "b", "key"])
+        if all_pairs:
+            for k, size in zip(starts.tolist(), sizes.tolist(), strict=True):
+                for i, j in _strays(n[k : k + size], at[k : k + size], root[k : k + size]):
+                    pairs = np.unique(np.stack([np.minimum(node[k + i], node[k + j]), np.maximum(node[k + i], node[k + j])]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.nulls(pairs.shape[1], pa.int64())], ["a", "b", "key"])
+            return
         left = np.arange(len(key))
         for d in range(1, len(key)):
             left = left[left < len(key) - d]
@@ -284,7 +307,7 @@ def _pairs(rows: DataFrame, parts: int, all_pairs: bool) -> DataFrame:
             i, j = left, left + d
             # The first shared shingle of a pair leaves room for all that it must share.
             room = np.minimum(n[i] - at[i], n[j] - at[j])
-            found = (root[i] != root[j]) & (room >= SIMILARITY / (1 + SIMILARITY) * (n[i] + n[j]) - 1e-6)
+            found = room >= SIMILARITY / (1 + SIMILARITY) * (n[i] + n[j]) - 1e-6
             i, j = i[found], j[found]
             if len(i):
                 pairs = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]), axis=1)

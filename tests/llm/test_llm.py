@@ -6,6 +6,7 @@ import itertools
 import os
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -119,6 +120,24 @@ def test_near_copies_by_similarity(spark, rows, monkeypatch, small):
     assert simhash.keep_similar(odd.limit(0)).count() == 0
 
 
+def test_one_root_is_not_paired(spark):
+    """Strays of a shingle's group meet all others that can be alike; copies of one root cost no pairs."""
+    rnd = np.random.default_rng(3)
+    n, at = np.sort(rnd.integers(20, 60, 400)), rnd.integers(0, 6, 400)
+    for roots in (np.zeros(400, np.int64), np.where(rnd.random(400) < 0.9, 7, rnd.integers(0, 5, 400)), np.arange(400)):
+        got = {(int(min(a, b)), int(max(a, b))) for i, j in simhash._strays(n, at, roots) for a, b in zip(i, j, strict=True)}
+        want = {(i, j) for i in range(400) for j in range(i + 1, 400) if roots[i] != roots[j] and n[i] >= 0.8 * n[j] - 1e-9 and min(n[i] - at[i], n[j] - at[j]) >= 0.8 / 1.8 * (n[i] + n[j]) - 1e-6}
+        assert got == want
+    began = time.perf_counter()
+    assert not list(simhash._strays(np.full(1_000_000, 50), np.zeros(1_000_000, np.int64), np.zeros(1_000_000, np.int64)))
+    assert time.perf_counter() - began < 20
+    # A thousand near copies of one text, a hot shingle in all of them, and strays beside them.
+    base = [f"w{i}" for i in range(300)]
+    table = [(k, " ".join([*base[: k % 40], f"x{k}", *base[k % 40 + 1 :]])) for k in range(1000)] + [(2000 + k, " ".join(base[:5] + [f"s{k}_{i}" for i in range(60)])) for k in range(30)]
+    kept = simhash.keep_similar(spark.createDataFrame(table, "doc_id long, text string").repartition(4))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, *range(2000, 2030)]
+
+
 def test_simhash_chains_and_hot_groups(spark, monkeypatch):
     monkeypatch.setattr(simhash, "GROUP", 40)
     rnd = random.Random(1)
