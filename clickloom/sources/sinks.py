@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,21 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def _create(spark: SparkSession, path: str) -> bool:
+    """Whether this call created the file: false if it is there, whoever else creates it at the same time."""
+    p, fs = _fs(spark, path)
+    fs.mkdirs(p.getParent())
+    if fs.getScheme() == "file":  # a local folder's own create would look first and then write
+        return bool(spark._jvm.java.io.File(p.toUri().getPath()).createNewFile())
+    try:
+        fs.create(p, False).close()
+    except Py4JJavaError:
+        if fs.exists(p):
+            return False
+        raise
+    return True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder for intermediate tables, under spark.checkpoint.dir (or, in local mode
     only, /tmp/checkpoints), which all executors share. It goes when the application ends."""
@@ -68,7 +84,12 @@ class KeyedTable:
 
     def _names(self, path: str, prefix: str) -> list[str]:
         p, fs = _fs(self.spark, path)
-        return [n.removeprefix(prefix) for f in (fs.listStatus(p) if fs.exists(p) else ()) if (n := f.getPath().getName()).startswith(prefix)]
+        try:
+            return [n.removeprefix(prefix) for f in (fs.listStatus(p) if fs.exists(p) else ()) if (n := f.getPath().getName()).startswith(prefix)]
+        except Py4JJavaError:
+            if fs.exists(p):
+                raise
+            return []  # another writer removed it meanwhile
 
     def versions(self) -> list[int]:
         """Numbers of the batches that are written whole."""
@@ -77,11 +98,13 @@ class KeyedTable:
 
     def _parts(self, before: int | None = None) -> dict[str, list[int]]:
         """Versions of each part, in order."""
+        return self._kept({v: self._names(f"{self.path}/v={v}", "_part=") for v in self.versions() if before is None or v < before})
+
+    def _kept(self, listed: dict[int, list[str]]) -> dict[str, list[int]]:
         found: dict[str, list[int]] = {}
-        for v in self.versions():
-            if before is None or v < before:
-                for p in self._names(f"{self.path}/v={v}", "_part="):
-                    found.setdefault(p, []).append(v)
+        for v, names in listed.items():
+            for p in names:
+                found.setdefault(p, []).append(v)
         names = sorted(found)
         return {p: found[p] for p in (names[-self.keep :] if self.keep else names)}
 
@@ -98,24 +121,33 @@ class KeyedTable:
         # Only characters that no file system writes in another way.
         return F.coalesce(F.regexp_replace(F.col(self.part).cast("string"), "[^A-Za-z0-9-]", "_"), F.lit("none")).alias("_part") if self.part else F.lit("all").alias("_part")
 
-    def write(self, df: DataFrame, batch: int, exclusive: bool = False) -> None:
+    def claim(self) -> int:
+        """A batch number that no other writer has or gets: a file of that name is created, which only one
+        writer can do. A number whose writer fails stays unused."""
+        taken = [*self.versions(), *map(int, self._names(f"{self.path}/claims", ""))]
+        number = max(taken, default=-1) + 1
+        while not _create(self.spark, f"{self.path}/claims/{number}"):
+            number += 1
+        return number
+
+    def write(self, df: DataFrame, batch: int) -> None:
         columns = self.spark.createDataFrame([], self.schema).columns
-        out = df.select(*columns, self._part()).write.partitionBy("_part")
-        out.mode("error" if exclusive else "overwrite").parquet(f"{self.path}/v={batch}")
-        kept = self._parts()
-        for v in self.versions()[:-1]:
-            names = self._names(f"{self.path}/v={v}", "_part=")
+        df.select(*columns, self._part()).write.partitionBy("_part").mode("overwrite").parquet(f"{self.path}/v={batch}")
+        # Only what one listing shows is judged: other writers may add versions meanwhile.
+        listed = {v: self._names(f"{self.path}/v={v}", "_part=") for v in self.versions()}
+        kept = self._kept(listed)
+        for v, names in list(listed.items())[:-1]:
             old = [p for p in names if p not in kept or v in kept[p][:-2]]
             # A version none of whose parts are left goes whole.
             for path in [f"{self.path}/v={v}"] if len(old) == len(names) else [f"{self.path}/v={v}/_part={p}" for p in old]:
                 p, fs = _fs(self.spark, path)
                 fs.delete(p, True)
 
-    def replace(self, df: DataFrame, batch: int, keys: list[str] | None = None, exclusive: bool = False) -> None:
+    def replace(self, df: DataFrame, batch: int, keys: list[str] | None = None) -> None:
         """Rows of df in place of all rows with the same keys."""
         keys = keys or self.keys
         old = self.read(batch, self._touched(df)).join(df.select(*keys).distinct(), keys, "left_anti")
-        self.write(old.unionByName(df), batch, exclusive)
+        self.write(old.unionByName(df), batch)
 
     def add(self, df: DataFrame, batch: int, value: str) -> DataFrame:
         """The value of df's rows added to that of the rows with the same keys. Returns the parts that

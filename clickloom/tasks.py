@@ -6,7 +6,6 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from clickloom.params import Params
@@ -40,7 +39,7 @@ class TaskStore:
     """Tasks in a keyed table."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.table = spark, KeyedTable(spark, path, SCHEMA, ["id"], None)
+        self.spark, self.table = spark, KeyedTable(spark, path, SCHEMA, ["id"], "id")
 
     def all(self) -> DataFrame:
         return self.table.read()
@@ -51,21 +50,14 @@ class TaskStore:
             raise TaskNotFound(task_id)
         return Task(**row.asDict())
 
-    def save(self, task: Task, attempts: int = 10) -> Task:
-        """Write a task's row. Another writer's row is never lost: who finds the next version taken
-        reads again."""
+    def save(self, task: Task) -> Task:
+        """Write a task's row, under a number that only this call has. Each task is a part of its own, so
+        that writers of different tasks do not touch each other's rows; of one task's rows the one with
+        the highest number holds."""
         if task.create_time is None:
             task = replace(task, create_time=int(time.time() * 1000))
         row = tuple(getattr(task, c) for c in self.spark.createDataFrame([], SCHEMA).columns)
-        for k in range(attempts):
-            versions = self.table.versions()
-            try:
-                self.table.replace(self.spark.createDataFrame([row], SCHEMA), versions[-1] + 1 if versions else 0, exclusive=True)
-                return task
-            except AnalysisException:
-                if k == attempts - 1:
-                    raise
-                time.sleep(0.2)
+        self.table.write(self.spark.createDataFrame([row], SCHEMA), self.table.claim())
         return task
 
 
