@@ -28,7 +28,7 @@ from .common import cut
 #: a phrase's occurrences inside a longer one from which it is dropped.
 LEAST, LONGEST, BEST, INSIDE = 10, 3, 2000, 50
 #: Words of a block, bytes of a text that are split at once.
-BLOCK, SLICE = 1 << 20, 1 << 20
+BLOCK, SLICE = 1 << 19, 1 << 20
 #: Bits of the filter that a phrase has to pass to be extended. It is broadcast (8 MB); false positives
 #: are counted exactly and then dropped, so that a full filter costs time only.
 FILTER_BITS, HASHES = 1 << 26, 3
