@@ -207,6 +207,7 @@ def remove_repeated(documents: DataFrame, text: str = "text", digests: bool = Fa
     row, is removed; windows are judged on the input. kept joins the other words by one space. Null
     texts and texts of fewer words have no window; repeated rows repeat each other's windows and each
     give a row. Other columns are ignored.
+    doc_id is a number; a text that is none makes the query fail.
     """
     source = _source(documents, text)
     hot, parts = layout(source, _numbers)

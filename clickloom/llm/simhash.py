@@ -157,7 +157,9 @@ def near_duplicates(documents: DataFrame, text: str = "text") -> DataFrame:
     component_id is the smallest doc_id that links within RADIUS bits lead to. Texts without words
     have fingerprint zero and link like others; null texts count as empty; repeated rows each give a
     row. Rows without a doc_id take part, but their fingerprint leads nowhere unless a row with an id
-    has it too; their component is null if no such row does. Other columns are ignored.
+    has it too; their component is null if no such row does. doc_id is a number (a text that is none
+    makes the query fail). Unlike texts of one doc_id are one node if it is the smallest of both
+    fingerprints: what either links to is then one component. Other columns are ignored.
     n_copies counts the rows with the same fingerprint.
     """
     docs = cut(fingerprint_documents(documents, text), "fingerprints")
