@@ -25,14 +25,11 @@ from pyspark.sql import functions as F
 from clickloom.operators import bloom
 
 from .common import components, cut, map_batches, row_key
-from .simhash import shingles
+from .simhash import frequent_shingles, shingles
 
 SHINGLE = 4
 #: Hundredths of the union that linked sets share at least.
 LIKE = 85
-#: Rows that the order of shingles is estimated from (that share of all rows, if it is more), and most
-#: shingles it puts last, 8 bytes each in a broadcast. Any order gives the same links.
-ORDER_ROWS, ORDER_SHARE, ORDER_SHINGLES = 5_000, 0.1, 500_000
 #: Shingles of the sets in one part; children of a node; most bits of a bitmap.
 PART, FANOUT, BITS = 1 << 21, 8, 1 << 14
 #: Bytes of a tree's bitmaps, roughly.
@@ -255,24 +252,11 @@ def link_rows(key: np.ndarray, node: np.ndarray, n: np.ndarray, signatures: list
     return np.concatenate([*src, different[i[ok]]]), np.concatenate([*dst, different[j[ok]]])
 
 
-def _order(source: DataFrame) -> np.ndarray:
-    """Shingles that several of some rows hold, sorted by number: these come last."""
-    share = max(ORDER_ROWS / max(source.count(), 1), ORDER_SHARE)
-    some = source.where(F.pmod(F.xxhash64("_text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("_text").distinct()
-
-    def make():
-        return lambda batch: {"h": np.concatenate([np.unique(shingles(t.as_py(), SHINGLE)) for t in batch.column("_text")]).view(np.int64)}
-
-    often = map_batches(some, "h long", make).groupBy("h").count().where("count > 1")
-    rows = often.orderBy(F.desc("count"), "h").limit(ORDER_SHINGLES).select("h").toArrow()
-    return np.sort(rows.column("h").to_numpy().view(np.uint64))
-
-
 def shingle_sets(documents: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, _a, _b (128 bits of the row), _s, _t (128 bits of the set), n, first (its first shingles in
     a fixed order, so many that linked sets share one), signature (its bitmap) per row of documents."""
     source = documents.select("doc_id", *row_key(F.col("doc_id"), F.col(text)), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    shared = source.sparkSession.sparkContext.broadcast(_order(source))
+    shared = source.sparkSession.sparkContext.broadcast(frequent_shingles(source, SHINGLE, once=True)[0])
 
     def make():
         last = shared.value

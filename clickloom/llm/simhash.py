@@ -204,14 +204,16 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both >= SIMILARITY * (len(a) + len(b) - both) - 1e-9
 
 
-def _order(source: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are found more than once in some of the rows, sorted, and how often."""
+def frequent_shingles(source: DataFrame, size: int = NEAR_SHINGLE, once: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are found more than once in some of the rows (_a, _text), sorted, and how often; with
+    `once`, equal texts count once."""
     share = max(ORDER_ROWS / max(source.count(), 1), ORDER_SHARE)
     some = source.where(F.pmod(F.xxhash64("_a"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("_text")
+    some = some.distinct() if once else some
 
     def make():
         def run(batch: pa.RecordBatch) -> dict:
-            return {"h": np.concatenate([np.unique(shingles(t.as_py(), NEAR_SHINGLE)) for t in batch.column("_text")]).view(np.int64)}
+            return {"h": np.concatenate([np.unique(shingles(t.as_py(), size)) for t in batch.column("_text")]).view(np.int64)}
 
         return run
 
@@ -232,7 +234,7 @@ def _order(source: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def _sets(source: DataFrame) -> DataFrame:
     """_a, _b, doc_id, node (a hash of the set of shingles), fp, n (shingles) and prefix per row: the
     rarest shingles, so many that texts with SIMILARITY share one."""
-    shared = source.sparkSession.sparkContext.broadcast(_order(source))
+    shared = source.sparkSession.sparkContext.broadcast(frequent_shingles(source))
 
     def make():
         known, often = shared.value
