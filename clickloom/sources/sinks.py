@@ -189,10 +189,13 @@ class ChangeLog:
         self.spark, self.path, self.schema, self.keys = spark, path.rstrip("/"), schema, keys
         self.table = KeyedTable(spark, path, schema, keys, None)
 
-    def write(self, df: DataFrame, batch: int, part: Column | None = None) -> None:
+    def write(self, df: DataFrame, batch: int, part: Column | None = None, together: bool = False) -> None:
+        """together: a part's rows meet in one task first, for small rows of many parts, of which else every
+        task writes a file."""
         columns = self.spark.createDataFrame([], self.schema).columns
         part = F.col(self.keys[0]) if part is None else part
-        df.select(*columns, part.cast("string").alias("_part")).write.partitionBy("_part").mode("overwrite").parquet(f"{self.path}/v={batch}")
+        rows = df.select(*columns, part.cast("string").alias("_part"))
+        (rows.repartition("_part") if together else rows).write.partitionBy("_part").mode("overwrite").parquet(f"{self.path}/v={batch}")
 
     def of(self, batch: int) -> DataFrame:
         """The rows that a batch wrote."""
@@ -205,7 +208,9 @@ class ChangeLog:
         paths = [f"{self.path}/v={v}" for v in versions] if names is None else [f"{self.path}/v={v}/_part={p}" for v in versions for p in self.table._names(f"{self.path}/v={v}", "_part=") if p in names]
         if not paths:
             return self.spark.createDataFrame([], self.schema)
-        rows = self.spark.read.schema(f"{self.schema}, v long").option("basePath", self.path).parquet(*paths)
+        return self._last(self.spark.read.schema(f"{self.schema}, v long").option("basePath", self.path).parquet(*paths))
+
+    def _last(self, rows: DataFrame) -> DataFrame:
         others = [c for c in self.spark.createDataFrame([], self.schema).columns if c not in self.keys]
         last = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*others), "v").alias("_last"))
         return last.select(*self.keys, "_last.*").select(*[c for c in self.spark.createDataFrame([], self.schema).columns])
@@ -218,3 +223,10 @@ class ChangeLog:
             for path in [f"{self.path}/v={v}"] if len(old) == len(names) else [f"{self.path}/v={v}/_part={n}" for n in old]:
                 p, fs = _fs(self.spark, path)
                 fs.delete(p, True)
+
+
+class AppendLog(ChangeLog):
+    """Rows whose keys come in one batch only: every row holds, and readers need not compare versions."""
+
+    def _last(self, rows: DataFrame) -> DataFrame:
+        return rows.select(*self.spark.createDataFrame([], self.schema).columns)

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from clickloom.functions import millis_time
 from clickloom.operators import ads
-from clickloom.sources.sinks import ChangeLog
+from clickloom.sources.sinks import AppendLog, ChangeLog
 
 #: Settings of the state store.
 STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
@@ -26,6 +26,8 @@ PANES = "step long, ad_id long, minute long, click_count long"
 LAST_HOUR = "step_end long, date string, hour string, minute string, ad_id long, click_count long, ad_total long"
 #: Seconds of a pane, and of the window that slides by it.
 PANE, HOUR = 10, 3600
+#: Steps by which spans and steps are brought together: shorter runs have fewer rows to look at in vain.
+RUN = 60
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -43,8 +45,9 @@ def tables(spark: SparkSession, folder: str) -> dict[str, ChangeLog]:
         "totals": log("totals", STATS, ["date", "province", "city", "ad_id"]),
         "top": log("top", TOP, ["date", "province"]),
         "trend": log("trend", TREND, ["date", "hour", "minute", "ad_id"]),
-        "panes": log("panes", PANES, ["step", "ad_id", "minute"]),
-        "last_hour": log("last_hour", LAST_HOUR, ["step_end", "date", "hour", "minute", "ad_id"]),
+        # Panes and windows come once, when they are complete.
+        "panes": AppendLog(spark, f"{folder}/panes", PANES, ["step", "ad_id", "minute"]),
+        "last_hour": AppendLog(spark, f"{folder}/last_hour", LAST_HOUR, ["step_end", "date", "hour", "minute", "ad_id"]),
     }
 
 
@@ -121,21 +124,20 @@ def _running(panes: DataFrame, keys: list[str], name: str) -> DataFrame:
     """keys, name, since, until: the window's count at every step from `since` to before `until`, where
     it is not 0. A pane is added at its step and subtracted when it leaves, so that each counts twice
     however many steps see it."""
-    enters = panes.select(*keys, "step", "click_count")
-    leaves = panes.select(*keys, (F.col("step") + HOUR // PANE).alias("step"), (-F.col("click_count")).alias("click_count"))
-    changes = enters.unionByName(leaves).groupBy(*keys, "step").agg(F.sum("click_count").alias("_n"))
+    enters, leaves = F.struct("step", "click_count"), F.struct((F.col("step") + HOUR // PANE).alias("step"), (-F.col("click_count")).alias("click_count"))
+    changes = panes.select(*keys, F.inline(F.array(enters, leaves))).groupBy(*keys, "step").agg(F.sum("click_count").alias("_n"))
     order = Window.partitionBy(*keys).orderBy("step")
     sums = changes.select(*keys, F.col("step").alias("since"), F.lead("step").over(order).alias("until"), F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(name))
     return sums.where(F.col(name) > 0)
 
 
-def _at(sums: DataFrame, steps: DataFrame) -> DataFrame:
-    """sums at those of steps (step) that lie in their spans, which are an hour long at most: equal hours
-    are joined, then the span decides."""
-    hours = F.sequence(_div(F.col("since"), HOUR // PANE), _div(F.col("until") - 1, HOUR // PANE))
-    spans = sums.select("*", F.explode(hours).alias("_hour"))
-    at = steps.select("step", _div(F.col("step"), HOUR // PANE).alias("_hour"))
-    return spans.join(at, "_hour").where("step >= since and step < until").drop("_hour", "since", "until")
+def _at(sums: DataFrame, steps: DataFrame, keys: list[str]) -> DataFrame:
+    """sums beside those rows of steps (step and keys) that lie in their spans, which are an hour long at
+    most: equal keys and runs of RUN steps are joined, then the span decides."""
+    runs = F.sequence(_div(F.col("since"), RUN), _div(F.col("until") - 1, RUN))
+    spans = sums.select("*", F.explode(runs).alias("_run"))
+    at = steps.withColumn("_run", _div(F.col("step"), RUN))
+    return spans.join(at, [*keys, "_run"]).where("step >= since and step < until").drop("_run", "since", "until")
 
 
 def last_hours(panes: DataFrame, steps: DataFrame | None = None) -> DataFrame:
@@ -143,11 +145,13 @@ def last_hours(panes: DataFrame, steps: DataFrame | None = None) -> DataFrame:
     a pane has clicks (or for `steps`), the clicks of each minute and ad within the HOUR up to its end,
     and the ad's clicks in all of it. A minute that the window cuts counts with what is inside."""
     steps = panes.select("step").distinct() if steps is None else steps
-    minutes = _at(_running(panes, ["ad_id", "minute"], "click_count"), steps)
-    totals = _at(_running(panes, ["ad_id"], "ad_total"), steps)
+    totals = _at(_running(panes, ["ad_id"], "ad_total"), steps, [])
     at = millis_time(F.col("minute") * 60_000)
-    rows = minutes.join(totals, ["step", "ad_id"])
-    return rows.select(((F.col("step") + 1) * PANE).alias("step_end"), F.date_format(at, "yyyy-MM-dd").alias("date"), F.date_format(at, "HH").alias("hour"), F.date_format(at, "mm").alias("minute"), "ad_id", "click_count", "ad_total")
+    # Texts are made for spans, of which there are far fewer than rows.
+    minutes = _running(panes, ["ad_id", "minute"], "click_count").select("ad_id", "since", "until", F.date_format(at, "yyyy-MM-dd").alias("date"), F.date_format(at, "HH").alias("hour"), F.date_format(at, "mm").alias("minute"), "click_count")
+    # An ad with clicks in a minute of the window has a total at that step, so that totals are all steps to look at.
+    rows = _at(minutes, totals, ["ad_id"])
+    return rows.select(((F.col("step") + 1) * PANE).alias("step_end"), "date", "hour", "minute", "ad_id", "click_count", "ad_total")
 
 
 def start_last_hour(lines: DataFrame, folder: str, late: str = "10 seconds", every: str | None = "10 seconds") -> StreamingQuery:
@@ -163,14 +167,18 @@ def start_last_hour(lines: DataFrame, folder: str, late: str = "10 seconds", eve
     panes = counts.select(step.alias("step"), "ad_id", _div(step, 60 // PANE).alias("minute"), "click_count")
 
     def each(df: DataFrame, batch: int) -> None:
-        kept["panes"].write(df, batch, part=_div(F.col("step"), HOUR // PANE))
-        new = kept["panes"].of(batch)
-        bounds = new.agg(F.min("step").alias("a"), F.max("step").alias("b")).first()
-        if bounds.a is None:
-            return
-        width = HOUR // PANE
-        # Complete panes come once and in order, so that of earlier ones only two parts can matter.
-        before = kept["panes"].read(batch, [p for p in range(bounds.a // width - 1, bounds.b // width + 1)]).where(F.col("step") > bounds.a - width)
-        kept["last_hour"].write(last_hours(before.unionByName(new), new.select("step").distinct()), batch, part=_div(F.col("step_end"), HOUR))
+        new = df.persist()
+        try:
+            bounds = new.agg(F.min("step").alias("a"), F.max("step").alias("b")).first()
+            width = HOUR // PANE
+            kept["panes"].write(new, batch, part=_div(F.col("step"), width), together=True)
+            if bounds.a is None:
+                return
+            # Complete panes come once and in order, so that of earlier ones only two parts can matter.
+            before = kept["panes"].read(batch, [bounds.a // width - 1, bounds.a // width]).where(F.col("step") > bounds.a - width)
+            rows = last_hours(before.unionByName(new), new.select("step").distinct())
+            kept["last_hour"].write(rows, batch, part=F.date_format(millis_time(F.col("step_end") * 1000), "yyyy-MM-dd"))
+        finally:
+            new.unpersist()
 
     return _start(panes, each, folder, "last_hour", "append", every)

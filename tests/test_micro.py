@@ -356,6 +356,24 @@ def test_sliding_hours(spark, tmp_path):
     assert rows(state.tables(spark, folder)["last_hour"].read()) == want
 
 
+def test_hours_of_a_long_batch(spark, tmp_path):
+    """A batch of many hours writes a file of panes for each, and its windows are read without a shuffle."""
+    rnd = random.Random(6)
+    clicks = sorted((rnd.randrange(60 * 3600), 1, rnd.randrange(3)) for _ in range(900))
+    folder = f"file://{tmp_path}/h"
+    for part in (clicks[:450], clicks[450:]):
+        log_lines(spark, folder, part)
+        state.start_last_hour(readers.file_lines(spark, f"{folder}/lines"), folder, late="0 seconds", every=None).awaitTermination()
+    kept = state.tables(spark, folder)
+    for v in kept["panes"].table.versions():
+        hours = [p for p in (tmp_path / f"h/panes/v={v}").iterdir() if p.name.startswith("_part=")]
+        assert all(len(list(p.glob("*.parquet"))) == 1 for p in hours)
+    rows = kept["last_hour"].read()
+    assert "Exchange" not in rows._jdf.queryExecution().toString() and kept["last_hour"].read(0).count() == 0
+    got = [(r.step_end - 1704067200, (int(r.date[8:]) - 1) * 1440 + int(r.hour) * 60 + int(r.minute), r.ad_id, r.click_count, r.ad_total) for r in rows.collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_hours(clicks, clicks[-1][0])
+
+
 def test_keyed_table_rewrites_only_touched_parts(spark, tmp_path):
     t = KeyedTable(spark, f"file://{tmp_path}/k", "date string, k string, n long", ["date", "k"], keep=3)
     frame = lambda *rows: spark.createDataFrame(rows, t.schema)
