@@ -524,20 +524,19 @@ def control_a_roundtrip(spark, d):
 
 
 def _derby(spark: SparkSession) -> tuple[str, dict[str, str]]:
-    """Spark's embedded database, in the driver's memory: only where executors are in the driver."""
+    """Spark's embedded database, in the driver's memory. Rows come and go in files, as executors do not reach it."""
     name = scratch(spark, "derby").rsplit("-", 1)[1]
     return f"jdbc:derby:memory:{name};create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
 
 
 @query("select date, province, city, ad_id, click_count from ad_stats")
 def jdbc_ad_stats(spark, d):
-    """Totals written to a database twice, as a repeated task does, and read back in ranges of ads. The
-    database has to run where executors reach it; here it is the driver's."""
+    """Totals written to a database twice, as a repeated task does, and read back in ranges of ads."""
     url, options = _derby(spark)
     rows = ads.stats(_ads(spark, d))
     for _ in range(2):
-        database.replace_rows(rows, url, "ad_stat", 7, createTableColumnTypes="date VARCHAR(10), province VARCHAR(64), city VARCHAR(64)", **options)
-    return database.read_parts(spark, url, "ad_stat", "ad_id", 4, **options).drop("task_id")
+        database.replace_rows(rows, url, "ad_stat", 7, folder=scratch(spark, "load"), createTableColumnTypes="date VARCHAR(10), province VARCHAR(64), city VARCHAR(64)", **options)
+    return database.read_parts(spark, url, "ad_stat", "ad_id", 4, folder=scratch(spark, "unload"), **options).drop("task_id")
 
 
 @query("select * from city_info")

@@ -2,12 +2,17 @@
 
 import hashlib
 import json
+import os
 import random
+import subprocess
+import sys
 from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
+import pyspark
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from clickloom.__main__ import main
@@ -15,7 +20,7 @@ from clickloom.functions import json_field, random_prefix, ratio, remove_random_
 from clickloom.operators import ads, bloom, pages, products, sessions, skew
 from clickloom.params import Params
 from clickloom.plans import jobs
-from clickloom.sources import database, layout, readers
+from clickloom.sources import database, layout, readers, views
 from clickloom.sources.readers import read_jdbc
 from clickloom.sources.sinks import ChangeLog, GrowingSet, KeyedTable
 from clickloom.streaming import ads as stream
@@ -199,6 +204,58 @@ def test_results_in_a_database(spark):
     assert sorted(map(tuple, read_jdbc(spark, url, "latest", driver=options["driver"]).collect())) == [(0, "x"), (1, "x"), (9, "b1")]
 
 
+def test_rows_come_and_go_in_files(spark, tmp_path):
+    """Odd values survive the files that a database imports and exports; a repeated task leaves one set."""
+    url, options = f"jdbc:derby:memory:t{random.randrange(10**9)};create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    texts = [None, "", "a", " a ", 'q"q', '"', '""', "a,b", "a\nb", "a\rb", "a\r\nb", "a\\b", "ü漢", "null", "NULL", " ", "\t", "'", "\\N"]
+    df = spark.createDataFrame([(i - 5 if i != 3 else None, t, i / 3 if i % 2 else None, i % 2 == 0) for i, t in enumerate(texts)], "k long, name string, x double, f boolean")
+    df = df.withColumn("d", F.lit("2024-01-05").cast("date")).withColumn("t", F.lit("2024-01-05 01:02:03.456789").cast("timestamp")).repartition(3)
+    made = {"createTableColumnTypes": "name VARCHAR(40)", **options}
+    folder = lambda n: f"file://{tmp_path}/it's {n}"
+    for n, rows in enumerate((df.limit(4), df, df.limit(0), df)):  # the last ones in place of the first
+        database.replace_rows(rows, url, "odd", 7, folder(n), **made)
+    database.replace_rows(df.limit(1), url, "odd", 8, folder("other"), **made)
+    want = Counter((*r, 7) for r in df.collect())
+    for parts in (1, 4, 50):
+        got = database.read_parts(spark, url, "odd", "k", parts, folder(f"out{parts}"), **options)
+        assert Counter(tuple(r) for r in got.where("task_id = 7").collect()) == want and got.count() == len(texts) + 1
+    ends = sorted((tmp_path / "it's out4").glob("*.csv"))
+    assert len(ends) == 4 and all(f.stat().st_size for f in ends)
+    database.statements(spark, url, "DELETE FROM odd")
+    assert database.read_parts(spark, url, "odd", "k", 3, folder("empty"), **options).count() == 0
+    for batch in (0, 1, 1):
+        database.upsert_rows(spark.createDataFrame([(batch, "x"), (9, f"b{batch}")], "k long, name string"), url, "latest", ["k"], batch, folder(f"up{batch}{random.random()}"), **made)
+    assert sorted(map(tuple, read_jdbc(spark, url, "latest", **options).collect())) == [(0, "x"), (1, "x"), (9, "b1")]
+    with pytest.raises(ValueError):
+        database.load_rows(spark.range(1).select(F.array("id").alias("a")), url, "bad", folder("bad"), **options)
+
+
+ON_EXECUTORS = """
+import sys
+from clickloom.plans.queries import QUERIES
+from clickloom.session import get_session
+spark = get_session("executors", "local-cluster[2,1,1024]", **{"spark.checkpoint.dir": "file://" + sys.argv[1] + "/shared", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "3", "spark.executor.memory": "512m", "spark.driver.host": "127.0.0.1"})
+for name in sys.argv[3:]:
+    QUERIES[name](spark, sys.argv[2]).write.parquet("file://" + sys.argv[1] + "/" + name)
+spark.stop()
+"""
+
+
+def test_database_in_the_driver(spark, tmp_path):
+    """Executors of their own do not reach the driver's database."""
+    home = tmp_path / "home"
+    (home / "work").mkdir(parents=True)  # executors work there
+    for p in Path(pyspark.__file__).parent.iterdir():
+        if p.name != "work":
+            (home / p.name).symlink_to(p)
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_", "SPARK_"))} | {"SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1"}
+    names = ["jdbc_ad_stats"]
+    subprocess.run([sys.executable, "-c", ON_EXECUTORS, str(tmp_path), DATA, *names], env=env, cwd=tmp_path, check=True, timeout=300, capture_output=True)
+    for name, want in zip(names, (ads.stats(ads.parse(views.ad_log(spark, DATA))),), strict=True):
+        got = spark.read.parquet(f"file://{tmp_path}/{name}").select(*want.columns)
+        assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect())) != Counter()
+
+
 def test_counters_in_passing(spark, tmp_path):
     """Counted while sessions are written, also with a task that fails once; in one pass over the input."""
     rows = [(f"s{i}", i % 200, i % 70) for i in range(3000)]
