@@ -543,5 +543,5 @@ def jdbc_ad_stats(spark, d):
 def jdbc_city_roundtrip(spark, d):
     """A table of a database, through Spark's embedded one."""
     url, options = _derby(spark)
-    views.city_info(spark, d).write.format("jdbc").option("url", url).option("dbtable", "city_info").options(createTableColumnTypes="city_name VARCHAR(64), area VARCHAR(64)", **options).save()
-    return database.read_parts(spark, url, "city_info", "city_id", 4, **options)
+    database.load_rows(views.city_info(spark, d), url, "city_info", scratch(spark, "load"), createTableColumnTypes="city_name VARCHAR(64), area VARCHAR(64)", **options)
+    return database.read_parts(spark, url, "city_info", "city_id", 4, scratch(spark, "unload"), **options)

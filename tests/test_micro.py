@@ -249,9 +249,9 @@ def test_database_in_the_driver(spark, tmp_path):
         if p.name != "work":
             (home / p.name).symlink_to(p)
     env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_", "SPARK_"))} | {"SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1"}
-    names = ["jdbc_ad_stats"]
+    names = ["jdbc_city_roundtrip", "jdbc_ad_stats"]
     subprocess.run([sys.executable, "-c", ON_EXECUTORS, str(tmp_path), DATA, *names], env=env, cwd=tmp_path, check=True, timeout=300, capture_output=True)
-    for name, want in zip(names, (ads.stats(ads.parse(views.ad_log(spark, DATA))),), strict=True):
+    for name, want in zip(names, (views.city_info(spark, DATA), ads.stats(ads.parse(views.ad_log(spark, DATA)))), strict=True):
         got = spark.read.parquet(f"file://{tmp_path}/{name}").select(*want.columns)
         assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect())) != Counter()
 
