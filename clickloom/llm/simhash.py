@@ -38,17 +38,23 @@ GROUP = 50_000
 _EDGES = np.array([xxhash.xxh64_intdigest(f"pivot {i}", 42) for i in range(PIVOTS)], np.uint64)
 
 
-def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """The hash of each run of `size` words, or of all words if there are fewer; none without words."""
+def measured(text: str | None, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash and the bytes of each run of `size` words, or of all words if there are fewer; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return np.zeros(0, "<u8")
+        return np.zeros(0, "<u8"), np.zeros(0, np.int64)
     joined, n = b" ".join(words), max(1, len(words) - size + 1)
     ends = np.cumsum([len(w) + 1 for w in words])
-    starts = np.concatenate([[0], ends[:-1]])[:n].tolist()
-    ends = (ends - 1)[min(size, len(words)) - 1 :].tolist()
+    starts = np.concatenate([[0], ends[:-1]])[:n]
+    ends = (ends - 1)[min(size, len(words)) - 1 :]
+    long, starts, ends = ends - starts, starts.tolist(), ends.tolist()
     h = xxhash.xxh64_intdigest
-    return np.concatenate([np.array([h(joined[a:b], 42) for a, b in zip(starts[i : i + (1 << 16)], ends[i : i + (1 << 16)], strict=True)], "<u8") for i in range(0, n, 1 << 16)])
+    return np.concatenate([np.array([h(joined[a:b], 42) for a, b in zip(starts[i : i + (1 << 16)], ends[i : i + (1 << 16)], strict=True)], "<u8") for i in range(0, n, 1 << 16)]), long
+
+
+def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """The hash of each run of `size` words, or of all words if there are fewer; none without words."""
+    return measured(text, size)[0]
 
 
 def simhash(hashes: np.ndarray) -> int:
@@ -204,6 +210,22 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both >= SIMILARITY * (len(a) + len(b) - both) - 1e-9
 
 
+def parity(own: np.ndarray) -> np.ndarray:
+    """A bit for each class of hashes, 64 classes or as many as hashes up to twice that: whether the set
+    has an odd number of the class. Eight to a byte."""
+    classes = 1 << max(6, (len(own) - 1).bit_length())
+    return np.packbits(np.bincount((own & np.uint64(classes - 1)).view(np.int64), minlength=classes) & 1, bitorder="little")
+
+
+def open_to(a: np.ndarray, m: int, b: np.ndarray, n: int) -> bool:
+    """Whether sets of m and n shingles with these parities may have SIMILARITY: each bit that differs is a
+    shingle of one set only. Never false for sets that have it."""
+    while len(a) != len(b):  # half as many classes
+        a, b = (b, a) if len(a) < len(b) else (a, b)
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum()) <= (m + n) * (1 - SIMILARITY) / (1 + SIMILARITY) + 1e-6
+
+
 def frequent_shingles(source: DataFrame, size: int = NEAR_SHINGLE, once: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that are found more than once in some of the rows (_a, _text), sorted, and how often; with
     `once`, equal texts count once."""
@@ -232,18 +254,19 @@ def frequent_shingles(source: DataFrame, size: int = NEAR_SHINGLE, once: bool =
 
 
 def _sets(source: DataFrame) -> DataFrame:
-    """_a, _b, doc_id, node (a hash of the set of shingles), fp, n (shingles) and prefix per row: the
-    rarest shingles, so many that texts with SIMILARITY share one."""
+    """_a, _b, doc_id, node (a hash of the set of shingles), fp, n (shingles), parity and prefix per row:
+    the rarest shingles, so many that texts with SIMILARITY share one. Of those that the order leaves
+    equal the longest count as the rarest: runs of small words meet by chance, the more the larger the table."""
     shared = source.sparkSession.sparkContext.broadcast(frequent_shingles(source))
 
     def make():
         known, often = shared.value
 
         def run(batch: pa.RecordBatch) -> dict:
-            out: dict[str, list] = {"node": [], "fp": [], "n": [], "prefix": []}
+            out: dict[str, list] = {"node": [], "fp": [], "n": [], "parity": [], "prefix": []}
             for t in batch.column("_text"):
-                h = shingles(t.as_py(), NEAR_SHINGLE)
-                own = np.unique(h)
+                h, long = measured(t.as_py(), NEAR_SHINGLE)
+                own, first = np.unique(h, return_index=True)
                 rank = np.zeros(len(own), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
@@ -251,12 +274,13 @@ def _sets(source: DataFrame) -> DataFrame:
                 out["node"].append(int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), 42)).view(np.int64)))
                 out["fp"].append(simhash(h))
                 out["n"].append(len(own))
-                out["prefix"].append(own[np.argsort(rank, kind="stable")][: len(own) - least_shared(len(own)) + 1].view(np.int64))
+                out["parity"].append(parity(own).tobytes())
+                out["prefix"].append(own[np.lexsort((-long[first], rank))][: len(own) - least_shared(len(own)) + 1].view(np.int64))
             return {"_a": batch.column("_a"), "_b": batch.column("_b"), "doc_id": batch.column("doc_id"), **out, "prefix": pa.array(out["prefix"], pa.list_(pa.int64()))}
 
         return run
 
-    return map_batches(source, f"_a long, _b long, doc_id {dict(source.dtypes)['doc_id']}, node long, fp long, n long, prefix array<long>", make)
+    return map_batches(source, f"_a long, _b long, doc_id {dict(source.dtypes)['doc_id']}, node long, fp long, n long, parity binary, prefix array<long>", make)
 
 
 def _strays(n: np.ndarray, at: np.ndarray, root: np.ndarray):
@@ -317,11 +341,33 @@ def _pairs(rows: DataFrame, parts: int, all_pairs: bool) -> DataFrame:
                 pairs = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.nulls(pairs.shape[1], pa.int64())], ["a", "b", "key"])
 
-    return rows.select("key", "node", "n", "at", "root").repartition(parts, "key").mapInArrow(run, "a long, b long, key long")
+    # By a hash of the key: where a join has dealt rows out by the key itself, Spark takes this exchange for done
+    # and may then read the join's own one by its writers, a key's rows in several tasks.
+    return rows.select("key", "node", "n", "at", "root").repartition(parts, F.xxhash64("key")).mapInArrow(run, "a long, b long, key long")
+
+
+def _open_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) that parities leave open. They take a bit or two for each shingle: texts, fifty times
+    as large, move for these pairs only."""
+    sides = nodes.select("node", "n", "parity")
+    both = pairs.join(sides.toDF("a", "_m", "_p"), "a").join(sides.toDF("b", "_n", "_q"), "b").select("a", "b", "_m", "_p", "_n", "_q")
+
+    def make():
+        bits = lambda x: np.frombuffer(x.as_buffer(), np.uint8)
+
+        def run(batch: pa.RecordBatch) -> dict:
+            m, n = batch.column("_m").to_pylist(), batch.column("_n").to_pylist()
+            yes = pa.array([open_to(bits(p), i, bits(q), j) for p, i, q, j in zip(batch.column("_p"), m, batch.column("_q"), n, strict=True)], pa.bool_())
+            return {c: batch.column(c).filter(yes) for c in ("a", "b")}
+
+        return run
+
+    return cut(map_batches(both, "a long, b long", make), "open")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame:
     """Those of pairs (a, b) that have SIMILARITY, by the shingles of their texts."""
+    pairs = _open_pairs(pairs, nodes)
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     texts = source.join(nodes.join(ids, "node", "left_semi").select("_a", "_b", "node"), ["_a", "_b"]).dropDuplicates(["node"])
     texts = cut(texts.select("node", "_text"), "texts")

@@ -138,6 +138,59 @@ def test_one_root_is_not_paired(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [0, *range(2000, 2030)]
 
 
+@pytest.mark.parametrize("long", [False, True])
+def test_texts_of_unlike_pairs_stay(spark, monkeypatch, long):
+    """Texts that share shingles the order does not know move only if they may be near copies."""
+    monkeypatch.setattr(simhash, "ORDER_SHINGLES", 0)
+    moved, cut = {}, simhash.cut
+    monkeypatch.setattr(simhash, "cut", lambda df, label: moved.setdefault(label, cut(df, label)))
+    rnd = random.Random(5)
+    shared = [f"shared{i:06d}" if long else "abcdefghijklmnopqrstuvwxyz"[i % 26] for i in range(30)]
+    table = []
+    for k in range(40):
+        own = [f"word{rnd.randrange(10**8):08d}" for _ in range(60)]
+        table.append((k, " ".join([*own[:30], *shared, *own[30:]])))
+    table.append((100, table[0][1] + " more"))
+    kept = simhash.keep_similar(spark.createDataFrame(table, "doc_id long, text string").repartition(4))
+    assert sorted(r.doc_id for r in kept.collect()) == brute_similar(table) == list(range(40))
+    assert moved["texts"].count() == 2
+
+
+def test_parities_leave_similar_sets_open():
+    rnd = np.random.default_rng(8)
+    closed = 0
+    for k in range(3000):
+        a = np.unique(rnd.integers(0, 1 << 63, rnd.integers(0, 400)).astype(np.uint64))
+        kept = rnd.permutation(a)[: int(len(a) * rnd.uniform(0.75 * (k % 2), 1))]
+        b = np.unique(np.concatenate([kept, rnd.integers(0, 1 << 63, rnd.integers(0, 40)).astype(np.uint64)]))
+        found = simhash.open_to(simhash.parity(a), len(a), simhash.parity(b), len(b))
+        assert found or not simhash.similar(a, b)
+        closed += not found
+    assert closed > 1500
+
+
+def test_near_copies_of_a_large_group_after_a_changed_join(spark):
+    """Rows of a frequent shingle meet in one task also where adaptive execution turns the join before into a broadcast."""
+    rnd = random.Random(6)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(400)]
+    table = [(0, " ".join(base))]
+    for k in range(1, 120):  # 7 words in other places: like the first text, unlike each other
+        w = list(base)
+        for i in rnd.sample(range(5, 395), 7):
+            w[i] = f"new{rnd.randrange(10**8)}"
+        table.append((k, " ".join(w)))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        kept = simhash.keep_similar(spark.createDataFrame(table, "doc_id long, text string").repartition(4)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sorted(r.doc_id for r in kept) == brute_similar(table)
+
+
 def test_simhash_chains_and_hot_groups(spark, monkeypatch):
     monkeypatch.setattr(simhash, "GROUP", 40)
     rnd = random.Random(1)
